@@ -16,7 +16,7 @@ from .columns import let, upto
 
 BUCKETS = 10_000
 TARGET_ROWS = 20_000
-THRESHOLD = -1.0
+THRESHOLD = -0.5
 SPAN = 8
 LEAST_WORDS = 20
 MOST_REPEATED = 30
