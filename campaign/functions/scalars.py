@@ -21,8 +21,13 @@ DURATION_NAMES = {
 SECOND = 10**9
 #: Pseudo-signals, for tasks that ended for a reason other than a signal.
 PSEUDO_SIGNALS = {
-    120: "Lost", 121: "Cancelled", 122: "Remote kill", 123: "Data staging failure", 124: "Remote error", 125: "Submission failed",
-}
+    120: "Remote site reports no information about the job",
+    121: "Job canceled by user",
+    122: "Job killed by batch system or sysadmin",
+    123: "Data staging failure",
+    124: "Unspecified remote error, e.g., execution node crashed or batch system misconfigured",
+    125: "Submission to batch system failed.",
+}
 
 
 def _lookup(table: dict, key: Column) -> Column:
@@ -125,11 +130,11 @@ def shell_exit(rc: Column) -> tuple[Column, Column]:
 
 #: State codes of the batch systems, first match decides; patterns on the whole code.
 BATCH_STATES = {
-    "sge": [("s|S|T|h|hqw|.*[sSTh].*", "STOPPED"), ("E.*|.*E.*", "STOPPED"), ("qw|.*q.*", "SUBMITTED"), ("t|r|R|.*r.*|.*t.*", "RUNNING"), (".*d.*", "TERMINATING")],
-    "slurm": [("PENDING|CONFIGURING", "SUBMITTED"), ("RUNNING|COMPLETING", "RUNNING"), ("SUSPENDED", "STOPPED"), ("COMPLETED|CANCELLED.*|FAILED|NODE_FAIL|PREEMPTED|TIMEOUT", "TERMINATING")],
-    "pbs": [("Q|W", "SUBMITTED"), ("R", "RUNNING"), ("S|H|T", "STOPPED"), ("C|E|F", "TERMINATING")],
-    "lsf": [("PEND", "SUBMITTED"), ("RUN", "RUNNING"), ("PSUSP|USUSP|SSUSP|WAIT", "STOPPED"), ("DONE|EXIT|ZOMBI", "TERMINATING")],
-    "ps": [("Z.*", "TERMINATING"), ("T.*|t.*|X.*", "STOPPED"), ("[DRSI].*", "RUNNING")],
+    "sge": [("s|S|T|h.*", "STOPPED"), (".*qw.*", "SUBMITTED"), (".*[rRt].*", "RUNNING"), ("E", "TERMINATING")],
+    "slurm": [("PENDING|CONFIGURING", "SUBMITTED"), ("RUNNING|COMPLETING", "RUNNING"), ("SUSPENDED", "STOPPED"), ("(?:COMPLETED|CANCELLED|FAILED|NODE_FAIL|PREEMPTED|TIMEOUT)(?: .*)?", "TERMINATING")],
+    "pbs": [("Q|W", "SUBMITTED"), ("R", "RUNNING"), ("S|H|T|.*qh.*", "STOPPED"), ("C|E|F", "TERMINATING")],
+    "lsf": [("PEND", "SUBMITTED"), ("RUN", "RUNNING"), ("PSUSP|USUSP|SSUSP", "STOPPED"), ("DONE|EXIT|ZOMBI", "TERMINATING")],
+    "ps": [("[RSDYIWZ].*", "RUNNING"), ("[TtX].*", "STOPPED")],
 }
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["tasks", "history", "scalars"]
+MODULES = ["tasks", "history", "scalars", "tables"]
 
 
 def registry() -> tuple[dict, dict]:

@@ -113,7 +113,10 @@ def map_batch_state(spark, sf):
     return c.table(spark, sf, "orders").select("o_orderkey", f.map_batch_state("slurm", code).alias("state"))
 
 
-@job("SELECT o_orderkey, ['Lost','Cancelled','Remote kill','Data staging failure','Remote error','Submission failed'][118 + o_orderkey % 9 - 119] AS description FROM orders WHERE o_orderkey % 9 BETWEEN 2 AND 7 UNION ALL SELECT o_orderkey, NULL FROM orders WHERE o_orderkey % 9 NOT BETWEEN 2 AND 7")
+_SIGNALS = ", ".join(f"(CAST({k} AS INT), '{v}')" for k, v in f.PSEUDO_SIGNALS.items())
+
+
+@job(f"SELECT o_orderkey, description FROM orders LEFT JOIN (VALUES {_SIGNALS}) s(signal, description) ON signal = 118 + o_orderkey % 9")
 def signal_description(spark, sf):
     return c.table(spark, sf, "orders").select("o_orderkey", f.signal_description((118 + F.col("o_orderkey") % 9).cast("int")).alias("description"))
 
