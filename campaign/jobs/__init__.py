@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["tasks", "history", "scalars", "tables"]
+MODULES = ["tasks", "history", "scalars", "tables", "accounting"]
 
 
 def registry() -> tuple[dict, dict]:
