@@ -1,6 +1,7 @@
 """Quality rules: simple counts, and a log-likelihood ratio between a trusted target and the raw corpus.
 
-Texts become words and runs of ASCII punctuation; these and their pairs are hashed into BUCKETS. The
+Words, and pairs of the endings of neighbouring words, are hashed into BUCKETS; endings are dense enough
+to tell prose from markup where nearly every pair of whole words is unique. The
 target's and the corpus's bucket counts give two multinomials with add-one smoothing; a document's ratio
 is the mean of log(target / raw) over its hashed n-grams. Documents below the threshold go.
 """
@@ -12,16 +13,16 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columns import let, upto
+from .columns import let, upto, window_hashes
 
 BUCKETS = 10_000
 TARGET_ROWS = 20_000
-THRESHOLD = -0.5
+THRESHOLD = -0.8
 SPAN = 8
+ENDING = 2
 LEAST_WORDS = 20
 MOST_REPEATED = 30
 SPACES = "[\\x20\\x09-\\x0D]"
-TOKENS = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+|[\\x21-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7E]+"
 
 
 def _repeated(windows: Column) -> Column:
@@ -38,41 +39,35 @@ def _repeated(windows: Column) -> Column:
     return let(let(ordered, places), covered)
 
 
-def counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long); whole texts, null as empty.
+def split_words(text: Column) -> Column:
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES + "+"), "")
 
-    Where docs has a column of such a name, it is replaced.
-    """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    step = docs.withColumn("found_", _word_counts(text)).withColumns({
-        "n_words": F.col("found_.n_words"),
-        "word_chars": (F.char_length(text) - F.regexp_count(text, F.lit(SPACES))).cast("long"),
-        "n_symbols": F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long"),
-        "n_dup_lines": let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")),
-        "n_repeat_words": F.col("found_.n_repeat_words"),
-    })
-    return step.drop("found_")
-
-
-def _word_counts(text: Column) -> Column:
-    """n_words and n_repeat_words as a struct."""
-    words = F.array_remove(F.split(text, SPACES + "+"), "")
-    windows = lambda w: F.transform(upto(F.lit(1), F.size(w) - (SPAN - 1)), lambda i: F.xxhash64(F.slice(w, i, SPAN)))
-    repeated = lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(_repeated(h)).cast("long")
-    return let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), let(windows(w), repeated).alias("n_repeat_words")))
 
+def hashed(words: Column) -> Column:
+    """Buckets of all words and then of all pairs of neighbouring words' endings."""
+    bucket = lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")
+    pairs = lambda e: F.slice(F.zip_with(e, F.slice(e, 2, F.size(e)), lambda a, b: bucket(F.xxhash64(a, b))), 1, F.greatest(F.size(e) - 1, F.lit(0)))
+    ends = F.transform(words, lambda w: F.substring(w, -ENDING, ENDING))
+    return F.concat(F.transform(words, lambda w: bucket(F.xxhash64(w))), let(ends, pairs))
 
-def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
-    return (n_words < LEAST_WORDS) | (100 * n_repeat_words > MOST_REPEATED * n_words)
 
+def measures(text: Column, weights: list[float] | None = None) -> Column:
+    """n_words, word_chars and n_repeat_words (long), and with weights the ratio (0 for a text without words), as a struct."""
+    repeated = lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(_repeated(h)).cast("long")
 
-def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKENS), F.lit(0))
+    def found(w: Column) -> Column:
+        out = [F.size(w).cast("long").alias("n_words"), F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"), let(window_hashes(w, SPAN), repeated).alias("n_repeat_words")]
+        if weights:
+            table = F.split(F.lit(",".join(f"{x:.5f}" for x in weights)), ",").cast("array<double>")  # folded into one literal
+            total = lambda b: F.aggregate(b, F.lit(0.0), lambda a, x: a + F.get(table, x))
+            out.append(F.when(F.size(w) > 0, total(hashed(w)) / (2 * F.size(w) - 1)).otherwise(0.0).alias("ratio"))
+        return F.struct(*out)
 
+    return let(split_words(text), found)
 
-def _bucket(*parts: Column) -> Column:
-    return F.pmod(F.xxhash64(*parts), F.lit(BUCKETS)).cast("int")
+
+def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
+    return (n_words < LEAST_WORDS) | (100 * n_repeat_words > MOST_REPEATED * n_words)
 
 
 def train(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_rows: int = TARGET_ROWS) -> list[float]:
@@ -82,9 +77,9 @@ def train(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_c
     n = ids.count()
     share = int((1 << 30) * min(1.0, target_rows / max(1, n)))
     ids = F.broadcast(ids.where(F.pmod(F.xxhash64("target_id"), F.lit(1 << 30)) < share))  # about target_rows rows
-    marked = docs.join(ids, docs[id_col] == ids["target_id"], "left").select(F.col("target_id").isNotNull().cast("int").alias("t"), tokens(docs[text_col]).alias("tokens"))
-    pairs = F.transform(upto(F.lit(1), F.size("tokens") - 1), lambda i: _bucket(F.get("tokens", i - 1), F.get("tokens", i)))
-    buckets = marked.select("t", F.explode_outer(F.concat(F.transform("tokens", lambda x: _bucket(x)), pairs)).alias("bucket")).where("bucket is not null")
+    marked = docs.join(ids, docs[id_col] == ids["target_id"], "left").select(F.col("target_id").isNotNull().cast("int").alias("t"), docs[text_col].alias("text"))
+    # explode_outer, since Spark would evaluate the array of explode a second time to filter empty ones
+    buckets = marked.select("t", F.explode_outer(let(split_words(F.col("text")), hashed)).alias("bucket")).where("bucket is not null")
     rows = buckets.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("target")).collect()  # BUCKETS rows at most
     raw, target = [0] * BUCKETS, [0] * BUCKETS
     for r in rows:
@@ -95,26 +90,24 @@ def train(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_c
     return [math.log((t + 1) / all_target) - math.log((r + 1) / all_raw) for t, r in zip(target, raw, strict=True)]
 
 
-def ratio(text: Column, weights: list[float]) -> Column:
-    """The mean log ratio over hashed n-grams, 0 for a text without any."""
-    table = F.split(F.lit(",".join(f"{w:.5f}" for w in weights)), ",").cast("array<double>")
-    one = lambda t: F.aggregate(t, F.lit(0.0), lambda a, x: a + F.get(table, _bucket(x)))
-    two = lambda t: F.aggregate(upto(F.lit(1), F.size(t) - 1), F.lit(0.0), lambda a, i: a + F.get(table, _bucket(F.get(t, i - 1), F.get(t, i))))
-    return let(tokens(text), lambda t: F.when(F.size(t) > 0, (one(t) + two(t)) / (2 * F.size(t) - 1)).otherwise(0.0))
-
-
 def judge(docs: DataFrame, weights: list[float], id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Per row: the id, the counts, base_failed, kept and ratio. Other columns are not read."""
-    found = counts(docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_")), "text_").withColumn("ratio", ratio(F.col("text_"), weights))
-    failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
+    """Per row: the id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and ratio.
+
+    Whole texts count, null as empty. Other columns are not read.
+    """
+    own = docs.select(F.col(id_col).alias("id_"), F.coalesce(F.col(text_col), F.lit("")).alias("text_"))
+    lines = F.filter(F.split("text_", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
+    found = own.select(
+        "id_", measures(F.col("text_"), weights).alias("m"), F.regexp_count("text_", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
+    )
+    failed = base_failed(F.col("m.n_words"), F.col("m.n_repeat_words"))
     return found.select(
-        F.col("id_").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
-        (~failed & (F.col("ratio") >= threshold)).alias("kept"), "ratio",
+        F.col("id_").alias(id_col), "m.n_words", "m.word_chars", "n_symbols", "n_dup_lines", "m.n_repeat_words", failed.alias("base_failed"),
+        (~failed & (F.col("m.ratio") >= threshold)).alias("kept"), "m.ratio",
     )
 
 
 def keep_good(docs: DataFrame, weights: list[float], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that pass, with their own columns."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    failed = let(_word_counts(text), lambda c: base_failed(c["n_words"], c["n_repeat_words"]))
-    return docs.where(~failed & (ratio(text, weights) >= threshold))
+    return docs.where(let(measures(F.col(text_col), weights), lambda m: ~base_failed(m["n_words"], m["n_repeat_words"]) & (m["ratio"] >= threshold)))
