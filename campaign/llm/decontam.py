@@ -11,24 +11,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columns import let, plain_words, upto
+from .columns import let, plain_words, sliding_least, upto, window_hashes
+from .shared import cut
 
 WINDOW = 10
 GRAM = 5
 BROADCAST_ROWS = 500_000
+#: up to so many fingerprints of items are written into the plan as a set, so documents without any are passed over early
+SET_KEYS = 20_000
 
 
-def _fingerprints(words: Column) -> Column:
-    """(start, hash) of each window, from 0, that begins a run of one least hash. Texts of fewer words have none."""
-    per_window = WINDOW - GRAM + 1
-    hashes = F.transform(upto(F.lit(1), F.size(words) - (GRAM - 1)), lambda i: F.xxhash64(F.slice(words, i, GRAM)))
-    least = lambda h: F.transform(upto(F.lit(1), F.size(h) - (per_window - 1)), lambda i: F.array_min(F.slice(h, i, per_window)))
+def _within(x: Column, keys: list[int] | None) -> Column:
+    return x.isin(keys) if keys is not None else F.lit(True)
+
+
+def _fingerprints(words: Column, keys: list[int] | None = None) -> Column:
+    """(start, length, hash) of each window, from 0, that begins a run of one least hash. Texts of fewer words have none.
+
+    If keys are given, texts in which none of them occurs have none either.
+    """
+    least = lambda h: sliding_least(h, WINDOW - GRAM + 1)
     new = lambda m: F.filter(upto(F.lit(0), F.size(m) - 1), lambda j: (j == 0) | (F.get(m, j) != F.get(m, j - 1)))
-    picked = lambda m: F.transform(new(m), lambda j: F.struct(j.alias("start"), F.get(m, j).alias("hash")))
-    return let(hashes, lambda h: let(least(h), picked))
+    mark = lambda j, m: F.struct(j.alias("start"), F.lit(WINDOW).alias("length"), F.get(m, j).alias("hash"))
+    picked = lambda m: F.transform(new(m), lambda j: mark(j, m))
+    return let(window_hashes(words, GRAM), lambda h: F.when(F.exists(h, lambda x: _within(x, keys)), let(least(h), picked)).otherwise(_no_marks()))
+
 
+def _whole(words: Column, length: int, keys: list[int] | None) -> Column:
+    """(start, length, hash) of all windows of a short length whose hash is among the keys."""
+    every = F.transform(upto(F.lit(1), F.size(words) - (length - 1)), lambda i: F.struct((i - 1).alias("start"), F.lit(length).alias("length"), F.xxhash64(F.slice(words, i, length)).alias("hash")))
+    return F.filter(every, lambda x: _within(x["hash"], keys))
 
-def _window(start: Column, length: Column | int) -> Column:
+
+def _no_marks() -> Column:
+    return F.array().cast("array<struct<start:int,length:int,hash:bigint>>")
+
+
+def _window(start: Column, length: Column) -> Column:
     """The window that starts at a word (from 0), as text."""
     return F.array_join(F.slice("words", start + 1, length), " ")
 
@@ -43,37 +62,43 @@ def item_windows(items: DataFrame, id_col: str, text_col: str) -> tuple[DataFram
     words = items.select(F.col(id_col).alias("item"), plain_words(F.col(text_col)).alias("words")).where(F.size("words") > 0)
     long_ = words.where(F.size("words") >= WINDOW)
     short = words.where(F.size("words") < WINDOW)
+    # explode_outer, since Spark would evaluate the array of explode a second time to filter empty ones
     marks = long_.select(F.explode_outer(_fingerprints(F.col("words"))).alias("mark"))
-    keys = marks.select(F.lit(WINDOW).alias("length"), "mark.hash").where("hash is not null")
+    keys = marks.select("mark.length", "mark.hash").where("hash is not null")
     keys = keys.union(short.select(F.size("words"), F.xxhash64("words"))).distinct()
-    windows = long_.select(F.lit(WINDOW).alias("length"), F.explode(F.transform(upto(F.lit(0), F.size("words") - WINDOW), lambda i: _window(i, WINDOW))).alias("window"), "item")
+    windows = long_.select(F.lit(WINDOW).alias("length"), F.explode_outer(F.transform(upto(F.lit(0), F.size("words") - WINDOW), lambda i: _window(i, F.lit(WINDOW)))).alias("window"), "item")
     windows = windows.union(short.select(F.size("words"), F.array_join("words", " "), "item")).distinct()
     return keys, windows
 
 
-def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(id, row_hash, start, length, item): every place of a document where a window of an item occurs."""
-    keys, windows = item_windows(items, item_col, item_text)
+def marked(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """Per row: id, row_hash, n_words, marks and, where there are any, words; and the number of keys. Written once.
+
+    Which lengths occur is read from the keys: WINDOW, and those of shorter items.
+    """
     counts = {r["length"]: r["n"] for r in keys.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most WINDOW rows
+    total = sum(counts.values())
+    known: dict[int, list[int] | None] = dict.fromkeys(counts)
+    if total <= SET_KEYS:
+        for r in keys.groupBy("length").agg(F.collect_list("hash").alias("hashes")).collect():
+            known[r["length"]] = r["hashes"]
+    marks = [_fingerprints(F.col("words"), known[WINDOW])] if counts.get(WINDOW) else []
+    marks += [_whole(F.col("words"), k, known[k]) for k in sorted(set(counts) - {WINDOW})]
     words = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row_hash"), plain_words(F.col(text_col)).alias("words"))
-    found = None
-    if counts.get(WINDOW):
-        # explode_outer, since Spark would evaluate the array of explode a second time to filter empty ones
-        marks = words.select("id", "row_hash", "words", F.explode_outer(_fingerprints(F.col("words"))).alias("mark"))
-        near = marks.select("id", "row_hash", "words", F.col("mark.start").alias("mark"), "mark.hash").join(_sized(keys.where(F.col("length") == WINDOW).select("hash"), counts[WINDOW]), "hash")
-        reach = WINDOW - GRAM
-        starts = F.explode_outer(upto(F.greatest(F.lit(0), F.col("mark") - reach), F.least(F.size("words") - WINDOW, F.col("mark") + reach)))
-        found = near.select("id", "row_hash", "words", starts.alias("start"))
-        found = found.select("id", "row_hash", "start", F.lit(WINDOW).alias("length"), _window(F.col("start"), WINDOW).alias("window"))
-    for length in sorted(set(counts) - {WINDOW}):
-        every = F.transform(upto(F.lit(1), F.size("words") - (length - 1)), lambda i, k=length: F.xxhash64(F.slice("words", i, k)))
-        part = words.withColumn("hashes", every).select("id", "row_hash", "words", F.posexplode_outer("hashes").alias("start", "hash"))
-        part = part.join(_sized(keys.where(F.col("length") == length).select("hash"), counts[length]), "hash")
-        part = part.select("id", "row_hash", "start", F.lit(length).alias("length"), _window(F.col("start"), length).alias("window"))
-        found = part if found is None else found.union(part)
-    if found is None:
-        found = words.where("false").select("id", "row_hash", F.lit(0).alias("start"), F.lit(0).alias("length"), F.lit("").alias("window"))
-    return found.join(_sized(windows, 20 * sum(counts.values())), ["length", "window"]).select("id", "row_hash", "start", "length", "item").distinct()
+    found = words.select("id", "row_hash", "words", F.size("words").cast("long").alias("n_words"), (F.concat(*marks) if marks else _no_marks()).alias("marks"))
+    return cut(found.select("id", "row_hash", "n_words", "marks", F.when(F.size("marks") > 0, F.col("words")).alias("words"))), total
+
+
+def hits(found: DataFrame, keys: DataFrame, windows: DataFrame, n_keys: int) -> DataFrame:
+    """(id, row_hash, start, length, item): every place of a document where a window of an item occurs."""
+    marks = found.where(F.size("marks") > 0).select("id", "row_hash", "words", F.explode("marks").alias("mark")).select("id", "row_hash", "words", "mark.*")
+    near = marks.join(_sized(keys, n_keys), ["length", "hash"])
+    reach = F.when(F.col("length") == WINDOW, WINDOW - GRAM).otherwise(0)
+    starts = upto(F.greatest(F.lit(0), F.col("start") - reach), F.least(F.size("words") - F.col("length"), F.col("start") + reach))
+    places = near.select("id", "row_hash", "words", "length", F.explode_outer(starts).alias("start"))
+    places = places.select("id", "row_hash", "start", "length", _window(F.col("start"), F.col("length")).alias("window")).distinct()
+    # an item of n words has at most n fingerprints and windows
+    return places.join(_sized(windows, 8 * n_keys), ["length", "window"]).select("id", "row_hash", "start", "length", "item").distinct()
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -82,18 +107,17 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     Null and empty texts have no words and no hits. Rows that repeat each get the same result. Items
     with a null id count as one item without a name.
     """
-    found = hits(docs, items, id_col, text_col, item_col, item_text)
-    places = found.select("id", "row_hash", "start", "length").distinct()
-    covered = places.select("id", "row_hash", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("place")).distinct()
+    keys, windows = item_windows(items, item_col, item_text)
+    rows, n_keys = marked(docs, keys, id_col, text_col)
+    found = cut(hits(rows, keys, windows, n_keys))
+    covered = found.select("id", "row_hash", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("place")).distinct()
     n_hit = covered.groupBy("id", "row_hash").agg(F.count("*").alias("n_hit"))
     of = found.groupBy("id", "row_hash").agg(F.array_sort(F.collect_set(F.coalesce(F.col("item").cast("string"), F.lit("")))).alias("items"))
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row_hash"), F.size(plain_words(F.col(text_col))).cast("long").alias("n_words"))
-    null_safe = lambda a, b: a["row_hash"].eqNullSafe(b["row_hash"]) & a["id"].eqNullSafe(b["id"])
-    joined = rows.join(n_hit, null_safe(rows, n_hit), "left").select(rows["id"], rows["row_hash"], "n_words", "n_hit")
-    joined = joined.join(of, null_safe(joined, of), "left").select(joined["id"], joined["row_hash"], "n_words", "n_hit", "items")
+    per = n_hit.join(of, n_hit["row_hash"].eqNullSafe(of["row_hash"]) & n_hit["id"].eqNullSafe(of["id"])).select(n_hit["id"], n_hit["row_hash"], "n_hit", "items")
+    joined = rows.join(per, rows["row_hash"].eqNullSafe(per["row_hash"]) & rows["id"].eqNullSafe(per["id"]), "left")
     none = F.array().cast("array<string>")
     return joined.select(
-        F.col("id").alias(id_col), "row_hash", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+        rows["id"].alias(id_col), rows["row_hash"], "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", none).alias("items"),
     )
 
@@ -103,7 +127,9 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.select(id_col, "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **columns) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of docs in which no window of an item occurs."""
-    bad = hits(docs, items, id_col, text_col, **columns).select("id", "row_hash").distinct()
+    keys, windows = item_windows(items, item_col, item_text)
+    rows, n_keys = marked(docs, keys, id_col, text_col)
+    bad = hits(rows, keys, windows, n_keys).select("id", "row_hash").distinct()
     return docs.join(bad, bad["id"].eqNullSafe(docs[id_col]) & (bad["row_hash"] == F.xxhash64(docs[id_col], docs[text_col])), "left_anti")
