@@ -73,11 +73,11 @@ def empty_column(spark, sf):
 
 @job(
     """WITH m AS (SELECT o_custkey, avg(o_totalprice) / 1000 AS mean, min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders GROUP BY 1)
-    SELECT o_custkey, round(pow(mean, 4), 3) AS mean_pow4, high - low AS spread, round(2 * mean, 6) AS mean_double FROM m"""
+    SELECT o_custkey, round(pow(mean, 4), 0) AS mean_pow4, high - low AS spread, round(2 * mean, 9) AS mean_double FROM m"""
 )
 def derive_moments(spark, sf):
     m = c.table(spark, sf, "orders").groupBy("o_custkey").agg((F.avg("o_totalprice") / 1000).alias("mean"), F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"))
-    return op.derive_moments(m, "mean", "low", "high").select("o_custkey", F.round("mean_pow4", 3).alias("mean_pow4"), "spread", F.round("mean_double", 6).alias("mean_double"))
+    return op.derive_moments(m, "mean", "low", "high").select("o_custkey", F.round("mean_pow4", 0).alias("mean_pow4"), "spread", F.round("mean_double", 9).alias("mean_double"))
 
 
 @job("SELECT l_orderkey, l_partkey, l_discount, l_tax FROM lineitem WHERE l_discount <> 0 AND l_tax <> 0")
