@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontam, language, licences, lm, neardup, packing, quality, secrets, toxicity
+from .oracles import ORACLES as ORACLES
 from .shared import fold, table
 
 
@@ -71,4 +72,3 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_preference_formatting, op2_secret_scan, op3_decontamination, op4_best_fit_packing, op5_toxicity, op6_quality_rules, op7_language_id, op8_licence_scan, op9_lm_scoring, op10_ngram_jaccard_join)}
-ORACLES: dict[str, str] = {}
