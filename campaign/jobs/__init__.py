@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["tasks", "history", "scalars", "tables", "accounting", "grids", "text", "streams"]
+MODULES = ["tasks", "history", "scalars", "tables", "accounting", "grids", "text", "streams", "files"]
 
 
 def registry() -> tuple[dict, dict]:

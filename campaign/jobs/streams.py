@@ -6,13 +6,12 @@ what arrived; their SQL is that of the batch operator.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import evolve as ev
 from ..sources import canonical as c
+from ..sources.scratch import new_folder
 from ..streaming import events as st
 from .base import Jobs
 
@@ -33,10 +32,7 @@ def _stream(spark, sf: str) -> DataFrame:
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """All that a stream gives for the input that is there, through files in the checkpoint folder."""
     spark = stream.sparkSession
-    from ..sources.scratch import cut
-
-    cut(spark.range(1))  # makes sure that the folder is set
-    folder = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "stream")
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
@@ -90,10 +86,7 @@ def listing_changes(spark, sf):
 @job("SELECT regexp_extract(event_type, '^.*$') AS line, count(*) AS n FROM events GROUP BY 1")
 def follow_log(spark, sf):
     """The kinds of events, written as log lines and followed as a stream."""
-    from ..sources.scratch import cut
-
-    cut(spark.range(1))
-    folder = f"{spark.sparkContext.getCheckpointDir()}/logs-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "logs")
     c.table(spark, sf, "events").select("event_type").write.text(folder)
     return drain(st.follow_log(spark, folder, "*.txt")).groupBy("line").agg(F.count("*").alias("n"))
 

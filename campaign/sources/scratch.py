@@ -5,13 +5,16 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written once to the folder in spark.checkpoint.dir; where it is unset on a single machine, to a temporary one."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """The name of a folder that does not exist yet, in the folder in spark.checkpoint.dir.
+
+    Only where that is unset on a single machine, as in tests, a temporary folder takes its place.
+    """
     if not spark.sparkContext.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
@@ -20,4 +23,10 @@ def cut(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
             atexit.register(shutil.rmtree, folder, True)
         spark.sparkContext.setCheckpointDir(folder)
+    return f"{spark.sparkContext.getCheckpointDir()}/{kind}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, written once to the shared folder, without their lineage."""
+    new_folder(df.sparkSession, "cut")
     return df.checkpoint(eager=True)

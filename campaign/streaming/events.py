@@ -18,7 +18,7 @@ CREATED, MODIFIED, CLOSED, DELETED = 1, 2, 4, 8
 
 def inbox_created(spark: SparkSession, folder: str, pattern: str | None = None, per_trigger: int = 1000) -> DataFrame:
     """A stream of (path, mtime): one row for each new file, of the given name pattern."""
-    reader = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", per_trigger).option("recursiveFileLookup", "true")
+    reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", per_trigger).option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     return reader.load(folder).select("path", F.col("modificationTime").alias("mtime"))
