@@ -327,10 +327,10 @@ def kernel_vector(unit):
     out = defaultdict(float)
     square = 0.0
     for i in range(len(s)):
-        for j, k in toxicity.SPANS:
-            if i + k < len(s):
-                out[s[i], s[i + j], s[i + k]] += toxicity.DECAY ** (k - 2)
-                square += toxicity.DECAY ** (2 * (k - 2))
+        for span in toxicity.SPANS:
+            if i + span[-1] < len(s):
+                out[(s[i], *(s[i + k] for k in span))] += toxicity.DECAY ** (span[-1] - 3)
+                square += toxicity.DECAY ** (2 * (span[-1] - 3))
     return out, math.sqrt(square)
 
 
@@ -345,7 +345,7 @@ def test_decision_is_the_sum_of_landmark_kernels():
     assert min(got[:2]) > 0.3 > max(got[2:6])
     for unit, f in zip(names, got):
         vector, length = kernel_vector(unit)
-        expected = sum(weights[(a * toxicity.SYMBOLS + b) * toxicity.SYMBOLS + c] * v for (a, b, c), v in vector.items()) / length + bias
+        expected = sum(weights[toxicity.place(*(np.array([x], np.int32) for x in some))[0]] * v for some, v in vector.items()) / length + bias
         assert f == pytest.approx(expected, abs=1e-5)
 
 
