@@ -26,33 +26,41 @@ from .shared import cut
 ORDER = 3
 BACKOFF = 0.4
 LEAST_COUNT = 2
-BLOCK_BYTES = 16 << 20
-PART_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
+PART_BYTES = 6 << 20
+_BITS = np.uint64(40)
 _LOW = np.uint64((1 << 40) - 1)
 
 
-def _packed(hashes: np.ndarray) -> bytes:
-    """The lower five bytes of each hash."""
-    return np.ascontiguousarray((hashes & _LOW).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+def _keys(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """Partition and the lower 40 bits of each hash as one number."""
+    return ((hashes >> _BITS) % np.uint64(parts)) << _BITS | (hashes & _LOW)
+
+
+def _starts(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Where each partition starts in sorted keys."""
+    return np.searchsorted(keys, np.arange(parts + 1, dtype=np.uint64) << _BITS)
+
+
+def _packed(keys: np.ndarray) -> bytes:
+    """Sorted keys of one partition: gaps in four bytes each where they fit, else the keys in five."""
+    low = keys & _LOW
+    gaps = np.diff(low, prepend=np.uint64(0))
+    if gaps.max() < 1 << 32:
+        return b"\4" + gaps.astype("<u4").tobytes()
+    return b"\5" + np.ascontiguousarray(low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
 
 
 def _unpacked(data: bytes) -> np.ndarray:
+    if data[0] == 4:
+        return np.cumsum(np.frombuffer(data, "<u4", offset=1), dtype=np.uint64)
     out = np.zeros((len(data) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    out[:, :5] = np.frombuffer(data, np.uint8, offset=1).reshape(-1, 5)
     return out.view("<u8").ravel()
 
 
-def _grams(table: pa.Table, order: int) -> tuple[Words, list[Words]]:
-    raw, bounds = utf8(table.column("text"))
-    found = words(raw, bounds)
-    return found, [ngrams(found, n) for n in range(1, order + 1)]
-
-
-def _split(distinct: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """An order of the n-grams by partition, and where each partition starts."""
-    part = ((distinct >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    return order, np.searchsorted(part[order], np.arange(parts + 1))
+def _words(table: pa.Table) -> Words:
+    return words(*utf8(table.column("text")))
 
 
 def score(
@@ -73,19 +81,15 @@ def score(
     dealt = own.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int")).repartition(min(blocks, 100_000), "block")
 
     def ask(table: pa.Table) -> pa.Table:
-        block = table.column("block")[0].as_py()
-        _, all_grams = _grams(table, order)
+        block, found = table.column("block")[0].as_py(), _words(table)
         out: dict[str, list] = {"part": [], "block": [], "n": [], "grams": [], "times": []}
-        for n, found in enumerate(all_grams, 1):
-            distinct, times = np.unique(found.hashes, return_counts=True)
-            by, start = _split(distinct, parts)
-            distinct, times = distinct[by], times[by].astype("<u4")
+        for n in range(1, order + 1):
+            distinct, times = np.unique(_keys(ngrams(found, n).hashes, parts), return_counts=True)
+            start, times = _starts(distinct, parts), times.astype("<u4")
             for p in np.flatnonzero(np.diff(start)):
-                out["part"].append(int(p))
-                out["block"].append(block)
-                out["n"].append(n)
-                out["grams"].append(_packed(distinct[start[p] : start[p + 1]]))
-                out["times"].append(zlib.compress(times[start[p] : start[p + 1]].tobytes(), 1))
+                own = slice(start[p], start[p + 1])
+                for name, value in (("part", int(p)), ("block", block), ("n", n), ("grams", _packed(distinct[own])), ("times", zlib.compress(times[own].tobytes(), 1))):
+                    out[name].append(value)
         return pa.table(out, pa.schema([("part", pa.int32()), ("block", pa.int32()), ("n", pa.int32()), ("grams", pa.binary()), ("times", pa.binary())]))
 
     def answer(table: pa.Table) -> pa.Table:
@@ -110,7 +114,7 @@ def score(
     kind = docs.schema[id_col].dataType.simpleString()
 
     def add_up(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        found, all_grams = _grams(texts, order)
+        found = _words(texts)
         rows, n_words = texts.num_rows, len(found.hashes)
         row = np.repeat(np.arange(rows), np.diff(found.bounds))
         place = np.arange(n_words) - np.repeat(found.bounds[:-1], np.diff(found.bounds))
@@ -119,17 +123,16 @@ def score(
             by_order.setdefault(n, []).append((part, totals))
         # the count of the n-gram that ends at each word, by order; 0 where the row's start is too near
         counts = []
-        for n, grams in enumerate(all_grams, 1):
-            ends = np.zeros(n_words, np.int64)
-            if len(grams.hashes):
-                distinct, where = np.unique(grams.hashes, return_inverse=True)
-                by, _ = _split(distinct, parts)
-                totals = np.empty(len(distinct), np.int64)
-                totals[by] = np.concatenate([np.frombuffer(zlib.decompress(x), "<u4") for _, x in sorted(by_order[n])])
+        for n in range(1, order + 1):
+            ends = np.zeros(n_words, np.uint32)
+            keys = _keys(ngrams(found, n).hashes, parts)
+            if len(keys):
+                _, where = np.unique(keys, return_inverse=True)  # in the order of the request
+                totals = np.concatenate([np.frombuffer(zlib.decompress(x), "<u4") for _, x in sorted(by_order.pop(n))])
                 ends[place >= n - 1] = totals[where]
             counts.append(ends)
         log = np.zeros(n_words)
-        level = np.zeros(n_words, np.int64)
+        level = np.zeros(n_words, np.int8)
         for n in range(order, 1, -1):
             hit = (level == 0) & (counts[n - 1] >= least)
             at = np.flatnonzero(hit)
@@ -146,7 +149,7 @@ def score(
                 "n_words": pa.array(np.diff(found.bounds)),
                 "n_known": pa.array(np.bincount(row[skipped == 0], minlength=rows)),
                 "n_single": pa.array(np.bincount(row[level == 1], minlength=rows)),
-                "log_sum": pa.array(np.bincount(row, log, rows)),
+                "log_sum": pa.array(np.bincount(row, log, rows).astype(np.float64)),
             }
         )
 
