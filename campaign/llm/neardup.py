@@ -258,35 +258,56 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, block: int = BLOCK
-) -> DataFrame:
-    """One row per row of docs: the id, class_id (least id of its class), n_links and n_words_sets.
+def _classes(docs: DataFrame, id_col: str, text_col: str, n: int, similarity: float, recall: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """(rows: the id, text_hash, set_key and bands; sets: set_key, links with copies, first).
 
-    n_links counts the other rows whose n-gram sets have a Jaccard similarity of at least
-    `similarity`, copies included. A row without words (null, empty, punctuation only) is a class of
-    its own without links, as is a row with a null id and no links. Columns other than the two named
-    are not read.
+    `first` is (id is null, id, text_hash) of the first row of the set's class.
     """
     bands, rows = banding(similarity, recall)
-    sig = cut(signatures(docs, text_col, bands, rows, n, id_col))
+    own = docs.select(F.col(id_col), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col))
+    sig = cut(signatures(own, text_col, bands, rows, n, id_col, "text_hash"))
     keyed = sig.where("set_key is not null")
-    reps = keyed.groupBy("set_key").agg(F.count("*").alias("copies"), F.min(id_col).alias("least"), F.first("bands").alias("bands"))
-    reps = cut(reps)
+    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "text_hash"))
+    reps = cut(keyed.groupBy("set_key").agg(F.count("*").alias("copies"), first.alias("least"), F.first("bands").alias("bands")))
     found = cut(links(docs, reps, text_col, n, similarity, bands, block))
     label = components(found.select(F.col("set_key").alias("u"), F.col("root").alias("v")))
     total = found.groupBy("set_key").agg(F.sum("links").alias("links"))
     sets = reps.select("set_key", "copies", "least").join(label.select(F.col("node").alias("set_key"), "label"), "set_key", "left").join(total, "set_key", "left")
     sets = sets.select("set_key", "copies", "least", F.coalesce("label", "set_key").alias("label"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
-    classes = sets.groupBy("label").agg(F.min("least").alias("class_id"))
-    sets = sets.join(classes, "label").select("set_key", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    joined = sig.select(id_col, "set_key").join(sets, "set_key", "left")
+    classes = sets.groupBy("label").agg(F.min("least").alias("first"))
+    return sig, sets.join(classes, "label").select("set_key", "first", (F.col("links") + F.col("copies") - 1).alias("n_links"))
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, block: int = BLOCK
+) -> DataFrame:
+    """One row per row of docs: the id, class_id (least id of its class) and n_links.
+
+    n_links counts the other rows whose n-gram sets have a Jaccard similarity of at least
+    `similarity`, copies included. A row without words (null, empty, punctuation only) is a class of
+    its own without links, as is a row with a null id and no links. Columns other than the two named
+    are not read.
+    """
+    sig, sets = _classes(docs, id_col, text_col, n, similarity, recall, block)
+    joined = sig.select(id_col, "set_key").join(sets.select("set_key", F.col("first.id").alias("class_id"), "n_links"), "set_key", "left")
     return joined.select(id_col, F.coalesce("class_id", F.col(id_col)).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs, one of each class: that with the least id. Of rows that repeat an id, any one stays; rows with a null id all stay."""
-    found = near_duplicates(docs, id_col, text_col, **options)
-    dropped = found.where(F.col(id_col) != F.col("class_id")).select(id_col).distinct()
-    kept = docs.join(dropped, id_col, "left_anti")
-    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, block: int = BLOCK
+) -> DataFrame:
+    """The rows of docs, one of each class: that with the least id, null ids last and ties by the text's hash.
+
+    Rows are told apart by id and text, so different texts under one id are judged each on its own; of
+    rows that repeat both, one stays. Rows without words all stay.
+    """
+    sig, sets = _classes(docs, id_col, text_col, n, similarity, recall, block)
+    rows = sig.where("set_key is not null").select(F.col(id_col).alias("id_"), "text_hash", "set_key").join(sets.select("set_key", "first"), "set_key")
+    chosen = F.col("id_").eqNullSafe(F.col("first.id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    marks = cut(rows.groupBy("id_", F.col("text_hash").alias("hash_")).agg(F.bool_and(chosen).alias("chosen"), F.count("*").alias("rows")).where("not chosen or rows > 1"))
+    gone, repeated = marks.where("not chosen"), marks.where("chosen")
+    same = lambda df: docs[id_col].eqNullSafe(df["id_"]) & (F.xxhash64(docs[text_col]) == df["hash_"])
+    kept = docs.join(gone, same(gone), "left_anti")
+    if repeated.isEmpty():
+        return kept
+    return kept.join(repeated, same(repeated), "left_anti").unionByName(docs.join(repeated, same(repeated), "left_semi").dropDuplicates([id_col, text_col]))

@@ -211,6 +211,16 @@ def test_near_duplicates_in_a_large_group_and_odd_texts(spark, block):
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted({c for c, _ in linked(docs).values()})
 
 
+def test_one_of_each_class_where_ids_and_rows_repeat(spark):
+    rows = [(1, "a b c d e f", "x"), (1, "a b c d e f", "y"), (1, "g h i j k l", "x"), (2, "A b c d e f", "x"), (None, "g h i j k l", "x"), (None, "m n o p q r", "x"), (None, "m n o p q r", "x"), (3, None, "x"), (3, None, "x"), (3, "", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, hash_ string")
+    kept = neardup.keep_one(df)
+    assert kept.columns == df.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr)
+    assert got == sorted([(1, "a b c d e f"), (1, "g h i j k l"), (None, "m n o p q r"), (3, None), (3, None), (3, "")], key=repr)
+    assert neardup.keep_one(df.limit(0)).count() == 0
+
+
 def test_near_duplicates_of_nothing_and_of_null_ids(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert neardup.near_duplicates(empty).count() == 0
