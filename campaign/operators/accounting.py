@@ -22,11 +22,14 @@ def slurm_usage(lines: DataFrame, line: str = "line") -> DataFrame:
     cells = F.split(F.trim(line), r"\|")
     raw = lines.where(F.trim(F.col(line)) != "").select(*(F.get(cells, F.lit(k)).alias(n) for k, n in enumerate(SLURM_FIELDS)))
     time = lambda c: F.try_to_timestamp(c, F.lit("yyyy-MM-dd'T'HH:mm:ss")).cast("timestamp_ntz")
+    step = F.col("jobid").contains(".")
+    # a field is parsed only in the records whose value counts, since steps are many and parsing is what costs
+    of_master, of_step = (lambda x: F.when(~step, x)), (lambda x: F.when(step, x))
     part = raw.select(
-        F.split_part("jobid", F.lit("."), F.lit(1)).alias("job"), F.col("jobid").contains(".").alias("step"), F.split_part("state", F.lit(" "), F.lit(1)).alias("state"), "exit",
-        F.col("ncpus").try_cast("int").alias("ncpus"), f.parse_elapsed(F.col("elapsed")).alias("elapsed"), f.parse_elapsed(F.col("totalcpu")).alias("totalcpu"),
-        time("submit").alias("submit"), time("start").alias("start"), time("end").alias("end"),
-        f.parse_suffixed_memory(F.col("maxrss"), f.SLURM_MEMORY).alias("rss"), f.parse_suffixed_memory(F.col("maxvmsize"), f.SLURM_MEMORY).alias("vmem"),
+        F.split_part("jobid", F.lit("."), F.lit(1)).alias("job"), step.alias("step"), of_master(F.split_part("state", F.lit(" "), F.lit(1))).alias("state"), "exit",
+        of_master(F.col("ncpus").try_cast("int")).alias("ncpus"), of_master(f.parse_elapsed(F.col("elapsed"))).alias("elapsed"), of_master(f.parse_elapsed(F.col("totalcpu"))).alias("totalcpu"),
+        time("submit").alias("submit"), time("start").alias("start"), of_master(time("end")).alias("end"),
+        of_step(f.parse_suffixed_memory(F.col("maxrss"), f.SLURM_MEMORY)).alias("rss"), of_step(f.parse_suffixed_memory(F.col("maxvmsize"), f.SLURM_MEMORY)).alias("vmem"),
     )
     master = lambda c: F.max(F.when(~F.col("step"), F.col(c)))
     of_steps = lambda agg, c: agg(F.when(F.col("step"), F.col(c)))
