@@ -1,9 +1,10 @@
 """Benchmark decontamination by winnowing.
 
 A window is WINDOW consecutive words. Both sides are fingerprinted with the least hash of the GRAM-word
-n-grams in each window (of equal neighbours the first), so every shared window shares a fingerprint.
-Fingerprints are joined; around each hit the document's windows are compared with the items' windows word
-by word. Items of fewer words are one window; those are looked up by the hash of all their words.
+n-grams in each window (of equal ones the first), at every place where such an n-gram stands, so every shared
+window holds a fingerprint of both sides. Fingerprints are joined; the document's windows that hold the hit
+n-gram are compared with the items' windows word by word. Items of fewer words are one window; those are
+looked up by the hash of all their words.
 """
 
 from __future__ import annotations
@@ -26,14 +27,15 @@ def _within(x: Column, keys: list[int] | None) -> Column:
 
 
 def _fingerprints(words: Column, keys: list[int] | None = None) -> Column:
-    """(start, length, hash) of each window, from 0, that begins a run of one least hash. Texts of fewer words have none.
+    """(start, length, hash): each place, from 0, of an n-gram that is the first of least hash in some window. Texts of fewer words have none.
 
-    If keys are given, texts in which none of them occurs have none either.
+    If keys are given, only those among them.
     """
-    least = lambda h: sliding_least(h, WINDOW - GRAM + 1)
-    new = lambda m: F.filter(upto(F.lit(0), F.size(m) - 1), lambda j: (j == 0) | (F.get(m, j) != F.get(m, j - 1)))
-    mark = lambda j, m: F.struct(j.alias("start"), F.lit(WINDOW).alias("length"), F.get(m, j).alias("hash"))
-    picked = lambda m: F.transform(new(m), lambda j: mark(j, m))
+    placed = lambda h: F.transform(h, lambda x, i: F.struct(x.alias("hash"), i.alias("at")))
+    least = lambda h: sliding_least(placed(h), WINDOW - GRAM + 1)
+    new = lambda m: F.filter(upto(F.lit(0), F.size(m) - 1), lambda j: ((j == 0) | (F.get(m, j)["at"] != F.get(m, j - 1)["at"])) & _within(F.get(m, j)["hash"], keys))
+    mark = lambda x: F.struct(x["at"].alias("start"), F.lit(WINDOW).alias("length"), x["hash"].alias("hash"))
+    picked = lambda m: F.transform(new(m), lambda j: mark(F.get(m, j)))
     return let(window_hashes(words, GRAM), lambda h: F.when(F.exists(h, lambda x: _within(x, keys)), let(least(h), picked)).otherwise(_no_marks()))
 
 
@@ -47,9 +49,17 @@ def _no_marks() -> Column:
     return F.array().cast("array<struct<start:int,length:int,hash:bigint>>")
 
 
-def _window(start: Column, length: Column) -> Column:
+def _window(words: Column, start: Column, length: Column) -> Column:
     """The window that starts at a word (from 0), as text."""
-    return F.array_join(F.slice("words", start + 1, length), " ")
+    return F.array_join(F.slice(words, start + 1, length), " ")
+
+
+def _around(mark: Column) -> Column:
+    """(length, hash, first, last, words): the first and last start of the windows that hold a mark, and the words of all of them."""
+    reach = F.when(mark["length"] == WINDOW, WINDOW - GRAM).otherwise(0)
+    ends = F.struct(F.greatest(F.lit(0), mark["start"] - reach).alias("first"), F.least(F.size("words") - mark["length"], mark["start"]).alias("last"))
+    of = lambda x: F.struct(mark["length"].alias("length"), mark["hash"].alias("hash"), x["first"].alias("first"), x["last"].alias("last"), F.slice("words", x["first"] + 1, x["last"] - x["first"] + mark["length"]).alias("words"))
+    return let(ends, of)
 
 
 def _sized(df: DataFrame, rows: int) -> DataFrame:
@@ -66,7 +76,7 @@ def item_windows(items: DataFrame, id_col: str, text_col: str) -> tuple[DataFram
     marks = long_.select(F.explode_outer(_fingerprints(F.col("words"))).alias("mark"))
     keys = marks.select("mark.length", "mark.hash").where("hash is not null")
     keys = keys.union(short.select(F.size("words"), F.xxhash64("words"))).distinct()
-    windows = long_.select(F.lit(WINDOW).alias("length"), F.explode_outer(F.transform(upto(F.lit(0), F.size("words") - WINDOW), lambda i: _window(i, F.lit(WINDOW)))).alias("window"), "item")
+    windows = long_.select(F.lit(WINDOW).alias("length"), F.explode_outer(F.transform(upto(F.lit(0), F.size("words") - WINDOW), lambda i: _window(F.col("words"), i, F.lit(WINDOW)))).alias("window"), "item")
     windows = windows.union(short.select(F.size("words"), F.array_join("words", " "), "item")).distinct()
     return keys, windows
 
@@ -91,12 +101,11 @@ def marked(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> tupl
 
 def hits(found: DataFrame, keys: DataFrame, windows: DataFrame, n_keys: int) -> DataFrame:
     """(id, row_hash, start, length, item): every place of a document where a window of an item occurs."""
-    marks = found.where(F.size("marks") > 0).select("id", "row_hash", "words", F.explode("marks").alias("mark")).select("id", "row_hash", "words", "mark.*")
+    # a mark takes along the words around it, not the whole text
+    marks = found.where(F.size("marks") > 0).select("id", "row_hash", F.explode_outer(F.transform("marks", _around)).alias("mark")).select("id", "row_hash", "mark.*")
     near = marks.join(_sized(keys, n_keys), ["length", "hash"])
-    reach = F.when(F.col("length") == WINDOW, WINDOW - GRAM).otherwise(0)
-    starts = upto(F.greatest(F.lit(0), F.col("start") - reach), F.least(F.size("words") - F.col("length"), F.col("start") + reach))
-    places = near.select("id", "row_hash", "words", "length", F.explode_outer(starts).alias("start"))
-    places = places.select("id", "row_hash", "start", "length", _window(F.col("start"), F.col("length")).alias("window")).distinct()
+    places = near.select("id", "row_hash", "words", "length", "first", F.explode_outer(upto(F.col("first"), F.col("last"))).alias("start"))
+    places = places.select("id", "row_hash", "start", "length", _window(F.col("words"), F.col("start") - F.col("first"), F.col("length")).alias("window")).distinct()
     # an item of n words has at most n fingerprints and windows
     return places.join(_sized(windows, 8 * n_keys), ["length", "window"]).select("id", "row_hash", "start", "length", "item").distinct()
 

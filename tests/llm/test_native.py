@@ -56,6 +56,19 @@ def test_decontamination_of_short_items_odd_texts_and_repeats(spark, monkeypatch
     assert sorted((tuple(r) for r in got.collect()), key=repr) == decontaminated(docs, items)
 
 
+@pytest.mark.parametrize("set_keys", [20_000, 0])
+def test_decontamination_of_periodic_texts(spark, monkeypatch, set_keys):
+    monkeypatch.setattr(decontam, "SET_KEYS", set_keys)
+    runs = [" ".join(unit * n) for unit in (["x"], ["a", "b"], ["c", "d", "e"], list("fghij"), list("klmnop"), list("qrstuvw")) for n in (12, 30)]
+    ends = [f"{' '.join(c * n)} {tail}" for c in "xyz0" for n in (9, 30) for tail in ("y", "one two", "end of the line here")]
+    items = list(enumerate(runs[::2] + [t for t in ends if len(t.split()) < 20]))
+    docs = list(enumerate(runs + ends + [f"{' '.join('0' * 40)} end of {' '.join('x' * 25)} y {runs[3]}", "clean words only"]))
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    expected = decontaminated(docs, items)
+    assert sorted((tuple(r) for r in decontam.digest(decontam.contamination(*frames)).collect()), key=repr) == expected
+    assert sorted(r["doc_id"] for r in decontam.clean(*frames).collect()) == sorted(r[0] for r in expected if not r[-1])
+
+
 def test_decontamination_keeps_clean_rows_and_their_columns(spark):
     passage = " ".join(f"p{k}" for k in range(12))
     docs = spark.createDataFrame([(1, f"x {passage} y", 5, "a"), (2, "clean text", 6, None), (None, None, 7, "c")], "doc_id long, text string, words int, marks string")
