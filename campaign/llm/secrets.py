@@ -51,6 +51,15 @@ MORE_RULES = (
 RULES = BASE_RULES + MORE_RULES
 MOST_STRINGS = 64
 
+#: A private key from its BEGIN line through the END line of the same kind; without one, through its base64 lines.
+_KEY = (
+    r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----(?:(?:(?!-----BEGIN )[\s\S])*?-----END \1PRIVATE KEY-----"
+    r"""|(?:\s*+(?:Proc-Type|DEK-Info):[^\n]*+)*+(?:[\s"'+,;>#*|\\]*+[A-Za-z0-9+/=]{16,}+|[ \t\r]*+\n[ \t]*+[A-Za-z0-9+/=]++(?=[ \t\r]*+(?:\n|\Z)))*+)"""
+)
+#: What is replaced in a text goes to the secret's end, where the scan's spans stop at a header or a greatest length.
+WHOLE = {"private_key": _KEY, "hosting_token": r"gh[opsu]_[A-Za-z0-9]{36,}", "chat_token": r"xox[abprs]-[A-Za-z0-9-]{10,}", "payment_key": r"sk_live_[A-Za-z0-9]{24,}", "cloud_key": r"AIza[A-Za-z0-9_-]{35,}"}
+WHOLE_RULES = tuple(r._replace(pattern=WHOLE.get(r.kind, r.pattern)) for r in RULES)
+
 # ---- trigram queries ----------------------------------------------------------------------------
 # A query is True (no condition), a trigram, ("and", parts) or ("or", parts).
 
@@ -242,7 +251,7 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.select(id_col, *counts, F.sha2(text(base).cast("binary"), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
 
 
-def redact(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, mark: str = "[secret]") -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = WHOLE_RULES, mark: str = "[secret]") -> DataFrame:
     """The same rows and columns, each secret in the text replaced by the mark; overlapping spans become one mark."""
     small_batches(docs.sparkSession)
 
