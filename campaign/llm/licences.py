@@ -9,10 +9,8 @@ paragraph covers enough words of one of the family's templates.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .columns import let, plain_words
@@ -20,7 +18,8 @@ from .columns import let, plain_words
 UNKNOWN = "unknown"
 BUCKETS = 1 << 20
 ORDINARY_ROWS = 400
-COVERAGE = 0.5  # anchors() goes with one half
+COVERAGE = 0.5
+BOUNDS = 1 << 14
 #: Short notices in common use, by family.
 TEMPLATES = {
     "apache": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."],
@@ -34,28 +33,28 @@ TEMPLATES = {
 }
 
 
-def anchors() -> list[str]:
-    """Words of which a paragraph must hold one, if it holds at least half of the words of some template: the longest half, and one more, of each."""
-    found: set[str] = set()
-    for text in (t for texts in TEMPLATES.values() for t in texts):
-        words = sorted(set(re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", text.lower())), key=lambda w: (-len(w), w))
-        found |= set(words[: len(words) - -(-len(words) // 2) + 1])
-    return sorted(found)
-
-
 def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, row_hash, place, words): lines, numbered from 0 in the whole text."""
     lines = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row_hash"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("place", "line"))
     return lines.select("id", "row_hash", "place", plain_words(F.col("line")).alias("words"))
 
 
-def features(words: DataFrame, *keep: str) -> DataFrame:
-    """A row for each distinct hashed word or pair of a paragraph, with n, the paragraph's number of them."""
+def hashed(words: Column) -> Column:
+    """The distinct hashed words and pairs of a paragraph."""
     bucket = lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")
     both = lambda h: F.array_distinct(F.concat(
         F.transform(h, bucket), F.slice(F.zip_with(h, F.slice(h, 2, F.size(h)), lambda a, b: bucket(F.xxhash64(a, b))), 1, F.greatest(F.size(h) - 1, F.lit(0)))
     ))
-    every = words.withColumn("f", let(F.transform("words", lambda x: F.xxhash64(x)), both))
+    return let(F.transform(words, lambda x: F.xxhash64(x)), both)
+
+
+def features(words: DataFrame, *keep: str, model: Model | None = None) -> DataFrame:
+    """A row for each of a paragraph's features, with n, the paragraph's number of them.
+
+    If a model is given, paragraphs that it can't give to a family have one row with a null feature.
+    """
+    f = hashed(F.col("words"))
+    every = words.withColumn("f", f if model is None else let(f, lambda x: F.when(model.may_be_family(x), x)))
     return every.select(*keep, F.size("f").alias("n"), F.explode_outer("f").alias("feature"))
 
 
@@ -76,9 +75,19 @@ class Model:
     def __init__(self, spark: SparkSession, families: list[str], weights: list[tuple], bias: list[float], threshold: float):
         self.families, self.bias, self.threshold = families, bias, threshold
         self.weights = spark.createDataFrame(weights, "feature int, w array<double>")
+        # by remainder of the feature, the most that it can speak for a family against unknown
+        self.bounds = [0.0] * BOUNDS
+        for feature, w in weights:
+            self.bounds[feature % BOUNDS] = max(self.bounds[feature % BOUNDS], max(w[1:]) - w[0])
         words = [(k, family, text) for k, (family, text) in enumerate((f, t) for f, texts in sorted(TEMPLATES.items()) for t in texts)]
         self.templates = spark.createDataFrame(words, "template int, family string, text string")
 
+    def may_be_family(self, found: Column) -> Column:
+        """False only for features whose likeliest class is unknown."""
+        table = F.split(F.lit(",".join(f"{b + 1e-5 if b else b:.5f}" for b in self.bounds)), ",").cast("array<double>")  # rounded up, folded into one literal
+        total = F.aggregate(found, F.lit(0.0), lambda a, x: a + F.get(table, x % BOUNDS))
+        return total / F.sqrt(F.size(found)) + F.lit(max(self.bias[1:]) - self.bias[0] + 1e-9) > 0
+
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ordinary_rows: int = ORDINARY_ROWS, rounds: int = 400) -> Model:
     """Fitted to the notices above and to at most `ordinary_rows` ordinary lines, those of least hash.
@@ -124,11 +133,11 @@ def find(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """(id, row_hash, place, family, probability, template, covered): paragraphs confirmed as licence notices, or unknown ones.
 
     `unknown` are paragraphs that speak of a licence (a predicted family below the threshold, or not
-    confirmed by a template) while their likeliest class is a family. Paragraphs without any of the
-    anchors can't be confirmed and are passed over before anything is shuffled.
+    confirmed by a template) while their likeliest class is a family. Paragraphs for which a bound of
+    their score rules that out are passed over before anything is shuffled, which changes no result.
     """
-    lines = paragraphs(docs, id_col, text_col).where(F.exists("words", lambda w: w.isin(anchors())))
-    hit = features(lines, "id", "row_hash", "place", "words").join(F.broadcast(model.weights), "feature")  # a few thousand rows, whatever the input
+    lines = paragraphs(docs, id_col, text_col).where(F.size("words") > 0)
+    hit = features(lines, "id", "row_hash", "place", "words", model=model).join(F.broadcast(model.weights), "feature")  # a few thousand rows, whatever the input
     k = len(model.families)
     sums = hit.groupBy("id", "row_hash", "place", "n").agg(F.first("words").alias("words"), *(F.sum(F.get("w", F.lit(i)) / F.sqrt("n")).alias(f"s{i}") for i in range(k)))
     z = F.array(*(F.col(f"s{i}") + F.lit(model.bias[i]) for i in range(k)))

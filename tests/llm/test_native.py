@@ -196,6 +196,18 @@ def test_licences(spark):
     assert licences.by_document(docs.limit(0), model).count() == 0
 
 
+def test_licences_counts_unknown_lines_of_any_words(spark, monkeypatch):
+    filler = [f"Ordinary words {k} and other lines of the corpus number {k * 7}" for k in range(60)]
+    texts = ["GNU GPLv3", "BSD / MIT", "mit", "plain prose only", *filler]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = licences.train(docs)
+    result = lambda: sorted(tuple(r) for r in licences.by_document(docs, model).collect())
+    got = result()
+    assert [r[1:] for r in got[:4]] == [("", 0, 1), ("", 0, 1), ("", 0, 1), ("", 0, 0)]
+    monkeypatch.setattr(model, "may_be_family", lambda found: F.lit(True))
+    assert result() == got
+
+
 def test_licences_of_the_given_table(spark, sf_dir):
     texts = {r[0]: r[1] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
     for r in queries.op8_licence_scan(spark, sf_dir).collect():
