@@ -357,31 +357,57 @@ def test_language_of_odd_texts(spark):
 # ---- toxicity ------------------------------------------------------------------------------------
 
 
-def kernel_vector(unit):
-    s = [0] + [int(toxicity._CODE[ord(c)]) if c < "\x80" else 27 + ord(c) % 37 for c in unit] + [0]
-    out = defaultdict(float)
-    square = 0.0
-    for i in range(len(s)):
-        for span in toxicity.SPANS:
-            if i + span[-1] < len(s):
-                out[(s[i], *(s[i + k] for k in span))] += toxicity.DECAY ** (span[-1] - 3)
-                square += toxicity.DECAY ** (2 * (span[-1] - 3))
-    return out, math.sqrt(square)
+def symbols(text):
+    """The symbols of a window, word by word."""
+    code = lambda c: ord(c) - 96 if c < "\x80" else 27 + ord(c) % 37
+    return bytes([0, *(x for w in text.split() for x in (*map(code, w), 0))])
+
+
+def plain_kernel(a, b):
+    """The gapped subsequence kernel of two windows, subsequence by subsequence."""
+
+    def vector(s):
+        out, square = defaultdict(float), 0.0
+        for i in range(len(s)):
+            for span in toxicity.SPANS:
+                if i + span[-1] < len(s):
+                    out[(s[i], *(s[i + k] for k in span))] += toxicity.DECAY ** (span[-1] - 3)
+                    square += toxicity.DECAY ** (2 * (span[-1] - 3))
+        return out, math.sqrt(square)
+
+    (u, m), (v, n) = vector(a), vector(b)
+    return sum(x * v[k] for k, x in u.items() if k in v) / (m * n)
 
 
 def test_decision_is_the_sum_of_landmark_kernels():
-    names = ["idiot", "stupid", "the", "of", "gentle", "words"]
-    weights, bias = toxicity.fit_svm(names, np.array([9.0, 8, 1, 1, 0, 0]), np.array([0.0, 0, 9, 9, 5, 5]))
-    raw = np.frombuffer("\x1e".join([*names, "i d i o t", "id*io1t", "gentle idiot"]).encode() + b"\x1e", np.uint8)
-    found = toxicity.units(raw)
-    assert found.row.tolist() == [0, 1, 2, 3, 4, 5, 6, 7, 8, 8]
-    got = toxicity.decisions(found, weights, bias)
-    assert got[0] == pytest.approx(got[6]) == pytest.approx(got[7]) == pytest.approx(got[9])
-    assert min(got[:2]) > 0.3 > max(got[2:6])
-    for unit, f in zip(names, got):
-        vector, length = kernel_vector(unit)
-        expected = sum(weights[toxicity.place(*(np.array([x], np.int32) for x in some))[0]] * v for some, v in vector.items()) / length + bias
-        assert f == pytest.approx(expected, abs=1e-5)
+    texts = ["you idiot there", "so stupid again", "the river of", "of gentle words", "gentle words flow", "an idiot here", "été à jour"]
+    machine = toxicity.fit_svm([symbols(t) for t in texts], np.array([1, 1, 0, 0, 0, 1, 0], bool), np.ones(7), landmarks=5)
+    assert len(machine.landmarks) == 4  # all toxic ones that a share of three quarters allows, and one more
+    rows = [*texts, "YOU i d i o t there", "y*ou id!io1t the-re", "short", "of gentle words flow"]
+    found = toxicity.units(np.frombuffer(("\x1e".join(rows) + "\x1e").encode(), np.uint8))
+    of = toxicity.windows(found)
+    assert of.row.tolist() == [*range(10), 10, 10]
+    got = toxicity.decisions(found, of, machine.weights, machine.bias)
+    seen = [*texts, texts[0], texts[0], "short", "of gentle words", "gentle words flow"]
+    for f, text in zip(got, seen, strict=True):
+        assert f == pytest.approx(sum(a * plain_kernel(symbols(text), m) for a, m in zip(machine.alphas, machine.landmarks)) + machine.bias, abs=1e-4)
+    assert min(got[0], got[1], got[5]) > 0 > max(got[2:5])
+    near = toxicity.kernel([symbols(t) for t in texts], machine.landmarks)[0]
+    assert near == pytest.approx(np.array([[plain_kernel(symbols(t), m) for m in machine.landmarks] for t in texts]), abs=1e-5)
+
+
+def test_highest_windows_are_those_of_each_row():
+    rng = np.random.default_rng(1)
+    weights = rng.normal(size=toxicity.FEATURES).astype(np.float32)
+    texts = [None, "", "one", "a few words only", " ".join(f"w{chr(97 + k % 26)}{chr(97 + k % 7)}x" for k in range(50))]
+    most, best = toxicity.highest(pa.array(texts), weights, 0.1)
+    assert best[:2] == [None, None] and best[2] == symbols("one") and (most[:2] == -2).all()
+    for row in (3, 4):
+        w = texts[row].split()
+        every = [" ".join(w[k : k + 3]) for k in range(len(w) - 2)]
+        scores = [toxicity.highest(pa.array([x]), weights, 0.1)[0][0, 0] for x in every]
+        stretches = sorted((max(scores[k : k + 3]) for k in range(0, len(scores), 3)), reverse=True)[:3]
+        assert most[row] == pytest.approx((stretches + stretches[-1:] * 2)[:3]) and best[row] == symbols(every[int(np.argmax(scores))])
 
 
 def test_toxicity_finds_disguised_insults_and_spares_prose(spark):
@@ -406,6 +432,43 @@ def test_toxicity_of_the_given_table(spark, sf_dir):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
 
 
+def test_toxicity_held_out_precision_and_recall(spark):
+    """On the larger table, where the labels are enough; some of them are wrong by design."""
+    folder = "/root/testdata/sf0.1"
+    try:
+        truth = {r[0]: r[1] for r in spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic").collect()}
+    except Exception:
+        pytest.skip("the larger tables are not here")
+    found = Counter((truth[r["doc_id"]], r["predicted"]) for r in queries.op5_toxicity(spark, folder).where("held_out").collect() if r["doc_id"] in truth)
+    assert found[1, 1] >= 0.88 * (found[1, 1] + found[0, 1]) and found[1, 1] >= 0.88 * (found[1, 1] + found[1, 0])
+
+
+def test_toxicity_learns_phrases_of_ordinary_words(spark):
+    rng = random.Random(5)
+    plain = ["go", "away", "and", "die", "river", "stone", "window", "garden", "paper", "morning", "winter", "bread"]
+    rows = []
+    for k in range(400):
+        w = [rng.choice(plain) for _ in range(12)]
+        while any(w[i : i + 2] == ["die", "now"] for i in range(11)):
+            w = [rng.choice(plain) for _ in range(12)]
+        if k % 4 == 0:
+            at = rng.randrange(10)
+            w[at : at + 2] = ["garden", "snake"] if k % 8 else ["id", "iot"]
+        rows.append((k, " ".join(w), int(k % 4 == 0)))
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    texts = ["river and garden snake bread", "stone id iot away and die", "winter idiot garden", "stone garden river and away", "morning paper window bread"]
+    got = [r["score"] for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()]
+    assert all(x >= 0.3 for x in got[:3]) and all(x < 0.3 for x in got[3:])
+
+
+def test_toxicity_of_clashing_labels_repeated_ids_and_columns(spark, tmp_path):
+    docs = [(1, "a b c"), (1, "d e f"), (2, "g h i"), (None, "x"), (3, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").withColumn("score", F.lit("s")).withColumn("toxic", F.lit(9)).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, None), (None, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    runs = [sorted((tuple(r) for r in queries.op5_toxicity(spark, str(tmp_path)).collect()), key=repr) for _ in range(2)]
+    assert runs[0] == runs[1] and sorted(r[0] or 0 for r in runs[0]) == [0, 1, 1, 2, 3]
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame(list(enumerate(ODD_TEXTS)), "doc_id long, text string")
     model = toxicity.train(docs.withColumn("toxic", F.lit(None).cast("int")))
