@@ -2,9 +2,9 @@
 
 A window is WINDOW consecutive words. Both sides are fingerprinted with the least hash of the GRAM-word
 n-grams in each window (of equal ones the first), at every place where such an n-gram stands, so every shared
-window holds a fingerprint of both sides. Fingerprints are joined; the document's windows that hold the hit
-n-gram are compared with the items' windows word by word. Items of fewer words are one window; those are
-looked up by the hash of all their words.
+window holds a fingerprint of both sides. Fingerprints are joined, which leaves the ids of documents that hold
+some; only these documents are read again, and their windows around each hit n-gram are compared with the items'
+windows word by word. Items of fewer words are one window; those are looked up by the hash of all their words.
 """
 
 from __future__ import annotations
@@ -12,37 +12,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columns import let, plain_words, sliding_least, upto, window_hashes
+from .columns import A_WORD, let, plain_words, sliding_least, upto, window_hashes
 from .shared import cut
 
 WINDOW = 10
 GRAM = 5
 BROADCAST_ROWS = 500_000
-#: up to so many fingerprints of items are written into the plan as a set, so documents without any are passed over early
-SET_KEYS = 20_000
 
 
-def _within(x: Column, keys: list[int] | None) -> Column:
-    return x.isin(keys) if keys is not None else F.lit(True)
-
-
-def _fingerprints(words: Column, keys: list[int] | None = None) -> Column:
-    """(start, length, hash): each place, from 0, of an n-gram that is the first of least hash in some window. Texts of fewer words have none.
-
-    If keys are given, only those among them.
-    """
+def _fingerprints(words: Column) -> Column:
+    """(start, length, hash): each place, from 0, of an n-gram that is the first of least hash in some window. Texts of fewer words have none."""
     placed = lambda h: F.transform(h, lambda x, i: F.struct(x.alias("hash"), i.alias("at")))
     least = lambda h: sliding_least(placed(h), WINDOW - GRAM + 1)
-    new = lambda m: F.filter(upto(F.lit(0), F.size(m) - 1), lambda j: ((j == 0) | (F.get(m, j)["at"] != F.get(m, j - 1)["at"])) & _within(F.get(m, j)["hash"], keys))
+    new = lambda m: F.filter(upto(F.lit(0), F.size(m) - 1), lambda j: (j == 0) | (F.get(m, j)["at"] != F.get(m, j - 1)["at"]))
     mark = lambda x: F.struct(x["at"].alias("start"), F.lit(WINDOW).alias("length"), x["hash"].alias("hash"))
     picked = lambda m: F.transform(new(m), lambda j: mark(F.get(m, j)))
-    return let(window_hashes(words, GRAM), lambda h: F.when(F.exists(h, lambda x: _within(x, keys)), let(least(h), picked)).otherwise(_no_marks()))
+    return let(window_hashes(words, GRAM), lambda h: let(least(h), picked))
 
 
-def _whole(words: Column, length: int, keys: list[int] | None) -> Column:
-    """(start, length, hash) of all windows of a short length whose hash is among the keys."""
-    every = F.transform(upto(F.lit(1), F.size(words) - (length - 1)), lambda i: F.struct((i - 1).alias("start"), F.lit(length).alias("length"), F.xxhash64(F.slice(words, i, length)).alias("hash")))
-    return F.filter(every, lambda x: _within(x["hash"], keys))
+def _whole(words: Column, length: int) -> Column:
+    """(start, length, hash) of all windows of a short length."""
+    return F.transform(upto(F.lit(1), F.size(words) - (length - 1)), lambda i: F.struct((i - 1).alias("start"), F.lit(length).alias("length"), F.xxhash64(F.slice(words, i, length)).alias("hash")))
 
 
 def _no_marks() -> Column:
@@ -81,30 +71,37 @@ def item_windows(items: DataFrame, id_col: str, text_col: str) -> tuple[DataFram
     return keys, windows
 
 
-def marked(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """Per row: id, row_hash, n_words, marks and, where there are any, words; and the number of keys. Written once.
+def _rows(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row_hash"), *more)
+
+
+def _same(left: DataFrame, right: DataFrame) -> Column:
+    return left["row_hash"].eqNullSafe(right["row_hash"]) & left["id"].eqNullSafe(right["id"])
 
-    Which lengths occur is read from the keys: WINDOW, and those of shorter items.
+
+def hits(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str) -> DataFrame:
+    """(id, row_hash, start, length, item): every place of a document where a window of an item occurs.
+
+    Fingerprints of all documents meet those of items in a join, which is broadcast up to BROADCAST_ROWS
+    of items and shuffled by hash beyond, where Spark splits frequent hashes. No text is shuffled but that
+    around the hits.
     """
+    keys, windows = item_windows(items, item_col, item_text)
+    keys = cut(keys)
     counts = {r["length"]: r["n"] for r in keys.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most WINDOW rows
-    total = sum(counts.values())
-    known: dict[int, list[int] | None] = dict.fromkeys(counts)
-    if total <= SET_KEYS:
-        for r in keys.groupBy("length").agg(F.collect_list("hash").alias("hashes")).collect():
-            known[r["length"]] = r["hashes"]
-    marks = [_fingerprints(F.col("words"), known[WINDOW])] if counts.get(WINDOW) else []
-    marks += [_whole(F.col("words"), k, known[k]) for k in sorted(set(counts) - {WINDOW})]
-    words = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row_hash"), plain_words(F.col(text_col)).alias("words"))
-    found = words.select("id", "row_hash", "words", F.size("words").cast("long").alias("n_words"), (F.concat(*marks) if marks else _no_marks()).alias("marks"))
-    return cut(found.select("id", "row_hash", "n_words", "marks", F.when(F.size("marks") > 0, F.col("words")).alias("words"))), total
-
-
-def hits(found: DataFrame, keys: DataFrame, windows: DataFrame, n_keys: int) -> DataFrame:
-    """(id, row_hash, start, length, item): every place of a document where a window of an item occurs."""
+    n_keys = sum(counts.values())
+    words = _rows(docs, id_col, text_col, plain_words(F.col(text_col)).alias("words"))
+    parts = [_fingerprints(F.col("words"))] if counts.get(WINDOW) else []
+    parts += [_whole(F.col("words"), k) for k in sorted(set(counts) - {WINDOW})]
+    marks = F.concat(*parts) if parts else _no_marks()
+    # explode_outer, since Spark would evaluate the array of explode a second time to filter empty ones
+    sown = words.select("id", "row_hash", F.explode_outer(marks).alias("mark")).select("id", "row_hash", "mark.hash", "mark.length")
+    some = cut(sown.join(_sized(keys, n_keys), ["hash", "length"]).select("id", "row_hash").distinct())
+    n_some = some.count()
+    again = words.join(_sized(some, n_some), _same(words, some), "left_semi")
     # a mark takes along the words around it, not the whole text
-    marks = found.where(F.size("marks") > 0).select("id", "row_hash", F.explode_outer(F.transform("marks", _around)).alias("mark")).select("id", "row_hash", "mark.*")
-    near = marks.join(_sized(keys, n_keys), ["length", "hash"])
-    places = near.select("id", "row_hash", "words", "length", "first", F.explode_outer(upto(F.col("first"), F.col("last"))).alias("start"))
+    near = again.select("id", "row_hash", F.explode_outer(let(marks, lambda m: F.transform(m, _around))).alias("mark")).select("id", "row_hash", "mark.*")
+    places = near.join(_sized(keys, n_keys), ["length", "hash"]).select("id", "row_hash", "words", "length", "first", F.explode_outer(upto(F.col("first"), F.col("last"))).alias("start"))
     places = places.select("id", "row_hash", "start", "length", _window(F.col("words"), F.col("start") - F.col("first"), F.col("length")).alias("window")).distinct()
     # an item of n words has at most n fingerprints and windows
     return places.join(_sized(windows, 8 * n_keys), ["length", "window"]).select("id", "row_hash", "start", "length", "item").distinct()
@@ -116,14 +113,13 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     Null and empty texts have no words and no hits. Rows that repeat each get the same result. Items
     with a null id count as one item without a name.
     """
-    keys, windows = item_windows(items, item_col, item_text)
-    rows, n_keys = marked(docs, keys, id_col, text_col)
-    found = cut(hits(rows, keys, windows, n_keys))
+    found = cut(hits(docs, items, id_col, text_col, item_col, item_text))
     covered = found.select("id", "row_hash", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("place")).distinct()
     n_hit = covered.groupBy("id", "row_hash").agg(F.count("*").alias("n_hit"))
     of = found.groupBy("id", "row_hash").agg(F.array_sort(F.collect_set(F.coalesce(F.col("item").cast("string"), F.lit("")))).alias("items"))
-    per = n_hit.join(of, n_hit["row_hash"].eqNullSafe(of["row_hash"]) & n_hit["id"].eqNullSafe(of["id"])).select(n_hit["id"], n_hit["row_hash"], "n_hit", "items")
-    joined = rows.join(per, rows["row_hash"].eqNullSafe(per["row_hash"]) & rows["id"].eqNullSafe(per["id"]), "left")
+    per = n_hit.join(of, _same(n_hit, of)).select(n_hit["id"], n_hit["row_hash"], "n_hit", "items")
+    rows = _rows(docs, id_col, text_col, F.coalesce(F.regexp_count(text_col, F.lit(A_WORD)), F.lit(0)).cast("long").alias("n_words"))
+    joined = rows.join(per, _same(rows, per), "left")
     none = F.array().cast("array<string>")
     return joined.select(
         rows["id"].alias(id_col), rows["row_hash"], "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
@@ -138,7 +134,5 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of docs in which no window of an item occurs."""
-    keys, windows = item_windows(items, item_col, item_text)
-    rows, n_keys = marked(docs, keys, id_col, text_col)
-    bad = hits(rows, keys, windows, n_keys).select("id", "row_hash").distinct()
-    return docs.join(bad, bad["id"].eqNullSafe(docs[id_col]) & (bad["row_hash"] == F.xxhash64(docs[id_col], docs[text_col])), "left_anti")
+    bad = cut(hits(docs, items, id_col, text_col, item_col, item_text).select("id", "row_hash").distinct())
+    return docs.join(_sized(bad, bad.count()), bad["id"].eqNullSafe(docs[id_col]) & (bad["row_hash"] == F.xxhash64(docs[id_col], docs[text_col])), "left_anti")

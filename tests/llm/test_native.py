@@ -45,9 +45,9 @@ def test_decontamination_of_the_given_tables(spark, sf_dir):
     assert sorted((tuple(r) for r in queries.op3_decontamination(spark, sf_dir).collect()), key=repr) == decontaminated(docs, items)
 
 
-@pytest.mark.parametrize("set_keys", [20_000, 0])
-def test_decontamination_of_short_items_odd_texts_and_repeats(spark, monkeypatch, set_keys):
-    monkeypatch.setattr(decontam, "SET_KEYS", set_keys)
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_decontamination_of_short_items_odd_texts_and_repeats(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", broadcast)
     long_ = " ".join(f"w{k % 17}v{k}" for k in range(40))
     items = [(1, long_), (2, "Short item HERE"), (3, "solo"), (4, None), (5, "..."), (6, long_), (10, " ".join(f"w{k % 17}v{k}" for k in range(5, 14)))]
     texts = [*ODD_TEXTS, f"before {long_.upper()} after", "a short, item: here! and solo", " ".join(f"w{k % 17}v{k}" for k in range(20, 31)), long_ + " " + long_, "solo"]
@@ -56,9 +56,9 @@ def test_decontamination_of_short_items_odd_texts_and_repeats(spark, monkeypatch
     assert sorted((tuple(r) for r in got.collect()), key=repr) == decontaminated(docs, items)
 
 
-@pytest.mark.parametrize("set_keys", [20_000, 0])
-def test_decontamination_of_periodic_texts(spark, monkeypatch, set_keys):
-    monkeypatch.setattr(decontam, "SET_KEYS", set_keys)
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_decontamination_of_periodic_texts(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", broadcast)
     runs = [" ".join(unit * n) for unit in (["x"], ["a", "b"], ["c", "d", "e"], list("fghij"), list("klmnop"), list("qrstuvw")) for n in (12, 30)]
     ends = [f"{' '.join(c * n)} {tail}" for c in "xyz0" for n in (9, 30) for tail in ("y", "one two", "end of the line here")]
     items = list(enumerate(runs[::2] + [t for t in ends if len(t.split()) < 20]))
@@ -69,6 +69,21 @@ def test_decontamination_of_periodic_texts(spark, monkeypatch, set_keys):
     assert sorted(r["doc_id"] for r in decontam.clean(*frames).collect()) == sorted(r[0] for r in expected if not r[-1])
 
 
+def test_decontamination_of_texts_over_two_words(spark):
+    import random
+
+    rng = random.Random(4)
+    text = lambda n: " ".join(rng.choice("ab") for _ in range(n))
+    items, docs = [(k, text(rng.randint(4, 14))) for k in range(30)], [(k, text(rng.randint(5, 60))) for k in range(120)]
+    docs += [(1000 + k, "a " * 60 + f"tail{k}") for k in range(20)] + [(2000, "a " * 100), (2001, "x y z w v " * 20), (2002, "p q " * 40)]
+    items += [(100 + k, "a " * 9 + f"tail{k}") for k in range(20)] + [(200, "a " * 10), (201, "x y z w v " * 2), (202, "p q " * 5)]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    expected = decontaminated(docs, items)
+    got = sorted((tuple(r) for r in decontam.digest(decontam.contamination(*frames)).collect()), key=repr)
+    assert got == expected and {r[0]: r[2] for r in got}[2000] == 100
+    assert sorted(r["doc_id"] for r in decontam.clean(*frames).collect()) == sorted(r[0] for r in expected if not r[-1])
+
+
 def test_decontamination_keeps_clean_rows_and_their_columns(spark):
     passage = " ".join(f"p{k}" for k in range(12))
     docs = spark.createDataFrame([(1, f"x {passage} y", 5, "a"), (2, "clean text", 6, None), (None, None, 7, "c")], "doc_id long, text string, words int, marks string")
