@@ -18,16 +18,19 @@ from .shared import cut
 WINDOW = 10
 GRAM = 5
 BROADCAST_ROWS = 500_000
+PLACE = (1 << 20) - 1
 
 
 def _fingerprints(words: Column) -> Column:
     """(start, length, hash): each place, from 0, of an n-gram that is the first of least hash in some window. Texts of fewer words have none."""
-    placed = lambda h: F.transform(h, lambda x, i: F.struct(x.alias("hash"), i.alias("at")))
-    least = lambda h: sliding_least(placed(h), WINDOW - GRAM + 1)
-    new = lambda m: F.filter(upto(F.lit(0), F.size(m) - 1), lambda j: (j == 0) | (F.get(m, j)["at"] != F.get(m, j - 1)["at"]))
-    mark = lambda x: F.struct(x["at"].alias("start"), F.lit(WINDOW).alias("length"), x["hash"].alias("hash"))
-    picked = lambda m: F.transform(new(m), lambda j: mark(F.get(m, j)))
-    return let(window_hashes(words, GRAM), lambda h: let(least(h), picked))
+    # one number holds the upper bits of a hash and its place, so that the least of some is also the first of equal ones; any of equal ones would do
+    placed = lambda h: F.transform(h, lambda x, i: x.bitwiseAND(F.lit(~PLACE)).bitwiseOR(i.cast("long").bitwiseAND(F.lit(PLACE))))
+    at = lambda v, j: (F.pmod(v.bitwiseAND(F.lit(PLACE)) - j, F.lit(PLACE + 1)) + j).cast("int")
+    far = lambda m: F.transform(F.filter(upto(F.lit(0), F.size(m) - 1), lambda j: (j == 0) | (F.get(m, j) != F.get(m, j - 1))), lambda j: at(F.get(m, j), j))
+    near = lambda m: F.transform(F.array_distinct(m), lambda v: v.bitwiseAND(F.lit(PLACE)).cast("int"))
+    places = lambda m: F.when(F.size(m) + WINDOW <= PLACE, near(m)).otherwise(far(m))
+    mark = lambda h, i: F.struct(i.alias("start"), F.lit(WINDOW).alias("length"), F.get(h, i).alias("hash"))
+    return let(window_hashes(words, GRAM), lambda h: F.transform(let(sliding_least(placed(h), WINDOW - GRAM + 1), places), lambda i: mark(h, i)))
 
 
 def _whole(words: Column, length: int) -> Column:
@@ -98,7 +101,8 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col
     sown = words.select("id", "row_hash", F.explode_outer(marks).alias("mark")).select("id", "row_hash", "mark.hash", "mark.length")
     some = cut(sown.join(_sized(keys, n_keys), ["hash", "length"]).select("id", "row_hash").distinct())
     n_some = some.count()
-    again = words.join(_sized(some, n_some), _same(words, some), "left_semi")
+    texts = _rows(docs, id_col, text_col, F.col(text_col).alias("text"))
+    again = texts.join(_sized(some, n_some), _same(texts, some), "left_semi").select("id", "row_hash", plain_words(F.col("text")).alias("words"))
     # a mark takes along the words around it, not the whole text
     near = again.select("id", "row_hash", F.explode_outer(let(marks, lambda m: F.transform(m, _around))).alias("mark")).select("id", "row_hash", "mark.*")
     places = near.join(_sized(keys, n_keys), ["length", "hash"]).select("id", "row_hash", "words", "length", "first", F.explode_outer(upto(F.col("first"), F.col("last"))).alias("start"))

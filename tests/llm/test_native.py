@@ -69,9 +69,11 @@ def test_decontamination_of_periodic_texts(spark, monkeypatch, broadcast):
     assert sorted(r["doc_id"] for r in decontam.clean(*frames).collect()) == sorted(r[0] for r in expected if not r[-1])
 
 
-def test_decontamination_of_texts_over_two_words(spark):
+@pytest.mark.parametrize("place", [(1 << 20) - 1, 15])
+def test_decontamination_of_texts_over_two_words(spark, monkeypatch, place):
     import random
 
+    monkeypatch.setattr(decontam, "PLACE", place)
     rng = random.Random(4)
     text = lambda n: " ".join(rng.choice("ab") for _ in range(n))
     items, docs = [(k, text(rng.randint(4, 14))) for k in range(30)], [(k, text(rng.randint(5, 60))) for k in range(120)]
