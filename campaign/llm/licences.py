@@ -1,10 +1,12 @@
 """Licence scan: a trained paragraph classifier with an unknown class and a template check.
 
-Paragraphs (lines with a word) are sparse vectors of hashed words and word pairs; a multinomial logistic
-regression over licence families is fitted to notices and their parts against ordinary paragraphs. Only
-features that occur in notices have weights, so other paragraphs never leave the broadcast join. A
-prediction counts if its probability passes the threshold calibrated on ordinary paragraphs and if the
-paragraph covers enough words of one of the family's templates.
+Paragraphs (lines with a word) are sparse vectors of words and word pairs, hashed into BUCKETS. A multinomial
+logistic regression tells licence families, an unknown class and ordinary lines apart; it is fitted to
+notices and their parts, to notices of other licences, and to lines of the corpus. Half of the last two is
+held out: it sets how sure a family must be, and how far ordinary lines are favoured. A predicted family
+counts if the paragraph also covers enough words of one of its templates; else the paragraph is unknown.
+
+The weights are folded into the plan as literals, so every line is scored where it is read.
 """
 
 from __future__ import annotations
@@ -15,24 +17,47 @@ from pyspark.sql import functions as F
 
 from .columns import let, plain_words
 
-UNKNOWN = "unknown"
-BUCKETS = 1 << 20
-ORDINARY_ROWS = 400
+ORDINARY, UNKNOWN = "ordinary", "unknown"
+BUCKETS = 1 << 16
+ORDINARY_ROWS = 1600
+SAMPLED_ROWS = 4000
 COVERAGE = 0.5
-BOUNDS = 1 << 14
+#: Share of held-out ordinary lines that may be taken for a licence.
+FALSE_ALARMS = 0.002
 #: Short notices in common use, by family.
 TEMPLATES = {
-    "apache": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."],
-    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "Released under the BSD License.", "Licensed under the 3-Clause BSD License.", "Distributed under the BSD 2-Clause License."],
-    "creative_commons": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0.", "Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 License.", "Released under CC0 1.0 Universal."],
+    "apache": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.", "SPDX-License-Identifier: Apache-2.0", "This project is licensed under the terms of the Apache 2.0 license."],
+    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "Released under the BSD License.", "Licensed under the 3-Clause BSD License.", "Distributed under the BSD 2-Clause License.", "SPDX-License-Identifier: BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."],
+    "creative_commons": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0.", "Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 License.", "Released under CC0 1.0 Universal.", "SPDX-License-Identifier: CC-BY-4.0", "Except where otherwise noted, content on this site is licensed under a Creative Commons Attribution license."],
     "creative_commons_nc": ["Licensed under CC BY-NC 4.0.", "Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "gpl": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "Licensed under the GNU Lesser General Public License, version 2.1.", "Licensed under the GNU Affero General Public License, version 3."],
-    "mit": ["Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction."],
-    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0."],
+    "gpl": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "Licensed under the GNU Lesser General Public License, version 2.1.", "Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-or-later", "Released under the GPL, version 2 or later.", "Licensed under the terms of the GNU GPL v3."],
+    "mit": ["Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction.", "SPDX-License-Identifier: MIT", "This project is licensed under the MIT License - see the LICENSE file for details."],
+    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0"],
     "proprietary": ["All rights reserved.", "Copyright. All rights reserved. No part of this work may be reproduced or distributed without the prior written permission of the publisher."],
 }
 
 
+#: Notices of other licences or of none in particular; every second one is held out.
+UNFAMILIAR = [
+    "Licensed under the European Union Public Licence, version 1.2.", "Use of this file is governed by the EUPL.",
+    "Distributed under the Boost Software License, Version 1.0.", "Released under the ISC License.",
+    "This file is licensed under the zlib License.", "You may distribute this under the terms of the Artistic License.",
+    "Made available under the terms of the Eclipse Public License, version 2.0.", "Released under the Eclipse Distribution License.",
+    "Subject to the Common Development and Distribution License, version 1.1.", "Licensed under the Academic Free License, version 3.0.",
+    "This is free and unencumbered software released into the public domain.", "This work is in the public domain.",
+    "Do what you want under the terms of the WTFPL.", "You may use this work under the terms of its own licence.",
+    "Licensed under the SIL Open Font License, Version 1.1.", "This font is licensed under the Ubuntu Font Licence.",
+    "Licensed under the Open Database License.", "This data is made available under the Open Data Commons Attribution License.",
+    "Free for personal use only; commercial use needs a licence from the author.", "Free for use under terms that the owner sets.",
+    "Use of this software is governed by the licence agreement that came with it.", "This item is licensed by its owner under terms of its own.",
+    "Licensed under the PostgreSQL License.", "Licensed under the Python Software Foundation License, version 2.",
+    "You may use this work under GPL terms.", "Free for use under BSD terms.",
+    "SPDX-License-Identifier: EUPL-1.2", "SPDX-License-Identifier: LicenseRef-Own",
+    "GNU licence", "Dual licensed, see the licence files for terms.",
+    "GNU GPLv3", "GPLv2 or later", "BSD / MIT", "MIT or BSD",
+]
+
+
 def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, row_hash, place, words): lines, numbered from 0 in the whole text."""
     lines = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row_hash"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("place", "line"))
@@ -48,107 +73,127 @@ def hashed(words: Column) -> Column:
     return let(F.transform(words, lambda x: F.xxhash64(x)), both)
 
 
-def features(words: DataFrame, *keep: str, model: Model | None = None) -> DataFrame:
-    """A row for each of a paragraph's features, with n, the paragraph's number of them.
-
-    If a model is given, paragraphs that it can't give to a family have one row with a null feature.
-    """
-    f = hashed(F.col("words"))
-    every = words.withColumn("f", f if model is None else let(f, lambda x: F.when(model.may_be_family(x), x)))
-    return every.select(*keep, F.size("f").alias("n"), F.explode_outer("f").alias("feature"))
-
-
-def _notices() -> list[tuple[int, str, str]]:
-    """(number, family, text): the notices, whole and as parts of eight words or more."""
+def _notices() -> list[tuple[str, str]]:
+    """(family, text): the notices, whole and as parts of eight words or more, and those of other licences."""
     out = []
     for family, texts in sorted(TEMPLATES.items()):
         for text in texts:
             words = text.split()
             spans = {(0, len(words))} | {(s, min(len(words), s + 12)) for s in range(0, max(1, len(words) - 11), 4)} if len(words) > 12 else {(0, len(words))}
             out += [(family, " ".join(words[a:b])) for a, b in sorted(spans)]
-    return [(k, family, text) for k, (family, text) in enumerate(out)]
+    return out + [(UNKNOWN, text) for text in UNFAMILIAR]
+
+
+def _literal(values: np.ndarray) -> Column:
+    """An array of doubles as one literal, which Spark folds."""
+    return F.split(F.lit(",".join(f"{v:.9g}" for v in values)), ",").cast("array<double>")
 
 
 class Model:
-    """Weights by feature and family, the families' biases and the least probability of a prediction."""
+    """Weights by class and feature and biases by class, and the least probability of a family. Classes are ordinary, unknown and the families."""
+
+    def __init__(self, spark: SparkSession, classes: list[str], weights: np.ndarray, bias: np.ndarray, threshold: float):
+        self.classes, self.weights, self.bias, self.threshold = classes, weights, bias, threshold
+        rows = [(k, family, text) for k, (family, text) in enumerate((f, t) for f, texts in sorted(TEMPLATES.items()) for t in texts)]
+        self.templates = spark.createDataFrame(rows, "template int, family string, text string")
+        most = (weights[1:] - weights[0]).max(axis=0)
+        self._most = _literal(np.where(most == 0, 0, most + 1e-6))  # rounded up
+        self._tables = [_literal(w) for w in weights]
+
+    def may_be_licence(self, found: Column) -> Column:
+        """False only for features whose likeliest class is ordinary: even the best class for each feature falls short."""
+        total = F.aggregate(found, F.lit(0.0), lambda a, x: a + F.get(self._most, x))
+        return total / F.sqrt(F.size(found)) + F.lit(float(max(self.bias[1:]) - self.bias[0]) + 1e-6) > 0
+
+    def scores(self, found: Column) -> Column:
+        """The classes' scores, whose softmax are their probabilities."""
+        one = lambda table, b: F.aggregate(found, F.lit(0.0), lambda a, x: a + F.get(table, x)) / F.sqrt(F.size(found)) + F.lit(float(b))
+        return F.array(*(one(t, b) for t, b in zip(self._tables, self.bias, strict=True)))
+
+
+def _fit(x: np.ndarray, y: np.ndarray, classes: int, rounds: int) -> np.ndarray:
+    """Weights (features, classes), each class weighing alike; the last feature is the bias."""
+    target = np.eye(classes)[y]
+    share = (1 / np.maximum(1, target.sum(axis=0)))[y][:, None]
+    w = v = np.zeros((x.shape[1], classes))
+    step = 1.0 / (0.5 * np.linalg.norm(x * np.sqrt(share), 2) ** 2 + 1e-3)
+    for k in range(rounds):
+        slope = x.T @ (share * (_softmax(x @ v) - target)) + 1e-3 * v
+        new = v - step * slope
+        v, w = new + k / (k + 3) * (new - w), new
+    return w
 
-    def __init__(self, spark: SparkSession, families: list[str], weights: list[tuple], bias: list[float], threshold: float):
-        self.families, self.bias, self.threshold = families, bias, threshold
-        self.weights = spark.createDataFrame(weights, "feature int, w array<double>")
-        # by remainder of the feature, the most that it can speak for a family against unknown
-        self.bounds = [0.0] * BOUNDS
-        for feature, w in weights:
-            self.bounds[feature % BOUNDS] = max(self.bounds[feature % BOUNDS], max(w[1:]) - w[0])
-        words = [(k, family, text) for k, (family, text) in enumerate((f, t) for f, texts in sorted(TEMPLATES.items()) for t in texts)]
-        self.templates = spark.createDataFrame(words, "template int, family string, text string")
 
-    def may_be_family(self, found: Column) -> Column:
-        """False only for features whose likeliest class is unknown."""
-        table = F.split(F.lit(",".join(f"{b + 1e-5 if b else b:.5f}" for b in self.bounds)), ",").cast("array<double>")  # rounded up, folded into one literal
-        total = F.aggregate(found, F.lit(0.0), lambda a, x: a + F.get(table, x % BOUNDS))
-        return total / F.sqrt(F.size(found)) + F.lit(max(self.bias[1:]) - self.bias[0] + 1e-9) > 0
+def _softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ordinary_rows: int = ORDINARY_ROWS, rounds: int = 400) -> Model:
-    """Fitted to the notices above and to at most `ordinary_rows` ordinary lines, those of least hash.
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ordinary_rows: int = ORDINARY_ROWS, sampled_rows: int = SAMPLED_ROWS, rounds: int = 400) -> Model:
+    """Fitted to the notices above and to at most `ordinary_rows` ordinary lines, those of least hash in about `sampled_rows` rows at most.
 
-    The threshold is the greatest probability of a family among ordinary lines, at least 0.5.
+    Every second ordinary line and every second notice of another licence is held out. The threshold is
+    the greatest probability of a family among these, at least 0.5 and at most 0.95; the bias of ordinary lines is raised
+    until at most FALSE_ALARMS of the held-out ones have another likeliest class.
     """
     spark = docs.sparkSession
-    notices = spark.createDataFrame(_notices(), "number int, family string, text string")
-    labelled = features(notices.select("number", "family", plain_words(F.col("text")).alias("words")), "number", "family").collect()
-    lines = paragraphs(docs, id_col, text_col).where((F.size("words") >= 4) & ~F.exists("words", lambda w: w.rlike("licen[cs]|rights|reserved|copyright")))
-    plain = lines.select(F.xxhash64("words").alias("number"), "words").orderBy("number").limit(ordinary_rows)
-    ordinary = features(plain, "number").collect()
-    families = [UNKNOWN, *sorted(TEMPLATES)]
-    known = sorted({r["feature"] for r in labelled})
+    labelled = _notices()
+    notices = spark.createDataFrame([(k, text) for k, (_, text) in enumerate(labelled)], "number long, text string")
+    own = {r["number"]: r["f"] for r in notices.select("number", hashed(plain_words(F.col("text"))).alias("f")).collect()}
+    share = int((1 << 30) * min(1.0, sampled_rows / max(1, docs.count())))
+    some = docs.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 30)) < share)
+    lines = paragraphs(some, id_col, text_col).where((F.size("words") >= 4) & ~F.exists("words", lambda w: w.rlike("licen[cs]|rights|reserved|copyright")))
+    plain = lines.select(F.xxhash64("words").alias("number"), "words").groupBy("number").agg(F.first("words").alias("words")).orderBy("number").limit(ordinary_rows)
+    ordinary = [r["f"] for r in plain.select("number", hashed(F.col("words")).alias("f")).orderBy("number").collect()]
+    classes = [ORDINARY, UNKNOWN, *sorted(TEMPLATES)]
+    others = [k for k, (family, _) in enumerate(labelled) if family == UNKNOWN]
+    fit = [(classes.index(family), own[k]) for k, (family, _) in enumerate(labelled) if k not in others[1::2]] + [(0, f) for f in ordinary[::2]]
+    held = [(1, own[k]) for k in others[1::2]] + [(0, f) for f in ordinary[1::2]]
+    known = sorted({f for c, found in fit if c for f in found})
     column = {f: k for k, f in enumerate(known)}
-    rows: dict = {}
-    for r in labelled:
-        rows.setdefault((r["number"], r["family"]), []).append(r)
-    for r in ordinary:
-        rows.setdefault((r["number"], UNKNOWN), []).append(r)
-    x, y = np.zeros((len(rows), len(known) + 1)), np.zeros(len(rows), int)
-    for k, ((_, family), own) in enumerate(sorted(rows.items())):
-        y[k] = families.index(family)
-        x[k, -1] = 1
-        for r in own:
-            if r["feature"] in column:
-                x[k, column[r["feature"]]] = 1 / np.sqrt(r["n"])
-    target = np.eye(len(families))[y]
-    share = (1 / np.maximum(1, target.sum(axis=0)))[y][:, None]
-    w = v = np.zeros((len(known) + 1, len(families)))
-    step = 1.0 / (0.5 * np.linalg.norm(x * np.sqrt(share), 2) ** 2 + 1e-3)
-    softmax = lambda z: np.exp(z - z.max(axis=1, keepdims=True)) / np.exp(z - z.max(axis=1, keepdims=True)).sum(axis=1, keepdims=True)
-    for k in range(rounds):
-        slope = x.T @ (share * (softmax(x @ v) - target)) + 1e-3 * v
-        new = v - step * slope
-        v, w = new + k / (k + 3) * (new - w), new
-    p = softmax(x @ w)[y == 0, 1:]
-    threshold = max(0.5, float(p.max()) if p.size else 0.5)
-    return Model(spark, families, [(int(f), [float(a) for a in w[k]]) for f, k in column.items()], [float(a) for a in w[-1]], min(threshold, 0.95))
+
+    def matrix(rows: list) -> tuple[np.ndarray, np.ndarray]:
+        x, y = np.zeros((len(rows), len(known) + 1)), np.zeros(len(rows), int)
+        for k, (c, found) in enumerate(rows):
+            y[k], x[k, -1] = c, 1
+            for f in found:
+                if f in column:
+                    x[k, column[f]] = 1 / np.sqrt(len(found))
+        return x, y
+
+    w = _fit(*matrix(fit), len(classes), rounds)
+    x, y = matrix(held)
+    z = x @ w
+    over = (z[:, 1:].max(axis=1) - z[:, 0])[y == 0]
+    raised = max(0.0, float(np.quantile(over, 1 - FALSE_ALARMS, method="higher")) + 1e-6) if len(over) else 0.0
+    w[-1, 0] += raised
+    z[:, 0] += raised
+    p = _softmax(z)[:, 2:]
+    weights = np.zeros((len(classes), BUCKETS))
+    weights[:, known] = w[:-1].T
+    return Model(spark, classes, weights, w[-1], min(max(0.5, float(p.max()) if p.size else 0.5), 0.95))
 
 
 def find(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", coverage: float = COVERAGE) -> DataFrame:
     """(id, row_hash, place, family, probability, template, covered): paragraphs confirmed as licence notices, or unknown ones.
 
-    `unknown` are paragraphs that speak of a licence (a predicted family below the threshold, or not
-    confirmed by a template) while their likeliest class is a family. Paragraphs for which a bound of
-    their score rules that out are passed over before anything is shuffled, which changes no result.
+    `unknown` are paragraphs whose likeliest class is unknown, or a family that is below the threshold or
+    not confirmed by a template. Paragraphs for which a bound of their score shows that they are ordinary
+    are passed over, which changes no result. Nothing is shuffled.
     """
-    lines = paragraphs(docs, id_col, text_col).where(F.size("words") > 0)
-    hit = features(lines, "id", "row_hash", "place", "words", model=model).join(F.broadcast(model.weights), "feature")  # a few thousand rows, whatever the input
-    k = len(model.families)
-    sums = hit.groupBy("id", "row_hash", "place", "n").agg(F.first("words").alias("words"), *(F.sum(F.get("w", F.lit(i)) / F.sqrt("n")).alias(f"s{i}") for i in range(k)))
-    z = F.array(*(F.col(f"s{i}") + F.lit(model.bias[i]) for i in range(k)))
-    scored = sums.select("id", "row_hash", "place", "words", z.alias("z"))
-    scored = scored.select("id", "row_hash", "place", "words", F.transform("z", lambda v: F.exp(v - F.array_max("z"))).alias("e"), (F.array_position("z", F.array_max("z")) - 1).cast("int").alias("best"))
-    scored = scored.where("best > 0").select("id", "row_hash", "place", "words", F.get(F.array(*map(F.lit, model.families)), F.col("best")).alias("guess"), (1 / F.aggregate("e", F.lit(0.0), lambda a, v: a + v)).alias("probability"))
-    templates = model.templates.select("template", F.col("family").alias("guess"), F.array_distinct(plain_words(F.col("text"))).alias("own"))
-    compared = scored.join(F.broadcast(templates), "guess").withColumn("covered", F.size(F.array_intersect("own", "words")) / F.size("own"))
-    best = compared.groupBy("id", "row_hash", "place", "guess", "probability").agg(F.max(F.struct("covered", (-F.col("template")).alias("t"))).alias("m"))
-    sure = (F.col("probability") >= model.threshold) & (F.col("m.covered") >= coverage)
-    return best.select("id", "row_hash", "place", F.when(sure, F.col("guess")).otherwise(UNKNOWN).alias("family"), "probability", F.when(sure, -F.col("m.t")).alias("template"), F.col("m.covered").alias("covered"))
+    lines = paragraphs(docs, id_col, text_col).where(F.size("words") > 0).withColumn("f", hashed(F.col("words"))).where(model.may_be_licence(F.col("f")))
+    best = lambda z: (F.array_position(z, F.array_max(z)) - 1).cast("int")
+    chance = lambda z: 1 / F.aggregate(z, F.lit(0.0), lambda a, v: a + F.exp(v - F.array_max(z)))
+    found = lines.select("id", "row_hash", "place", "words", let(model.scores(F.col("f")), lambda z: F.struct(best(z).alias("best"), chance(z).alias("probability"))).alias("s"))
+    found = found.where("s.best > 0").select("id", "row_hash", "place", "words", F.get(F.array(*map(F.lit, model.classes)), F.col("s.best")).alias("guess"), "s.probability")
+    own = [(r["template"], r["family"], r["own"]) for r in model.templates.select("template", "family", F.array_distinct(plain_words(F.col("text"))).alias("own")).collect()]
+    shared = lambda t, own: F.struct((F.size(F.array_intersect(F.array(*map(F.lit, own)), "words")) / len(own)).alias("covered"), F.lit(-t).alias("t"))
+    by_family = F.lit(None).cast("struct<covered:double,t:int>")
+    for family in sorted(TEMPLATES):
+        by_family = F.when(F.col("guess") == family, F.array_max(F.array(*(shared(t, w) for t, f, w in own if f == family)))).otherwise(by_family)
+    compared = found.select("id", "row_hash", "place", "guess", "probability", let(by_family, lambda m: m).alias("m"))
+    sure = F.coalesce((F.col("probability") >= model.threshold) & (F.col("m.covered") >= coverage), F.lit(False))
+    return compared.select("id", "row_hash", "place", F.when(sure, F.col("guess")).otherwise(UNKNOWN).alias("family"), "probability", F.when(sure, -F.col("m.t")).alias("template"), F.coalesce("m.covered", F.lit(0.0)).alias("covered"))
 
 
 def by_document(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

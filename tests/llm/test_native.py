@@ -213,16 +213,65 @@ def test_licences(spark):
     assert licences.by_document(docs.limit(0), model).count() == 0
 
 
-def test_licences_counts_unknown_lines_of_any_words(spark, monkeypatch):
-    filler = [f"Ordinary words {k} and other lines of the corpus number {k * 7}" for k in range(60)]
-    texts = ["GNU GPLv3", "BSD / MIT", "mit", "plain prose only", *filler]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+def licence_rows(texts, model, coverage=0.5):
+    """Scores, classes and coverage of all lines, in plain Python."""
+    import math
+    import struct
+
+    import xxhash
+
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    templates = [(f, set(words(t))) for f, own in sorted(licences.TEMPLATES.items()) for t in own]
+    out = []
+    for doc, text in enumerate(texts):
+        for place, line in enumerate((text or "").split("\n")):
+            w = words(line)
+            h = [signed(xxhash.xxh64_intdigest(x.encode(), 42)) for x in w]
+            pair = lambda a, b: xxhash.xxh64_intdigest(struct.pack("<q", b), xxhash.xxh64_intdigest(struct.pack("<q", a), 42))
+            found = {x % licences.BUCKETS for x in h} | {signed(pair(a, b)) % licences.BUCKETS for a, b in zip(h, h[1:])}
+            if not w:
+                continue
+            z = [sum(model.weights[c][f] for f in found) / math.sqrt(len(found)) + model.bias[c] for c in range(len(model.classes))]
+            best = max(range(len(z)), key=lambda c: z[c])
+            if not best:
+                continue
+            chance = 1 / sum(math.exp(v - z[best]) for v in z)
+            covered = max(((len(own & set(w)) / len(own), -k) for k, (f, own) in enumerate(templates) if f == model.classes[best]), default=(0.0, None))
+            sure = best > 1 and chance >= model.threshold and covered[0] >= coverage
+            out.append((doc, place, model.classes[best] if sure else "unknown", round(chance, 4), -covered[1] if sure else None, round(covered[0], 6)))
+    return sorted(out)
+
+
+FILLER = [f"Ordinary words {k} and other lines of the corpus number {k * 7}" for k in range(60)]
+
+
+@pytest.mark.parametrize("coverage", [0.5, 0.2, 0.95])
+def test_licence_lines_equal_plain_python(spark, coverage):
+    notices = [t for own in licences.TEMPLATES.values() for t in own] + licences.UNFAMILIAR
+    halves = [" ".join(t.split()[: len(t.split()) // 2 + 1]) for t in notices]
+    texts = [*ODD_TEXTS[:-3], *notices, *halves, "x\n\nReleased under the MIT License.\n" + "long line " * 5000, *FILLER]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("words", F.lit(1)).withColumn("place", F.lit("p"))
     model = licences.train(docs)
-    result = lambda: sorted(tuple(r) for r in licences.by_document(docs, model).collect())
-    got = result()
-    assert [r[1:] for r in got[:4]] == [("", 0, 1), ("", 0, 1), ("", 0, 1), ("", 0, 0)]
-    monkeypatch.setattr(model, "may_be_family", lambda found: F.lit(True))
-    assert result() == got
+    found = licences.find(docs, model, coverage=coverage).collect()
+    assert sorted((r["id"], r["place"], r["family"], round(r["probability"], 4), r["template"], round(r["covered"], 6)) for r in found) == licence_rows(texts, model, coverage)
+
+
+def test_licences_calls_lines_of_unfamiliar_licences_unknown(spark):
+    held = licences.UNFAMILIAR[1::2]
+    texts = [*held, "GNU GPLv3", "BSD / MIT", "Free for use under BSD terms", "Use of this file is governed by the EUPL", "other lines of the corpus", *FILLER]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = licences.train(spark.createDataFrame(list(enumerate(FILLER)), "doc_id long, text string"))
+    got = {r["doc_id"]: r for r in licences.by_document(docs, model).collect()}
+    assert all(got[k]["n_unknown"] == 1 for k in range(len(held), len(held) + 4)) and not got[len(held) + 4]["n_unknown"]
+    assert sum(got[k]["n_unknown"] for k in range(len(held))) >= 0.7 * len(held) and sum(got[k]["n_notices"] for k in range(len(held))) <= 2
+    assert sum(got[k]["n_unknown"] + got[k]["n_notices"] for k in range(len(held) + 4, len(texts))) <= 1
+
+
+def test_licences_of_repeated_rows(spark):
+    rows = [(1, "Released under the MIT License."), (1, "Released under the MIT License."), (1, "nothing"), (None, "Released under the MIT License."), (None, None)]
+    docs = spark.createDataFrame([*rows, *enumerate(FILLER, 10)], "doc_id long, text string")
+    got = licences.by_document(docs, licences.train(docs)).where("doc_id is null or doc_id = 1").collect()
+    assert sorted((r["doc_id"] or 0, r["licences"]) for r in got) == [(0, ""), (0, "mit"), (1, ""), (1, "mit"), (1, "mit")]
 
 
 def test_licences_of_the_given_table(spark, sf_dir):
