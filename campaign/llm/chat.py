@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .columns import let
+from .shared import cut
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 LEARNED_ROLE = "assistant"
@@ -66,17 +67,35 @@ def format_pairs(pairs: DataFrame, id_col: str = "pair_id") -> DataFrame:
     )
 
 
-def replies_of_neighbours(whole: DataFrame) -> DataFrame:
-    """Pairs from conversations alone: chosen is the conversation; rejected has the last learned turn's text
-    replaced by that of the conversation with the next id. Conversations without a learned turn or without
-    such a neighbour are left out, since they offer no pair.
+def _numbered(df: DataFrame, *order: str) -> tuple[DataFrame, int]:
+    """Rows numbered from 0 in a global order, and how many there are. Ranges are written once, so both readings of them agree."""
+    own = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    parts = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part_", F.spark_partition_id()).withColumn("within_", own))
+    sizes = {r["part_"]: r["n"] for r in parts.groupBy("part_").agg(F.count("*").alias("n")).collect()}  # a row by partition
+    starts, total = [], 0
+    for part in sorted(sizes):
+        starts.append((part, total))
+        total += sizes[part]
+    before = df.sparkSession.createDataFrame(starts, "part_ int, before_ long")
+    return parts.join(F.broadcast(before), "part_").withColumn("number", F.col("before_") + F.col("within_")).drop("part_", "within_", "before_"), total
+
+
+def pairs_of_neighbours(whole: DataFrame) -> DataFrame:
+    """Pairs from conversations alone: chosen is each conversation with a learned turn, rejected comes from the next
+    one in the order of their texts (ties by id; the last one's next is the first), which shares the most turns at the start.
+
+    Where the first turns are alike, the next conversation is rejected as it is; else the conversation itself
+    with the last learned turn's text replaced by that of the next. Copies of one conversation
+    give equal sides. A single conversation is its own next one. Conversations without a learned turn offer no pair.
     """
     last = lambda turns: F.element_at(F.filter(turns, lambda t: t["role"] == LEARNED_ROLE), -1)["text"]
-    some = whole.where(F.exists("turns", lambda t: t["role"] == LEARNED_ROLE))
-    other = some.select((F.col("id") - 1).alias("id"), last(F.col("turns")).alias("reply"))
+    some = whole.where(F.exists("turns", lambda t: t["role"] == LEARNED_ROLE)).select("id", "turns", rendered(F.col("turns")).alias("shown"))
+    placed, total = _numbered(some, "shown", "id")
+    other = placed.select(F.pmod(F.col("number") - 1, F.lit(max(1, total))).alias("number"), F.col("turns").alias("other"))
     place = F.array_max(F.transform("turns", lambda t, i: F.when(t["role"] == LEARNED_ROLE, i)))
-    put = F.transform("turns", lambda t, i: F.struct(t["role"].alias("role"), F.when(i == place, F.col("reply")).otherwise(t["text"]).alias("text")))
-    return some.join(other, "id").select(F.col("id").alias("pair_id"), F.col("turns").alias("chosen"), put.alias("rejected"))
+    put = lambda reply: F.transform("turns", lambda t, i: F.struct(t["role"].alias("role"), F.when(i == place, reply).otherwise(t["text"]).alias("text")))
+    rejected = F.when(F.get("turns", F.lit(0)) == F.get("other", F.lit(0)), F.col("other")).otherwise(let(last(F.col("other")), put))
+    return placed.select("id", "turns", "number").join(other, "number").select(F.col("id").alias("pair_id"), F.col("turns").alias("chosen"), rejected.alias("rejected"))
 
 
 def ranges_text(ranges: Column) -> Column:

@@ -16,10 +16,17 @@ def _quoted(text: str) -> str:
 
 PREFERENCE = """WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i
   FROM (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
-c AS (SELECT conv_id, count(*) AS n, max(i) FILTER (role = 'assistant') AS place, arg_max(text, i) FILTER (role = 'assistant') AS reply FROM t GROUP BY 1),
-p AS (SELECT a.conv_id AS pair_id, CASE WHEN a.reply = b.reply THEN a.n ELSE a.place END AS prompt_turns, a.place, b.reply FROM c a JOIN c b ON b.conv_id = a.conv_id + 1 WHERE a.place IS NOT NULL AND b.place IS NOT NULL),
-x AS (SELECT pair_id, prompt_turns, i, side, role, CASE WHEN side = 'rejected' AND i = place THEN reply ELSE text END AS text FROM p JOIN t ON t.conv_id = pair_id, (VALUES ('chosen'), ('rejected')) s(side)),
-r AS (SELECT *, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS shown, i >= prompt_turns AS tail FROM x),
+y AS (SELECT *, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS shown FROM t),
+c AS (SELECT conv_id, max(i) FILTER (role = 'assistant') AS place, arg_max(text, i) FILTER (role = 'assistant') AS reply, string_agg(shown, '' ORDER BY i) AS shown, any_value(shown) FILTER (i = 0) AS head FROM y GROUP BY 1),
+o AS (SELECT *, row_number() OVER (ORDER BY shown, conv_id) AS k, count(*) OVER () AS total FROM c WHERE place IS NOT NULL),
+p AS (SELECT a.conv_id AS pair_id, b.conv_id AS other, a.place, b.reply, a.head = b.head AS whole FROM o a JOIN o b ON b.k = a.k % a.total + 1),
+x AS (SELECT pair_id, 'chosen' AS side, i, role, text FROM p JOIN t ON t.conv_id = pair_id
+  UNION ALL SELECT pair_id, 'rejected', i, role, text FROM p JOIN t ON t.conv_id = other WHERE whole
+  UNION ALL SELECT pair_id, 'rejected', i, role, CASE WHEN i = place THEN reply ELSE text END FROM p JOIN t ON t.conv_id = pair_id WHERE NOT whole),
+d AS (SELECT pair_id, min(i) AS i FROM x a JOIN x b USING (pair_id, i) WHERE a.side = 'chosen' AND b.side = 'rejected' AND (a.role <> b.role OR a.text <> b.text) GROUP BY 1),
+m AS (SELECT pair_id, least(count(*) FILTER (side = 'chosen'), count(*) FILTER (side = 'rejected')) AS n FROM x GROUP BY 1),
+q AS (SELECT pair_id, coalesce(d.i, m.n) AS prompt_turns FROM m LEFT JOIN d USING (pair_id)),
+r AS (SELECT x.*, prompt_turns, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS shown, i >= prompt_turns AS tail FROM x JOIN q USING (pair_id)),
 s AS (SELECT *, coalesce(sum(length(shown)) OVER (PARTITION BY pair_id, side, tail ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM r)
 SELECT pair_id, any_value(prompt_turns) AS prompt_turns,
   coalesce(string_agg(shown, '' ORDER BY i) FILTER (NOT tail AND side = 'chosen'), '') AS prompt,

@@ -11,9 +11,9 @@ from .shared import fold, table
 
 
 def op1_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation with a learned turn against the next one's reply: rendered prompt, completions and loss ranges."""
+    """Every conversation with a learned turn against the next one in the order of texts: rendered prompt, completions and loss ranges."""
     whole = chat.conversations(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
-    made = chat.format_pairs(chat.replies_of_neighbours(whole))
+    made = chat.format_pairs(chat.pairs_of_neighbours(whole))
     return made.select("pair_id", F.col("prompt_turns").cast("long").alias("prompt_turns"), "prompt", "chosen", chat.ranges_text(F.col("chosen_loss")).alias("chosen_loss"), "rejected", chat.ranges_text(F.col("rejected_loss")).alias("rejected_loss"))
 
 

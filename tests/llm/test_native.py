@@ -176,25 +176,54 @@ def test_preference_pairs(spark):
         assert r["prompt"] + r["chosen"] == whole
 
 
-def test_preference_pairs_of_the_given_table(spark, sf_dir):
+def neighbour_pairs(rows):
+    """Pairs of (conv_id, turn, role, text) rows in plain Python: prompt_turns, prompt, chosen, rejected by id."""
     turns = {}
-    for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").collect():
-        turns.setdefault(r["conv_id"], set()).add((r["turn"], r["role"] or "", r["text"] or ""))
-    turns = {k: [t[1:] for t in sorted(v)] for k, v in turns.items()}
-    last = {k: [t for r, t in v if r == "assistant"][-1] for k, v in turns.items() if any(r == "assistant" for r, _ in v)}
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            turns.setdefault(conv, set()).add((turn, role or "", text or ""))
     show = lambda v: "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for r, t in v)
-    expected = {}
-    for k in last:
-        if k + 1 in last:
-            other = list(turns[k])
-            at = max(i for i, (r, _) in enumerate(other) if r == "assistant")
-            other[at] = ("assistant", last[k + 1])
-            n = next((i for i, (a, b) in enumerate(zip(turns[k], other)) if a != b), len(other))
-            expected[k] = (n, show(turns[k][:n]), show(turns[k][n:]), show(other[n:]))
+    turns = {k: [t[1:] for t in sorted(v)] for k, v in turns.items()}
+    order = sorted((k for k, v in turns.items() if any(r == "assistant" for r, _ in v)), key=lambda k: (show(turns[k]).encode(), k))
+    out = {}
+    for k, following in zip(order, order[1:] + order[:1], strict=True):
+        own, other = turns[k], turns[following]
+        if own[0] != other[0]:
+            at = max(i for i, (r, _) in enumerate(own) if r == "assistant")
+            other = own[:at] + [("assistant", [t for r, t in other if r == "assistant"][-1])] + own[at + 1 :]
+        n = next((i for i, (a, b) in enumerate(zip(own, other)) if a != b), min(len(own), len(other)))
+        out[k] = (n, show(own[:n]), show(own[n:]), show(other[n:]))
+    return out
+
+
+def test_preference_pairs_of_the_given_table(spark, sf_dir):
+    expected = neighbour_pairs([(r["conv_id"], r["turn"], r["role"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").collect()])
     got = {r["pair_id"]: (r["prompt_turns"], r["prompt"], r["chosen"], r["rejected"]) for r in queries.op1_preference_formatting(spark, sf_dir).collect()}
     assert got == expected
 
 
+def test_preference_pairs_share_prefixes_of_all_lengths(spark, tmp_path):
+    from tests import compare
+
+    rows, path = [], str(tmp_path)
+    for k, (prefix, rest) in enumerate((p, r) for p in range(5) for r in ("x", "y", "z")):
+        own = [f"common {j}" for j in range(prefix + 1)] + [f"own {rest} {j}" for j in range(2)]
+        rows += [(7 * k, j, "assistant" if j % 2 else "user", t) for j, t in enumerate(own)]
+    rows += [(500, 0, "user", "common 0"), (501, 0, "user", "no answer"), (502, 0, "assistant", None), (502, 0, "assistant", None), (503, 0, None, "é"), (503, 1, "assistant", "\U0001f600"), (None, 0, "assistant", "a")]
+    rows += [(r[0] + 1000, *r[1:]) for r in rows if r[0] == 7]  # a copy
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("number", F.lit(1)).withColumn("shown", F.lit("s")).write.parquet(f"{path}/conversations.parquet")
+    spark.createDataFrame([(1, "a")], "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    expected = neighbour_pairs(rows)
+    result = queries.op1_preference_formatting(spark, path)
+    got = {r["pair_id"]: (r["prompt_turns"], r["prompt"], r["chosen"], r["rejected"]) for r in result.collect()}
+    assert got == expected and {0, 1, 2, 3, 4, 5} <= {n for n, *_ in got.values()}
+    con = compare.duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{path}/conversations.parquet/*.parquet'")
+    compare.same(result, con, queries.ORACLES["op1_preference_formatting"])
+    empty = chat.pairs_of_neighbours(chat.conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")))
+    assert empty.count() == 0
+
+
 def test_conversations_with_nulls_and_repeats(spark):
     df = spark.createDataFrame([(1, 0, None, "a"), (1, 0, None, "a"), (1, 1, "assistant", None), (None, 0, "user", "b")], "conv_id long, turn long, role string, text string")
     assert json.loads(chat.conversations(df).select(F.to_json(F.struct("turns"))).first()[0])["turns"] == [{"role": "", "text": "a"}, {"role": "assistant", "text": ""}]
