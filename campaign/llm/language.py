@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import chunks, mix, utf8
@@ -23,7 +23,7 @@ from .shared import small_batches
 
 ORDER = 4
 SAMPLE_BYTES = 400_000
-MOST_LANGUAGES = 64
+CHUNK = 2000
 PAD = 10  # before the first byte
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -137,20 +137,24 @@ class Trees:
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", order: int = ORDER, sample_bytes: int = SAMPLE_BYTES) -> Trees:
     """Trees from the rows with a text and a language.
 
-    About `sample_bytes` bytes are taken of each language: a row is in the sample if the hash of its
-    id and text is below the language's share. This bounds what the driver gathers; languages with
-    fewer bytes are taken whole.
+    Texts are cut into chunks of CHUNK characters. Of each language the chunks with the least hash of id, text
+    and place are taken until they hold `sample_bytes` bytes, so every language has its share, whether its texts are
+    many or few and long. This bounds what the driver gathers by the number of languages; those with fewer bytes are taken whole.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 30)).alias("h")
+        F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("row_hash")
     )
-    totals = known.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes")).orderBy(F.desc("bytes"), "lang").limit(MOST_LANGUAGES + 1).collect()
-    if len(totals) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    totals = known.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes")).collect()  # a row by language
     languages = sorted(r["lang"] for r in totals)
-    share = F.lit(0)
-    for r in totals:
-        share = F.when(F.col("lang") == r["lang"], int((1 << 30) * min(1.0, sample_bytes / max(1, r["bytes"])))).otherwise(share)
+    places = F.sequence(F.lit(1), F.greatest(F.char_length("text"), F.lit(1)), F.lit(CHUNK))
+    hashes = F.transform(places, lambda at: F.struct(F.pmod(F.xxhash64("row_hash", at), F.lit(1 << 30)).alias("h"), at.alias("at")))
+    # a first cut by hash leaves twice the sample and some more chunks, whose least hashes are then taken exactly
+    part = lambda size: int((1 << 30) * min(1.0, (2 * sample_bytes + 80 * CHUNK) / max(1, size)))
+    share = F.create_map(*(F.lit(x) for r in totals for x in (r["lang"], part(r["bytes"])))) if totals else F.lit(None).cast("map<string,int>")
+    some = known.select("lang", "text", F.explode(F.filter(hashes, lambda x: x["h"] < share[F.col("lang")])).alias("x"))
+    some = some.select("lang", F.col("x.h").alias("h"), F.substring("text", F.col("x.at"), F.lit(CHUNK)).alias("text"))
+    before = F.sum(F.octet_length("text")).over(Window.partitionBy("lang").orderBy("h", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.octet_length("text")
+    sample = some.withColumn("before", before).where(F.col("before") < sample_bytes).select("lang", "text")
     small_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +173,6 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_co
 
     if order > 4:
         raise ValueError("an order of 4 at most")
-    sample = known.where(F.col("h") < share).select("lang", "text")
     found = sample.mapInArrow(count, "n int, key long, times long").groupBy("n", "key").agg(F.sum("times").alias("times")).toArrow()
     n, key, times = (found.column(c).to_numpy() for c in ("n", "key", "times"))
     counts = {}

@@ -345,6 +345,23 @@ def test_language_held_out_accuracy(spark, sf_dir):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_language_of_few_long_texts_and_of_many_languages(spark):
+    rng = random.Random(2)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(2, 7)))
+    text = lambda letters, n: " ".join(word(letters) for _ in range(n))
+    rows = [(k, text("etaoinshr", 60), "en") for k in range(300)] + [(1000 + k, text("kqwzyjvxu", 40_000), "xx") for k in range(3)]
+    trees = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_bytes=30_000)
+    for k in (0, 1):
+        root = trees.cost[1][:, k]
+        assert trees.languages == ["en", "xx"] and (root < 8).sum() > 5  # either has its share
+    docs = spark.createDataFrame([(1, text("etaoinshr", 20)), (2, text("kqwzyjvxu", 20))], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in language.identify(docs, trees).collect()} == {1: "en", 2: "xx"}
+    many = [(k, text("abcdefghijklmnop"[k % 16 :] + chr(0x400 + k), 30), f"l{k:02d}") for k in range(80)]
+    trees = language.train(spark.createDataFrame(many, "doc_id long, text string, lang string"))
+    got = language.identify(spark.createDataFrame(many, "doc_id long, text string, lang string"), trees).collect()
+    assert all(r["lang_pred"] == f"l{r['doc_id']:02d}" for r in got)
+
+
 def test_language_of_odd_texts(spark):
     trees = language.train(spark.createDataFrame([(1, "some words", "en")], "doc_id long, text string, lang string"))
     df = spark.createDataFrame(list(enumerate([*ODD_TEXTS, "123 456"])), "doc_id long, text string").withColumn("score", F.lit(1))
