@@ -173,6 +173,34 @@ def test_local_search_keeps_all_items_and_never_adds_bins(seed):
     assert square(last) >= square(first)
 
 
+@pytest.mark.parametrize("counts", [{50: 1, 27: 2, 45: 1, 29: 1, 22: 1, 28: 1, 54: 1}, {54: 1, 22: 2, 43: 1, 59: 1, 44: 1, 21: 1, 20: 1}])
+def test_local_search_needs_fewer_bins_than_best_fit(spark, counts):
+    first = packing.best_fit(counts, 100)
+    last = packing.local_search(first, 100)
+    assert (sum(first.values()), sum(last.values())) == (4, 3) and Counter(x for b, n in last.items() for x in b * n) == Counter(counts)
+    many = {k: 1000 * n for k, n in counts.items()}
+    assert sum(packing.local_search(Counter({b: 1000 * n for b, n in first.items()}), 100).values()) == 3000
+    parts = [(None, k, 0, size, 7) for size, n in many.items() for k in range(n // 100)]
+    rows = packing.pack(spark.createDataFrame(parts, "doc_id long, piece int, start long, length long, ids_crc32 long"), capacity=100).collect()
+    places = defaultdict(list)
+    for r in rows:
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert len(rows) == len(parts) and len(places) <= 40 and all(sum(n for _, n in x) <= 100 and sorted(x)[0][0] == 0 for x in places.values())
+
+
+def test_packing_of_null_and_repeated_ids_and_clashing_columns(spark):
+    rows = [(None, "a b c")] * 30 + [(1, "a b c")] * 30 + [(2, None), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("length", F.lit("x")).withColumn("part_", F.lit(1)).repartition(3)
+    got = packing.pack_documents(df, capacity=16).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows)
+    places = defaultdict(list)
+    for r in got:
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    for own in places.values():
+        own.sort()
+        assert all(a + n == b for (a, n), (b, _) in zip(own, own[1:])) and own[0][0] == 0 and sum(own[-1]) <= 16
+
+
 def test_exchanges_of_all_kinds():
     assert packing._exchange((30,), (70,), 100) == ((), (70, 30))
     assert packing._exchange((50, 21), (60, 20), 100) is not None
