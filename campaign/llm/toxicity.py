@@ -39,7 +39,7 @@ SPANS = ((1, 2, 3), (1, 2, 4), (1, 3, 4), (2, 3, 4), (1, 2, 5), (1, 3, 5), (1, 4
 WINDOW = 3
 TOP = 3
 ROUNDS = 3
-LABELLED_ROWS = 20_000
+LABELLED_ROWS = 8_000
 SEED_WORDS = 20_000
 LANDMARKS = 256
 POOL = 600
@@ -162,7 +162,7 @@ class Machine(NamedTuple):
     weights: np.ndarray
 
 
-def kernel(examples: list[bytes], landmarks: list[bytes], block: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def kernel(examples: list[bytes], landmarks: list[bytes], block: int = 2000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Kernels (examples, landmarks), the landmarks' vectors (features, landmarks) and which features these are."""
     row, feature, value = vectors(landmarks)
     used, column = np.unique(feature, return_inverse=True)
@@ -174,9 +174,11 @@ def kernel(examples: list[bytes], landmarks: list[bytes], block: int = 128) -> t
         column = np.minimum(np.searchsorted(used, feature), max(0, len(used) - 1))
         own = np.flatnonzero(used[column] == feature) if len(used) else np.zeros(0, np.int64)
         own = own[np.argsort(row[own], kind="stable")]
-        some, first = np.unique(row[own], return_index=True)
-        if len(own):
-            out[low + some] = np.add.reduceat(dense[column[own]] * value[own, None].astype(np.float32), first)
+        bounds = np.searchsorted(row[own], np.arange(min(block, len(examples) - low) + 1))
+        column, value = column[own], value[own].astype(np.float32)
+        for k, (first, last) in enumerate(zip(bounds[:-1], bounds[1:], strict=True), low):
+            if first < last:
+                out[k] = value[first:last] @ dense[column[first:last]]
     return out, dense, used
 
 
