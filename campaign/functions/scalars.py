@@ -78,11 +78,15 @@ def parse_duration(text: Column) -> Column:
 
 def parse_elapsed(text: Column) -> Column:
     """Nanoseconds of [DD-][[HH:]MM:]SS[.fff][s], where two fields are minutes and seconds."""
-    pattern = r"^\s*(?:(\d+)-)?(?:(?:(\d+):)?(\d+):)?(\d+)(?:\.(\d{1,9}))?s?\s*$"
-    n = lambda g: F.coalesce(_part(text, pattern, g).cast("long"), F.lit(0))
-    fraction = F.rpad(F.regexp_extract(text, pattern, 5), 9, "0").cast("long")
-    whole = n(1) * 86400 + n(2) * 3600 + n(3) * 60 + n(4)
-    return F.when(text.rlike(pattern), whole * SECOND + fraction)
+    pattern = r"^\s*(?:\d+-)?(?:(?:\d+:)?\d+:)?\d+(?:\.\d{1,9})?s?\s*$"
+    # one expression tells the form; the fields are then cut out without further ones
+    plain = F.rtrim(F.trim(F.translate(text, "\t\n\r\f\x0b", "     ")), F.lit("s"))
+    clock = F.substring_index(plain, "-", -1)
+    field = lambda k: F.when(F.size(F.split(clock, ":")) >= k, F.split_part(clock, F.lit(":"), F.lit(-k)).try_cast("long")).otherwise(0)
+    second = F.split_part(F.substring_index(clock, ":", -1), F.lit("."), F.lit(1)).try_cast("long")
+    days = F.when(F.contains(plain, F.lit("-")), F.split_part(plain, F.lit("-"), F.lit(1)).try_cast("long")).otherwise(0)
+    fraction = F.rpad(F.split_part(clock, F.lit("."), F.lit(2)), 9, "0").try_cast("long")
+    return F.when(text.rlike(pattern), (days * 86400 + field(3) * 3600 + field(2) * 60 + second) * SECOND + fraction)
 
 
 def quantity_text(amount: Column, units: dict[str, int]) -> Column:
@@ -199,8 +203,9 @@ def url_adjoin(url: Column, relative: str) -> Column:
 
 
 def io_map(paths: Column) -> Column:
-    """Paths to their last parts."""
-    return F.map_from_arrays(paths, F.transform(paths, lambda p: F.regexp_extract(p, "[^/]*$", 0)))
+    """Paths to their last parts; a path that occurs twice counts once."""
+    once = F.array_distinct(paths)
+    return F.map_from_arrays(once, F.transform(once, lambda p: F.regexp_extract(p, "[^/]*$", 0)))
 
 
 def decode_bytes(data: Column) -> Column:
@@ -209,5 +214,7 @@ def decode_bytes(data: Column) -> Column:
 
 
 def substitute_template(template: Column, values: Column) -> Column:
-    """${key} replaced from a map; unknown keys stay."""
-    return F.aggregate(F.map_entries(values), template, lambda t, e: F.replace(t, F.concat(F.lit("${"), e["key"], F.lit("}")), e["value"]))
+    """${key} replaced from a map, once: what a value brings in is not replaced again. Unknown keys stay."""
+    part = r"(?s)\$\{[^}]*\}|(?:(?!\$\{[^}]*\}).)+"
+    piece = lambda p: F.coalesce(F.when(F.startswith(p, F.lit("${")), F.try_element_at(values, F.substring(p, F.lit(3), F.length(p) - 3))), p)
+    return F.array_join(F.transform(F.regexp_extract_all(template, F.lit(part), F.lit(0)), piece), "")

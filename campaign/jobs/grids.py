@@ -48,12 +48,12 @@ def index_grid(spark, sf):
 
 
 @job(
-    """WITH g AS (SELECT r_name, p_brand, n_name, row_number() OVER (ORDER BY r_name, p_brand, n_name) - 1 AS run_no FROM region, (SELECT DISTINCT p_brand FROM part), nation WHERE n_nationkey < 3)
+    """WITH g AS (SELECT r_name, p_brand, n_name, row_number() OVER (ORDER BY r_name, p_brand, n_name) - 1 AS run_no FROM region, (SELECT DISTINCT p_brand FROM part), nation)
     SELECT r_name AS region, p_brand AS brand, n_name AS nation, run_no, 'para_region=' || r_name || '_brand=' || p_brand || '_nation=' || n_name AS run, CASE run_no WHEN 0 THEN '1' WHEN 1 THEN '2' ELSE '3' END AS tries FROM g"""
 )
 def grouped_grid(spark, sf):
     values = lambda df, column: sorted(r[0] for r in df.select(column).distinct().collect())
-    nations = c.table(spark, sf, "nation").where("n_nationkey < 3")
+    nations = c.table(spark, sf, "nation")
     groups = {0: {"region": values(c.table(spark, sf, "region"), "r_name"), "brand": values(_part(spark, sf), "p_brand")}, 1: {"nation": values(nations, "n_name")}, -1: {"tries": ["1", "2", "3"]}}
     return op.grouped_grid(spark, groups)
 
@@ -64,10 +64,9 @@ def remap_groups(spark, sf):
     return op.remap_groups(nation, "grp")
 
 
-@job("SELECT p_brand, p_size, s_name FROM (SELECT DISTINCT p_brand FROM part), (SELECT DISTINCT p_size FROM part), (SELECT s_name FROM supplier WHERE s_suppkey <= 5)")
+@job("SELECT p_brand, p_size, s_name FROM (SELECT DISTINCT p_brand FROM part), (SELECT DISTINCT p_size FROM part), (SELECT s_name FROM supplier)")
 def product_tables(spark, sf):
-    few = c.table(spark, sf, "supplier").where("s_suppkey <= 5").select("s_name")
-    return op.expand_grid([_part(spark, sf).select("p_brand").distinct(), _part(spark, sf).select("p_size").distinct(), few])
+    return op.expand_grid([_part(spark, sf).select("p_brand").distinct(), _part(spark, sf).select("p_size").distinct(), c.table(spark, sf, "supplier").select("s_name")])
 
 
 @job("SELECT DISTINCT n_name, value FROM nation, (SELECT unnest(range(1, 6)) AS value UNION ALL SELECT unnest(range(10, 21, 5)))")
@@ -92,7 +91,7 @@ def slices_with_last(spark, sf):
     return op.slices_with_last(_part(spark, sf).select("p_partkey", (F.col("p_partkey") % 50).alias("total")), "total", 8)
 
 
-@job()
+@job("SELECT p_partkey, CAST(r AS INT) AS repeat, ('0x' || substr(md5(p_partkey || ':' || r || ':0'), 1, 8))::BIGINT % 2147483648 AS seed FROM part, range(4) t(r)")
 def replicate_seeds(spark, sf):
     return op.replicate_seeds(_part(spark, sf).select("p_partkey"), "p_partkey", 4)
 

@@ -21,10 +21,11 @@ def last_message(spark, sf):
 @job(
     E
     + """, m AS (SELECT task_id, seq, ts, lag(state) OVER (PARTITION BY task_id ORDER BY ts, seq) AS from_state, state AS to_state FROM task_events WHERE state IS NOT NULL)
-    SELECT *, 'Transition from state ' || from_state || ' to state ' || to_state AS text FROM m WHERE from_state <> to_state"""
+    SELECT *, 'Transition from state ' || from_state || ' to state ' || to_state || CASE WHEN to_state = 'TERMINATED' THEN ' (returncode: ' || CASE WHEN seq % 5 = 0 THEN 'None' ELSE CAST(seq % 3 AS VARCHAR) END || ')' ELSE '' END AS text
+    FROM m WHERE from_state <> to_state"""
 )
 def state_transitions(spark, sf):
-    return op.state_transitions(c.task_events(spark, sf))
+    return op.state_transitions(c.task_events(spark, sf).withColumn("returncode", F.when(F.col("seq") % 5 != 0, F.col("seq") % 3)))
 
 
 @job(E + "SELECT task_id, max(CASE WHEN state = 'NEW' THEN ts END) AS new, max(CASE WHEN state = 'RUNNING' THEN ts END) AS running, max(CASE WHEN state = 'TERMINATED' THEN ts END) AS terminated FROM task_events GROUP BY 1")
@@ -41,10 +42,17 @@ def lifetimes(spark, sf):
     return op.lifetimes(c.tasks(spark, sf))
 
 
-@job(E + "SELECT ts, seq, task_id, message FROM task_events WHERE task_id IN (SELECT o_custkey FROM orders WHERE o_orderkey % 10 = 2)")
+_NESTED = E + """, tree AS (SELECT DISTINCT task_id, task_id // 4 AS parent_id FROM task_events WHERE task_id > 0), top AS (SELECT r_regionkey + 1 AS task_id FROM region),
+    nested AS (SELECT CAST(task_id AS BIGINT) AS task_id FROM top UNION SELECT t.task_id FROM nested n JOIN tree t ON t.parent_id = n.task_id)
+    SELECT ts, seq, task_id, message FROM task_events WHERE task_id IN (SELECT task_id FROM nested)"""
+
+
+@job(_NESTED)
 def session_log(spark, sf):
-    members = c.table(spark, sf, "orders").where("o_orderkey % 10 = 2").select(F.col("o_custkey").alias("task_id"))
-    return op.session_log(c.task_events(spark, sf), members)
+    """A session of a task per region, each with the tasks nested in it: task k is part of task k / 4."""
+    events = c.task_events(spark, sf)
+    tree = events.where("task_id > 0").select("task_id", F.floor(F.col("task_id") / 4).cast("long").alias("parent_id")).distinct()
+    return op.session_log(events, c.table(spark, sf, "region").select((F.col("r_regionkey") + 1).cast("long").alias("task_id")), tree)
 
 
 @job(
@@ -128,12 +136,13 @@ def missing_replicates(spark, sf):
     return op.missing_replicates(part.select("p_brand", "p_size").distinct(), part.where("p_partkey % 3 = 0"), ["p_brand", "p_size"], 5)
 
 
-@job(
-    """WITH k AS (SELECT user_id AS task_id, ts, CASE WHEN event_type = 'error' THEN NULL ELSE event_type END AS state FROM events),
-    g AS (SELECT task_id, max(ts) FILTER (state IS NOT NULL) AS good, max(ts) AS now FROM k GROUP BY 1),
-    s AS (SELECT task_id, min(ts) AS since, min(now) AS now FROM k JOIN g USING (task_id) WHERE state IS NULL AND (good IS NULL OR ts > good) GROUP BY 1)
-    SELECT task_id, since FROM s WHERE now >= since + INTERVAL 1 HOUR"""
-)
+LOST = """WITH k AS (SELECT user_id AS task_id, ts, CASE WHEN event_type = 'error' THEN NULL ELSE event_type END AS state FROM events),
+    g AS (SELECT task_id, max(ts) FILTER (state IS NOT NULL) AS good FROM k GROUP BY 1),
+    s AS (SELECT task_id, min(ts) AS since FROM k JOIN g USING (task_id) WHERE state IS NULL AND (good IS NULL OR ts > good) GROUP BY 1)
+    SELECT task_id, since FROM s WHERE (SELECT max(ts) FROM k) >= since + INTERVAL 1 HOUR"""
+
+
+@job(LOST)
 def lost_tasks(spark, sf):
     e = c.table(spark, sf, "events").select(F.col("user_id").alias("task_id"), "ts", F.when(F.col("event_type") != "error", F.col("event_type")).alias("state"))
     return op.lost_tasks(e, "1 HOUR")

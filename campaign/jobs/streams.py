@@ -14,6 +14,7 @@ from ..sources import canonical as c
 from ..sources.scratch import new_folder
 from ..streaming import events as st
 from .base import Jobs
+from .history import LOST
 
 job = Jobs()
 
@@ -63,26 +64,52 @@ def coalesce_events(spark, sf):
     return drain(st.coalesce_events(_raw(_stream(spark, sf)))).select("path", F.unix_micros("ts").alias("at"), "event")
 
 
-_LIVE = c.with_("task_events") + ", l AS (SELECT task_id, arg_max(state, (ts, seq)) AS state FROM task_events GROUP BY 1) SELECT state, count(*) AS n FROM l GROUP BY 1"
+_LIVE = c.with_("task_events") + """, l AS (SELECT task_id, arg_max((state, CASE WHEN state = 'TERMINATED' THEN seq % 3 END), (ts, seq)) AS s FROM task_events GROUP BY 1), x AS (SELECT s[1] AS state, s[2] AS code FROM l)
+    SELECT state, count(*) AS n FROM x GROUP BY 1 UNION ALL SELECT CASE WHEN code = 0 THEN 'ok' ELSE 'failed' END, count(*) FROM x WHERE state = 'TERMINATED' GROUP BY 1"""
+
+
+def _code():
+    return F.when(F.col("state") == "TERMINATED", F.col("seq") % 3).cast("int")
 
 
 @job(_LIVE)
 def live_state_counts_batch(spark, sf):
-    return st.live_state_counts_batch(c.task_events(spark, sf))
+    return st.live_state_counts_batch(c.task_events(spark, sf).withColumn("returncode", _code()))
 
 
 @job(_LIVE)
 def live_state_counts(spark, sf):
     kind = F.create_map(*(F.lit(x) for pair in {"signup": "NEW", "view": "SUBMITTED", "click": "RUNNING", "purchase": "TERMINATED", "error": "STOPPED"}.items() for x in pair))
     e = _stream(spark, sf).select(F.col("user_id").alias("task_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.try_element_at(kind, F.col("event_type")).alias("state"))
-    return drain(st.state_deltas(e)).groupBy("state").agg(F.sum("delta").alias("n")).where("n <> 0")
+    return drain(st.state_deltas(e.withColumn("returncode", _code()))).groupBy("state").agg(F.sum("delta").alias("n")).where("n <> 0")
 
 
-@job(c.with_("listing_old", "listing_new") + ", d AS (SELECT path, CASE WHEN o.mtime IS NULL THEN 'created' WHEN n.mtime IS NULL THEN 'deleted' WHEN n.mtime > o.mtime THEN 'modified' END AS event FROM listing_old o FULL JOIN listing_new n USING (path)) SELECT * FROM d WHERE event IS NOT NULL")
-def listing_changes(spark, sf):
+@job(LOST.replace("SELECT task_id, since FROM s", "SELECT task_id, epoch_us(since) AS since FROM s"))
+def lost_tasks_stream(spark, sf):
+    """Tasks that a stream of checks tells to be lost and does not take back."""
+    e = _stream(spark, sf).select(F.col("user_id").alias("task_id"), F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type") != "error", F.col("event_type")).alias("state"))
+    told = drain(st.lost_tasks_stream(e, 3600)).groupBy("task_id", "since").agg(F.bool_and("lost").alias("lost"))
+    return told.where("lost").select("task_id", F.unix_micros("since").alias("since"))
+
+
+_CHANGES = c.with_("listing_old", "listing_new") + ", d AS (SELECT path, CASE WHEN o.mtime IS NULL THEN 'created' WHEN n.mtime IS NULL THEN 'deleted' WHEN n.mtime > o.mtime THEN 'modified' END AS event FROM listing_old o FULL JOIN listing_new n USING (path)) SELECT * FROM d WHERE event IS NOT NULL"
+
+
+@job(_CHANGES)
+def listing_changes_batch(spark, sf):
     return st.listing_changes(c.listing(spark, sf, False), c.listing(spark, sf, True))
 
 
+@job(_CHANGES)
+def listing_changes(spark, sf):
+    """Two listings that arrive one after the other; the changes that the second one brings."""
+    inbox, folder = new_folder(spark, "listings"), new_folder(spark, "changes")
+    for new in (False, True):
+        c.listing(spark, sf, new).write.mode("append").parquet(inbox)
+        st.follow_listings(spark.readStream.schema("path string, mtime long").parquet(inbox), folder)
+    return st.changes_so_far(spark, folder).where("listing = 1").select("path", "event")
+
+
 @job("SELECT regexp_extract(event_type, '^.*$') AS line, count(*) AS n FROM events GROUP BY 1")
 def follow_log(spark, sf):
     """The kinds of events, written as log lines and followed as a stream."""
@@ -106,29 +133,66 @@ def _population(spark, sf):
     return e.select(F.col("vec_id").alias("member_id"), F.col("embedding").cast("array<double>").alias("x"), F.col("label").cast("double").alias("y"))
 
 
-@job(
-    """WITH m AS (SELECT vec_id AS member_id, embedding::DOUBLE[] AS x FROM embeddings), n AS (SELECT count(*) AS n FROM m),
-    q AS (SELECT a.member_id, a.x, p1.x AS p1, p2.x AS p2, p3.x AS p3 FROM m a, n, m p1, m p2, m p3 WHERE p1.member_id = a.member_id AND p2.member_id = (a.member_id + 1) % n AND p3.member_id = (a.member_id + 3) % n)
-    SELECT member_id, round(CASE WHEN member_id % 3 = 0 THEN p3[1] + 0.7 * (p1[1] - p2[1]) ELSE x[1] END, 6) AS x0, round(CASE WHEN member_id % 2 = 0 THEN p3[2] + 0.7 * (p1[2] - p2[2]) ELSE x[2] END, 6) AS x1 FROM q"""
-)
+_READY = """WITH m AS (SELECT vec_id AS member_id, embedding::DOUBLE[] AS x, label AS y FROM embeddings), n AS (SELECT count(*) AS n FROM m), t AS (SELECT arg_min(x, (y, member_id)) AS b FROM m),
+    q AS (SELECT a.member_id, a.x, p1.x AS p1, p2.x AS p2, p3.x AS p3, b FROM m a, n, t, m p1, m p2, m p3 WHERE p1.member_id = a.member_id AND p2.member_id = (a.member_id + 1) % n AND p3.member_id = (a.member_id + 3) % n),
+    u AS (SELECT member_id, unnest(range(len(x))) AS k, unnest(x) AS x, unnest(p1) AS p1, unnest(p2) AS p2, unnest(p3) AS p3, unnest(b) AS b FROM q),
+    r AS (SELECT *, (member_id * 7 + k * 3) % 10 / 10 AS j, member_id * 7 % 10 / 10 AS j0 FROM u)
+    SELECT member_id, k, round(CASE WHEN (member_id + k) % 3 = 0 THEN {} ELSE x END, 6) AS x FROM r"""
+
+
+def _evolved(spark, sf, strategy: str, generation: float | None = None) -> DataFrame:
+    """One generation of whole vectors with the members' own order as the permutation; masks and jitter follow from ids and places."""
+    pop = _population(spark, sf)
+    best = ev.best_member(pop).select(F.col("member_id").alias("top")).join(pop, F.col("top") == F.col("member_id")).select(F.col("x").alias("best"))
+    ready = ev.with_partners(pop.select("member_id", "x"), pop.count(), F.col("member_id")).join(F.broadcast(best))
+    mask = F.transform("x", lambda _, k: ((F.col("member_id") + k) % 3 == 0).cast("int"))
+    jitter = F.transform("x", lambda _, k: ((F.col("member_id") * 7 + k * 3) % 10) / 10) if generation is None else F.array(F.lit(generation))
+    done = ev.evolve(ready.withColumn("mask", mask).withColumn("jitter", jitter), strategy, 0.7)
+    return done.select("member_id", F.posexplode("x").alias("k", "x")).select("member_id", F.col("k").cast("long").alias("k"), F.round("x", 6).alias("x"))
+
+
+@job(_READY.format("p3 + 0.7::DOUBLE * (p1 - p2)"))
 def evolve(spark, sf):
-    """One generation with the members' own order as the permutation."""
-    pop = _population(spark, sf).select("member_id", F.slice("x", 1, 2).alias("x"))
-    ready = ev.with_partners(pop, pop.count(), F.col("member_id"))
-    mask = F.array((F.col("member_id") % 3 == 0).cast("int"), (F.col("member_id") % 2 == 0).cast("int"))
-    done = ev.evolve(ready.withColumn("mask", mask), "rand", 0.7)
-    return done.select("member_id", F.round(F.get("x", F.lit(0)), 6).alias("x0"), F.round(F.get("x", F.lit(1)), 6).alias("x1"))
+    return _evolved(spark, sf, "rand")
+
+
+@job(_READY.format("x + 0.7::DOUBLE * (b - x) + 0.7::DOUBLE * (p1 - p2)"))
+def evolve_local_to_best(spark, sf):
+    return _evolved(spark, sf, "local_to_best")
+
+
+@job(_READY.format("b + (p1 - p2) * (0.7::DOUBLE + 0.0001::DOUBLE * j)"))
+def evolve_best_with_jitter(spark, sf):
+    return _evolved(spark, sf, "best_with_jitter")
+
+
+@job(_READY.format("p3 + (0.7::DOUBLE + 0.3::DOUBLE * j0) * (p1 - p2)"))
+def evolve_per_vector_dither(spark, sf):
+    return _evolved(spark, sf, "per_vector_dither")
+
+
+@job(_READY.format("p3 + (0.7::DOUBLE + 0.3::DOUBLE * 0.35::DOUBLE) * (p1 - p2)"))
+def evolve_per_generation_dither(spark, sf):
+    return _evolved(spark, sf, "per_generation_dither", 0.35)
+
+
+@job(_READY.format("CASE WHEN j0 < 0.5 THEN p3 + 0.7::DOUBLE * (p1 - p2) ELSE p3 + 0.85::DOUBLE * (p1 + p2 - 2 * p3) END"))
+def evolve_either_or(spark, sf):
+    return _evolved(spark, sf, "either_or")
 
 
 @job(
-    """WITH m AS (SELECT vec_id AS member_id, embedding[1]::DOUBLE AS x FROM embeddings), b AS (SELECT *, row_number() OVER (ORDER BY member_id) AS k FROM m WHERE x < 0),
-    s AS (SELECT x AS x_, row_number() OVER (ORDER BY member_id) AS k FROM m WHERE x >= 0 AND member_id % 2 = 0)
-    SELECT member_id, round(x, 6) AS x0 FROM m WHERE x >= 0 UNION ALL SELECT member_id, round(coalesce(x_, x), 6) FROM b LEFT JOIN s USING (k)"""
+    """WITH m AS (SELECT vec_id AS member_id, embedding::DOUBLE[] AS x, embedding[1] >= 0 AS good FROM embeddings),
+    b1 AS (SELECT *, row_number() OVER (ORDER BY member_id) AS k FROM m WHERE NOT good), s1 AS (SELECT x AS x_, row_number() OVER (ORDER BY member_id) AS k FROM m WHERE good AND member_id % 5 = 0),
+    b2 AS (SELECT b1.member_id, row_number() OVER (ORDER BY b1.member_id) AS k FROM b1 LEFT JOIN s1 USING (k) WHERE x_ IS NULL), s2 AS (SELECT x AS x_, row_number() OVER (ORDER BY member_id) AS k FROM m WHERE good AND member_id % 5 = 1),
+    a AS (SELECT m.member_id, coalesce(s1.x_, s2.x_, m.x) AS x FROM m LEFT JOIN b1 ON b1.member_id = m.member_id LEFT JOIN s1 ON s1.k = b1.k LEFT JOIN b2 ON b2.member_id = m.member_id LEFT JOIN s2 ON s2.k = b2.k)
+    SELECT member_id, unnest(range(len(x))) AS k, round(unnest(x), 6) AS x FROM a"""
 )
 def resample_invalid(spark, sf):
-    pop = _population(spark, sf).select("member_id", F.slice("x", 1, 1).alias("x"))
-    done = ev.resample_invalid(pop, pop.where("member_id % 2 = 0"), F.get("x", F.lit(0)) >= 0)
-    return done.select("member_id", F.round(F.get("x", F.lit(0)), 6).alias("x0"))
+    """Two rounds of draws, each of a fifth of the vectors; members are invalid where their first coordinate is negative."""
+    pop = _population(spark, sf).select("member_id", "x")
+    done = ev.resample_invalid(pop, lambda k: pop.where(F.col("member_id") % 5 == k), F.get("x", F.lit(0)) >= 0, 2)
+    return done.select("member_id", F.posexplode("x").alias("k", "x")).select("member_id", F.col("k").cast("long").alias("k"), F.round("x", 6).alias("x"))
 
 
 @job()
@@ -154,10 +218,10 @@ def optimise_groups(spark, sf):
 
 @job()
 def optimise(spark, sf):
-    """A search for the point nearest to the mean of the vectors' first two coordinates."""
-    x = lambda k: F.avg(F.get("x", F.lit(k)))
-    a, b = _population(spark, sf).agg(x(0), x(1)).first()
-    return ev.optimise(spark, lambda p: (p[:, 0] - a) ** 2 + (p[:, 1] - b) ** 2, [-2.0, -2.0], [2.0, 2.0], 20, 4)
+    """A search for the point nearest to the mean of the vectors' first two coordinates, in their box and with as many members as there are vectors."""
+    of = lambda f, k: f(F.get("x", F.lit(k)))
+    r = _population(spark, sf).agg(*(of(f, k) for f in (F.avg, F.min, F.max) for k in (0, 1)), F.count("*")).first()
+    return ev.optimise(spark, lambda p: (p[:, 0] - r[0]) ** 2 + (p[:, 1] - r[1]) ** 2, [r[2], r[3]], [r[4], r[5]], max(4, r[6]), 4)
 
 
 QUERIES, ORACLES = job.queries, job.oracles

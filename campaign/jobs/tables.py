@@ -27,12 +27,12 @@ def conditions_and_range(spark, sf):
 
 
 @job(
-    """WITH t AS (SELECT s_suppkey, s_acctbal AS x, CAST(s_nationkey AS DOUBLE) AS y FROM supplier WHERE s_suppkey % 2 = 0)
+    """WITH t AS (SELECT s_suppkey, s_acctbal AS x, CAST(s_nationkey AS DOUBLE) AS y FROM supplier)
     SELECT t.s_suppkey, count(s.s_suppkey) AS matches FROM t LEFT JOIN supplier s ON abs(s.s_acctbal - x) < 5.0 AND abs(s.s_nationkey - y) < 5.0 GROUP BY 1"""
 )
 def match_within(spark, sf):
     s = _t(spark, sf, "supplier", F.col("s_acctbal").alias("a"), F.col("s_nationkey").cast("double").alias("b"))
-    targets = _t(spark, sf, "supplier", "s_suppkey", F.col("s_acctbal").alias("x"), F.col("s_nationkey").cast("double").alias("y")).where("s_suppkey % 2 = 0")
+    targets = _t(spark, sf, "supplier", "s_suppkey", F.col("s_acctbal").alias("x"), F.col("s_nationkey").cast("double").alias("y"))
     return op.match_within(s, targets, "s_suppkey", {"a": "x", "b": "y"}, 5.0)
 
 

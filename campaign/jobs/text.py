@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import graph as g
@@ -66,11 +67,14 @@ def time_used(spark, sf):
     return c.table(spark, sf, "part").select("p_partkey", op.time_used(text).alias("used"))
 
 
-@job(c.with_("run_results") + "SELECT run, regexp_extract(run, 'gamma=([^_]*)', 1) AS gamma, regexp_extract(run, 'beta=([^_]*)', 1) AS beta_disc, max(CASE WHEN head = '1-URGENT' THEN value END) AS \"1-URGENT\", max(CASE WHEN head = '5-LOW' THEN value END) AS \"5-LOW\" FROM run_results GROUP BY 1")
+_HEADS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+@job(c.with_("run_results") + "SELECT run, regexp_extract(run, 'gamma=([^_]*)', 1) AS gamma, regexp_extract(run, 'beta=([^_]*)', 1) AS beta_disc, " + ", ".join(f"max(CASE WHEN head = '{h}' THEN value END) AS \"{h}\"" for h in _HEADS) + " FROM run_results GROUP BY 1")
 def overview_table(spark, sf):
     line = F.concat("head", F.lit(" : "), F.format_string("%.4f", F.col("value")))
     texts = c.run_results(spark, sf).groupBy("run").agg(F.concat(F.lit("Iteration: 3\nvector: 1 2 3\n"), F.array_join(F.collect_list(line), "\n")).alias("text"))
-    return op.overview_table(op.overview_long(texts, "run", []), "run", ["1-URGENT", "5-LOW"], ["gamma", "beta_disc"])
+    return op.overview_table(op.overview_long(texts, "run", []), "run", _HEADS, ["gamma", "beta_disc"])
 
 
 @job("SELECT p_partkey, round(p_partkey / 60.0::DOUBLE, 6) AS minutes FROM part WHERE p_partkey % 3 <> 0")
@@ -114,6 +118,18 @@ def group_sentiment(spark, sf):
     return done.select("source", *(F.round(k, 9).alias(k) for k in scores), "skipped")
 
 
+@job(
+    """WITH t AS (SELECT source, CASE WHEN doc_id % 7 <> 0 THEN text WHEN doc_id % 2 = 0 THEN 'body of ' || source END AS t FROM documents)
+    SELECT source, round(avg(length(t)::DOUBLE), 6) AS size, round(avg(length(t) - length(replace(t, '.', '')))::DOUBLE, 6) AS stops, count(*) FILTER (t IS NULL) AS skipped FROM t GROUP BY 1"""
+)
+def group_sentiment_scorer(spark, sf):
+    """The same means with a scorer of one's own, a function of pandas series; texts are null here and there, and some have a body instead."""
+    own = c.table(spark, sf, "documents").select("source", F.when(F.col("doc_id") % 7 != 0, F.col("text")).alias("text"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("body of "), "source")).alias("body"))
+    scored = op.scored_texts(own, lambda texts: pd.DataFrame({"size": texts.str.len(), "stops": texts.str.count(r"\.")}), ["size", "stops"])
+    done = op.group_sentiment(scored, "source", ["size", "stops"])
+    return done.select("source", F.round("size", 6).alias("size"), F.round("stops", 6).alias("stops"), "skipped")
+
+
 def _paths(spark, sf):
     """A path per user: the values of its events in order."""
     from pyspark.sql import Window
@@ -159,20 +175,27 @@ def describe_correlations(spark, sf):
     return done.select("a", "b", F.round("r", 6).alias("r"))
 
 
-@job()
+@job(
+    """WITH p AS (SELECT value AS y1, value * value AS y2, lag(value) OVER w AS x1, lag(value * value) OVER w AS x2 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+    s AS (SELECT covar_pop(x1, x1) AS a, covar_pop(x1, x2) AS b, covar_pop(x2, x2) AS d, covar_pop(y1, x1) AS u1, covar_pop(y1, x2) AS u2, covar_pop(y2, x1) AS v1, covar_pop(y2, x2) AS v2 FROM p WHERE x1 IS NOT NULL AND y1 IS NOT NULL),
+    c AS (SELECT 'value' AS target, 'value' AS source, (u1 * d - u2 * b) / (a * d - b * b) AS k FROM s UNION ALL SELECT 'value', 'square', (u2 * a - u1 * b) / (a * d - b * b) FROM s
+      UNION ALL SELECT 'square', 'value', (v1 * d - v2 * b) / (a * d - b * b) FROM s UNION ALL SELECT 'square', 'square', (v2 * a - v1 * b) / (a * d - b * b) FROM s)
+    SELECT target, source, round(k, 4) AS coefficient FROM c"""
+)
 def var1_persistence(spark, sf):
     e = c.table(spark, sf, "events").select("user_id", "event_id", "value", (F.col("value") * F.col("value")).alias("square"))
-    return st.var1_persistence(e, "user_id", "event_id", "value", "square")
+    return st.var1_persistence(e, "user_id", "event_id", "value", "square").withColumn("coefficient", F.round("coefficient", 4))
 
 
 @job(
-    """WITH p AS (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, label::DOUBLE AS f FROM embeddings), s AS (SELECT * FROM p WHERE vec_id % 50 = 0),
+    """WITH p AS (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, label::DOUBLE AS f FROM embeddings), s AS (SELECT avg(a) AS a, avg(b) AS b, f FROM p GROUP BY f),
     j AS (SELECT p.vec_id AS query_id, sqrt(pow(p.a - s.a, 2) + pow(p.b - s.b, 2)) AS d, s.f FROM p, s)
     SELECT query_id, round(coalesce(avg(f) FILTER (d = 0), sum(f / pow(d, 4)) FILTER (d > 0) / sum(1 / pow(d, 4)) FILTER (d > 0)), 6) AS value FROM j GROUP BY 1"""
 )
 def idw_interpolate(spark, sf):
     p = c.table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding")[0].cast("double").alias("a"), F.col("embedding")[1].cast("double").alias("b"), F.col("label").cast("double").alias("f"))
-    done = st.idw_interpolate(p.drop("f"), p.where("query_id % 50 = 0"), ["a", "b"])
+    samples = p.groupBy("f").agg(F.avg("a").alias("a"), F.avg("b").alias("b"))  # the mean point of every label
+    done = st.idw_interpolate(p.drop("f"), samples, ["a", "b"])
     return done.select("query_id", F.round("value", 6).alias("value"))
 
 

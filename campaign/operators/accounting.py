@@ -21,7 +21,7 @@ def slurm_usage(lines: DataFrame, line: str = "line") -> DataFrame:
     """
     cells = F.split(F.trim(line), r"\|")
     raw = lines.where(F.trim(F.col(line)) != "").select(*(F.get(cells, F.lit(k)).alias(n) for k, n in enumerate(SLURM_FIELDS)))
-    time = lambda c: F.try_to_timestamp(c, F.lit("yyyy-MM-dd'T'HH:mm:ss")).cast("timestamp_ntz")
+    time = lambda c: F.when(F.length(c) == 19, F.col(c).try_cast("timestamp_ntz"))
     step = F.col("jobid").contains(".")
     # a field is parsed only in the records whose value counts, since steps are many and parsing is what costs
     of_master, of_step = (lambda x: F.when(~step, x)), (lambda x: F.when(step, x))

@@ -10,11 +10,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import cut
 from .statistics import best_member, draw_population, has_converged
+from .tables import numbered
 
 STRATEGIES = ("rand", "local_to_best", "best_with_jitter", "per_vector_dither", "per_generation_dither", "either_or")
 
@@ -32,8 +33,9 @@ def evaluate_population(population: DataFrame, target: Callable[[np.ndarray], np
 
 def with_partners(population: DataFrame, size: int, order: Column, shifts: tuple[int, int] = (1, 2)) -> DataFrame:
     """Each member with three others: a permutation by the order column, and rotations of it by the shifts."""
-    # members and their places in the permutation: ids only, and the window is over the population of one search
-    place = population.select("member_id", "x", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order, "member_id")) - 1).alias("place"))
+    # places in the permutation: ids only are sorted, by ranges
+    ids = numbered(population.select("member_id", order.alias("order_")), ["order_", "member_id"], "place")
+    place = cut(ids.select("member_id", "place")).join(population.select("member_id", "x"), "member_id")
     out = population
     shift = 0
     for name, by in zip(("p1", "p2", "p3"), (0, *shifts), strict=True):
@@ -83,13 +85,23 @@ def select_survivors(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(fresh, "member_id", "left").select("member_id", F.when(wins, F.col("x_")).otherwise(F.col("x")).alias("x"), F.when(wins, F.col("y_")).otherwise(F.col("y")).alias("y"))
 
 
-def resample_invalid(population: DataFrame, draws: DataFrame, valid: Column) -> DataFrame:
-    """Invalid members replaced, in order, by valid further draws; those that find none stay as they are."""
-    number = lambda df, by: df.withColumn("k_", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(by)))
-    bad = number(population.where(~valid), "member_id")
-    spare = number(draws.where(valid), "member_id").select("k_", F.col("x").alias("x_"))
-    mended = bad.join(spare, "k_", "left").select("member_id", F.coalesce("x_", "x").alias("x"))
-    return population.where(valid).select("member_id", "x").union(mended)
+def resample_invalid(population: DataFrame, draws: Callable[[int], DataFrame], valid: Column, rounds: int = 10) -> DataFrame:
+    """Invalid members replaced by further draws, in order and round by round, until all are valid or the rounds are over.
+
+    draws(k) gives the members (member_id, x) of round k, of which the valid ones are taken; members that
+    find none stay as they are. Ids alone are numbered, by ranges.
+    """
+    now = cut(population.select("member_id", "x"))
+    for k in range(rounds):
+        bad = now.where(~valid).select("member_id")
+        if bad.isEmpty():
+            break
+        wanted = cut(numbered(bad, ["member_id"], "k_"))
+        more = draws(k).where(valid).select(F.col("member_id").alias("other"), F.col("x").alias("x_"))
+        spare = cut(numbered(more.select("other"), ["other"], "k_")).join(more, "other").select("k_", "x_")
+        mended = wanted.join(spare, "k_").select("member_id", "x_")
+        now = cut(now.join(mended, "member_id", "left").select("member_id", F.coalesce("x_", "x").alias("x")))
+    return now
 
 
 def optimise(

@@ -11,6 +11,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .matching import checked
+from .tables import numbered
+
 
 def parse_range(text: str) -> tuple:
     """(low, high, step) of LOW[:HIGH[:STEP]]; any dot makes all three floats; one number is [x, x + 1)."""
@@ -52,7 +55,7 @@ def expand_grid(factors: list[DataFrame], valid: Column | None = None) -> DataFr
 
 def expand_dependent_grid(outer: DataFrame, inner: DataFrame, fits: Column) -> DataFrame:
     """Inner values that see the outer ones."""
-    return outer.join(F.broadcast(inner), fits)
+    return outer.join(checked(inner), fits)
 
 
 def index_grid(spark: SparkSession, base: list[int], restriction: str = "none", direction: str = "rowwise") -> DataFrame:
@@ -94,9 +97,11 @@ def grouped_grid(spark: SparkSession, groups: dict[int, dict[str, list[str]]], r
     grid = reduce(DataFrame.crossJoin, parts)
     names = [n for g in sorted(groups) if g >= 0 for n in groups[g]]
     place = reduce(lambda a, b: a + b, (F.col(c) for c in grid.columns if c.endswith("_")))
-    # the loop numbers have gaps where a restriction took tuples out
-    run_no = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(place)) - 1
-    out = grid.select(*names, run_no.cast("long").alias("run_no"))
+    if restrictions:  # which leave gaps in the loop's numbers
+        grid = numbered(grid.select(*names, place.alias("place_")), ["place_"], "run_no")
+    else:
+        grid = grid.select(*names, place.cast("long").alias("run_no"))
+    out = grid.select(*names, "run_no")
     out = out.withColumn("run", F.concat(F.lit("para_"), F.concat_ws("_", *(F.concat(F.lit(n + "="), n) for n in names))))
     for name, values in groups.get(-1, {}).items():
         out = out.withColumn(name, F.get(F.array(*map(F.lit, values)), F.least(F.col("run_no"), F.lit(len(values) - 1)).cast("int")))
@@ -106,9 +111,12 @@ def grouped_grid(spark: SparkSession, groups: dict[int, dict[str, list[str]]], r
 def remap_groups(df: DataFrame, group: str, key: str | None = None) -> DataFrame:
     """Groups renumbered 0, 1, 2.. in order; the distinct groups alone are ranked."""
     keys = [key] if key else []
-    few = df.select(*keys, group).distinct()
-    rank = F.row_number().over(Window.partitionBy(*keys or [F.lit(0)]).orderBy(group)) - 1
-    return df.join(F.broadcast(few.withColumn("new_group", rank)), [*keys, group])
+    distinct = df.select(*keys, group).distinct()
+    if key:
+        ranked = distinct.withColumn("new_group", F.row_number().over(Window.partitionBy(key).orderBy(group)) - 1)
+    else:
+        ranked = numbered(distinct, [group], "new_group").withColumn("new_group", F.col("new_group").cast("int"))
+    return df.join(checked(ranked), [*keys, group])
 
 
 def slice_range(spark: SparkSession, low: int, high: int, step: int, chunk: int) -> DataFrame:
@@ -130,8 +138,9 @@ def slices_with_last(df: DataFrame, total: str, k: int) -> DataFrame:
 
 
 def replicate_seeds(models: DataFrame, model: str, repeats: int, salt: int = 0) -> DataFrame:
-    """model x repeat with a seed that depends on both and the salt alone."""
-    return models.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("seed", F.pmod(F.xxhash64(model, "repeat", F.lit(salt)), F.lit(2**31)))
+    """model x repeat with a seed that depends on both and the salt alone: 31 bits of their MD5 sum, which is the same everywhere."""
+    seed = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(model).cast("string"), F.col("repeat").cast("string"), F.lit(str(salt))).cast("binary")), 1, 8), 16, 10).cast("long")
+    return models.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("seed", F.pmod(seed, F.lit(2**31)))
 
 
 def select_models(models: DataFrame, column: str, text: str) -> DataFrame:
@@ -166,7 +175,7 @@ def apply_substitutions(lines: DataFrame, substitutions: DataFrame, key: str) ->
     """
     pattern = r"^(\s*)([A-Za-z_]\w*)(\s*=\s*|\s+)(.*?)\s*$"
     named = lines.where(F.trim("line") != "").withColumn("name", F.regexp_extract("line", pattern, 2))
-    joined = named.join(F.broadcast(substitutions), [key, "name"], "left")
+    joined = named.join(substitutions, [key, "name"], "left")
     new = F.concat(F.regexp_extract("line", pattern, 1), "name", F.regexp_extract("line", pattern, 3), "value")
     missing = substitutions.join(named.select(key, "name"), [key, "name"], "left_anti").select(key, "name")
     return joined.select(key, "n", F.coalesce(new, "line").alias("line")), missing

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import descendants
+
 
 def last_message(events: DataFrame) -> DataFrame:
     """(task_id, message): the last by time and sequence number; '' where it is null. No sort is needed."""
@@ -12,11 +14,16 @@ def last_message(events: DataFrame) -> DataFrame:
 
 
 def state_transitions(events: DataFrame) -> DataFrame:
-    """(task_id, seq, ts, from_state, to_state, text): changes only; a repeated state is none."""
+    """(task_id, seq, ts, from_state, to_state, text): changes only; a repeated state is none.
+
+    The text of a change to TERMINATED ends with the event's return code, `None` where it has none.
+    """
     w = Window.partitionBy("task_id").orderBy("ts", "seq")
-    moved = events.where(F.col("state").isNotNull()).select("task_id", "seq", "ts", F.lag("state").over(w).alias("from_state"), F.col("state").alias("to_state"))
-    text = F.concat(F.lit("Transition from state "), "from_state", F.lit(" to state "), "to_state")
-    return moved.where(F.col("from_state") != F.col("to_state")).withColumn("text", text)
+    code = F.col("returncode").cast("string") if "returncode" in events.columns else F.lit(None).cast("string")
+    moved = events.where(F.col("state").isNotNull()).select("task_id", "seq", "ts", F.lag("state").over(w).alias("from_state"), F.col("state").alias("to_state"), code.alias("code_"))
+    end = F.when(F.col("to_state") == "TERMINATED", F.concat(F.lit(" (returncode: "), F.coalesce("code_", F.lit("None")), F.lit(")"))).otherwise("")
+    text = F.concat(F.lit("Transition from state "), "from_state", F.lit(" to state "), "to_state", end)
+    return moved.where(F.col("from_state") != F.col("to_state")).withColumn("text", text).drop("code_")
 
 
 def state_timestamps(events: DataFrame, states: list[str]) -> DataFrame:
@@ -31,9 +38,10 @@ def lifetimes(tasks: DataFrame) -> DataFrame:
     return good.select("task_id", "submitted", "running", F.col("terminating").alias("finished"), gap("running", "submitted").alias("wait_time"), gap("terminating", "running").alias("exec_time"))
 
 
-def session_log(events: DataFrame, members: DataFrame) -> DataFrame:
-    """All messages of the member tasks, in time order."""
-    return events.join(members.select("task_id"), "task_id", "left_semi").select("ts", "seq", "task_id", "message").orderBy("ts", "seq")
+def session_log(events: DataFrame, members: DataFrame, tree: DataFrame | None = None) -> DataFrame:
+    """All messages of the member tasks and, with a tree (task_id, parent_id), of all tasks nested in them, in time order."""
+    whole = members.select("task_id") if tree is None else descendants(tree, members.select("task_id").distinct()).select("task_id")
+    return events.join(whole, "task_id", "left_semi").select("ts", "seq", "task_id", "message").orderBy("ts", "seq")
 
 
 def tail_lines(logs: DataFrame, n: int, id_col: str = "task_id", text_col: str = "text") -> DataFrame:
@@ -104,9 +112,10 @@ def missing_replicates(wanted: DataFrame, existing: DataFrame, keys: list[str],
 
 
 def lost_tasks(checks: DataFrame, delay: str) -> DataFrame:
-    """(task_id, since): tasks whose first failed check since the last good one is older than the delay at the last check."""
+    """(task_id, since): tasks whose checks have failed since before the delay, seen from the last check of all; since is the first failed check after the last good one."""
     bad = F.col("state").isNull()
-    last_good = checks.groupBy("task_id").agg(F.max(F.when(~bad, F.col("ts"))).alias("good"), F.max("ts").alias("now"))
+    now = checks.agg(F.max("ts").alias("now"))
+    last_good = checks.groupBy("task_id").agg(F.max(F.when(~bad, F.col("ts"))).alias("good"))
     after = checks.where(bad).join(last_good, "task_id").where(F.col("good").isNull() | (F.col("ts") > F.col("good")))
-    since = after.groupBy("task_id").agg(F.min("ts").alias("since"), F.first("now").alias("now"))
+    since = after.groupBy("task_id").agg(F.min("ts").alias("since")).join(F.broadcast(now))
     return since.where(F.col("now") >= F.col("since") + F.expr(f"INTERVAL {delay}")).select("task_id", "since")

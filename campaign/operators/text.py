@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
 from functools import reduce
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -124,10 +127,31 @@ def group_sentiment(scored: DataFrame, group: str, scores: list[str]) -> DataFra
     return scored.groupBy(group).agg(*(F.avg(F.when(F.col("text").isNotNull(), F.col(s))).alias(s) for s in scores), F.count_if(F.col("text").isNull()).alias("skipped"))
 
 
+def scored_texts(texts: DataFrame, scorer: Callable[[pd.Series], pd.DataFrame], scores: list[str], text: str = "text", body: str = "body") -> DataFrame:
+    """The table with `text` (from `body` where it is null) and the scores that a given scorer finds.
+
+    The scorer takes a batch of texts and returns a column for each score; it sees no nulls. Scores of rows without a text are null.
+    """
+    whole = F.coalesce(text, body) if body in texts.columns else F.col(text)
+
+    @F.pandas_udf(", ".join(f"`{s}` double" for s in scores))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = pd.DataFrame(float("nan"), index=batch.index, columns=scores)
+            known = batch.notna()
+            if known.any():
+                out.loc[known, scores] = scorer(batch[known])[scores].to_numpy(float)
+            yield out
+
+    rest = [c for c in texts.columns if c not in (text, body, *scores)]
+    found = texts.select(*rest, whole.alias("text")).withColumn("s_", run("text"))
+    return found.select(*rest, "text", *(F.when(F.col("text").isNotNull(), F.col(f"s_.{s}")).alias(s) for s in scores))
+
+
 def lexicon_scores(text: Column, positive: list[str], negative: list[str]) -> dict[str, Column]:
     """Shares of positive, negative and other words, and their balance (pos - neg) / (pos + neg)."""
-    words = F.split(F.lower(text), r"\W+")
-    total = F.greatest(F.size(words), F.lit(1))
-    count = lambda names: F.size(F.filter(words, lambda w: w.isin(names)))
+    total = F.regexp_count(text, F.lit(r"\W+")) + 1
+    # words are counted in the text as it is; no array of them is made
+    count = lambda names: F.regexp_count(F.lower(text), F.lit(r"(?<!\w)(?:" + "|".join(map(re.escape, names)) + r")(?!\w)"))
     pos, neg = count(positive), count(negative)
     return {"pos": pos / total, "neg": neg / total, "neu": (total - pos - neg) / total, "compound": F.coalesce(F.try_divide(pos - neg, pos + neg), F.lit(0.0))}

@@ -5,8 +5,10 @@ Events older than what a key's state holds are ignored; watermarks are parameter
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 #: Bits of the raw events.
 CREATED, MODIFIED, CLOSED, DELETED = 1, 2, 4, 8
+_LISTING = "path string, mtime long"
 
 
 def inbox_created(spark: SparkSession, folder: str, pattern: str | None = None, per_trigger: int = 1000) -> DataFrame:
@@ -46,21 +49,25 @@ class _Coalescer(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getValueState("seen", "bits int")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        bits = self.seen.get()[0] if self.seen.exists() else 0
-        out = []
-        for _, row in pd.concat(list(rows)).sort_values(["ts", "seq"]).iterrows():
-            bits |= int(row["bit"])
-            if row["bit"] in (CLOSED, DELETED):
-                event = "deleted" if row["bit"] == DELETED else "created" if bits & CREATED else "modified" if bits & MODIFIED else None
-                if event:
-                    out.append((key[0], row["ts"], event))
-                bits = 0
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        before = self.seen.get()[0] if self.seen.exists() else 0
+        frame = pd.concat(list(rows)).sort_values(["ts", "seq"], ignore_index=True)
+        bit = frame["bit"].to_numpy(np.int64)
+        ends = np.isin(bit, (CLOSED, DELETED))
+        # all bits since the last close or delete, by part; the first part goes on from the state
+        starts = np.concatenate([[0], np.flatnonzero(ends[:-1]) + 1])
+        seen = np.bitwise_or.reduceat(bit, starts)
+        seen[0] |= before
+        seen = seen[np.searchsorted(starts, np.arange(len(bit)), "right") - 1]
+        event = np.select([bit == DELETED, seen & CREATED > 0, seen & MODIFIED > 0], ["deleted", "created", "modified"], "")
+        told = ends & (event != "")
+        out = pd.DataFrame({"path": key[0], "ts": frame["ts"][told], "event": event[told]})
+        bits = 0 if ends[-1] else int(seen[-1])
         if bits:
             self.seen.update((bits,))
         else:
             self.seen.clear()
-        yield pd.DataFrame(out, columns=["path", "ts", "event"])
+        yield out
 
     def close(self) -> None:
         pass
@@ -72,48 +79,127 @@ def coalesce_events(raw: DataFrame) -> DataFrame:
 
 
 def live_state_counts_batch(events: DataFrame) -> DataFrame:
-    """(state, n): tasks by their last state."""
-    last = events.groupBy("task_id").agg(F.max_by("state", F.struct("ts", "seq")).alias("state"))
-    return last.groupBy("state").agg(F.count("*").alias("n"))
+    """(state, n): tasks by their last state; terminated ones count again as `ok` or `failed` by their return code, if they have one."""
+    code = F.col("returncode") if "returncode" in events.columns else F.lit(None).cast("int")
+    last = events.select("task_id", "ts", "seq", F.struct(F.col("state").alias("state"), code.alias("code")).alias("s")).groupBy("task_id").agg(F.max_by("s", F.struct("ts", "seq")).alias("s"))
+    end = F.when((F.col("s.state") == "TERMINATED") & F.col("s.code").isNotNull(), F.when(F.col("s.code") == 0, "ok").otherwise("failed"))
+    names = F.when(end.isNull(), F.array("s.state")).otherwise(F.array(F.col("s.state"), end))
+    return last.select(F.explode(names).alias("state")).groupBy("state").agg(F.count("*").alias("n"))
+
+
+def _names(state: str | None, code: int | None) -> list[str]:
+    """What a task counts as."""
+    if state is None:
+        return []
+    return [state] if state != "TERMINATED" or code is None else [state, "ok" if code == 0 else "failed"]
 
 
 class _LastState(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "state string, ts timestamp, seq long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        state, ts, seq = self.last.get() if self.last.exists() else (None, None, None)
-        out = []
-        for _, row in pd.concat(list(rows)).sort_values(["ts", "seq"]).iterrows():
-            at = (pd.Timestamp(row["ts"]), int(row["seq"]))
-            if ts is not None and at <= (pd.Timestamp(ts), int(seq)):
-                continue  # late: older than what is known
-            if row["state"] != state:
-                out += ([(state, -1)] if state is not None else []) + [(row["state"], 1)]
-            state, (ts, seq) = row["state"], at
-        if state is not None:
-            self.last.update((state, pd.Timestamp(ts).to_pydatetime(), int(seq)))
-        yield pd.DataFrame(out, columns=["state", "delta"])
+        self.last = handle.getValueState("last", "state string, code int, ts timestamp, seq long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        """Only the newest of the rows counts, and only if it is newer than what is known: changes between cancel out."""
+        state, code, ts, seq = self.last.get() if self.last.exists() else (None, None, None, None)
+        newest = pd.concat(list(rows)).sort_values(["ts", "seq"]).iloc[-1]
+        if ts is not None and (newest["ts"], newest["seq"]) <= (pd.Timestamp(ts), seq):
+            return
+        own = None if pd.isna(newest["returncode"]) else int(newest["returncode"])
+        delta = Counter(_names(newest["state"], own))
+        delta.subtract(_names(state, code))
+        self.last.update((newest["state"], own, newest["ts"].to_pydatetime(), int(newest["seq"])))
+        yield pd.DataFrame([(k, n) for k, n in delta.items() if n], columns=["state", "delta"])
 
     def close(self) -> None:
         pass
 
 
 def state_deltas(events: DataFrame) -> DataFrame:
-    """(state, delta) on a stream of (task_id, seq, ts, state): -1 for the state left, +1 for the state entered."""
-    return events.groupBy("task_id").transformWithStateInPandas(_LastState(), "state string, delta long", "Append", "None")
+    """(state, delta) on a stream of (task_id, seq, ts, state, returncode): -1 for what the task no longer counts as, +1 for what it does now.
+
+    Late events, older than the task's last one, change nothing.
+    """
+    code = F.col("returncode").cast("int") if "returncode" in events.columns else F.lit(None).cast("int")
+    known = events.select("task_id", "seq", "ts", "state", code.alias("returncode"))
+    return known.groupBy("task_id").transformWithStateInPandas(_LastState(), "state string, delta long", "Append", "None")
 
 
 def listing_changes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Changes between two listings, as foreachBatch applies it to the last and the present one."""
+    """(path, event): changes between two listings (path, mtime)."""
     from ..operators.tables import snapshot_diff
 
     return snapshot_diff(old, new)
 
 
-def lost_tasks_stream(checks: DataFrame, delay: str, watermark: str) -> DataFrame:
-    """(task_id, window end) on a stream of checks (task_id, ts, state or null): tasks without a good check in a
-    window of the delay's length in which some check failed. Windows end at the watermark."""
-    marked = checks.withWatermark("ts", watermark)
-    found = marked.groupBy(F.window("ts", delay), "task_id").agg(F.count_if(F.col("state").isNotNull()).alias("good"), F.count_if(F.col("state").isNull()).alias("bad"))
-    return found.where("good = 0 and bad > 0").select("task_id", F.col("window.end").alias("lost_at"))
+def follow_listings(listings: DataFrame, folder: str) -> None:
+    """Compares each listing that arrives on a stream with the one before, until all that is there has been read.
+
+    What arrives in one trigger is one listing. Listing k is kept in folder/listings/k and its changes in
+    folder/changes/listing=k, both overwritten if the batch is run again; the first listing is all created.
+    """
+
+    def compare(listing: DataFrame, k: int) -> None:
+        spark = listing.sparkSession
+        listing.select("path", "mtime").write.mode("overwrite").parquet(f"{folder}/listings/{k}")
+        new = spark.read.schema(_LISTING).parquet(f"{folder}/listings/{k}")
+        old = spark.read.schema(_LISTING).parquet(f"{folder}/listings/{k - 1}") if k else spark.createDataFrame([], _LISTING)
+        listing_changes(old, new).write.mode("overwrite").parquet(f"{folder}/changes/listing={k}")
+
+    listings.writeStream.foreachBatch(compare).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+
+
+def changes_so_far(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, event, listing): the changes that follow_listings has found."""
+    return spark.read.schema("path string, event string, listing int").parquet(f"{folder}/changes")
+
+
+class _LostTask(StatefulProcessor):
+    """Keeps since when a task's checks fail; a timer at the end of the delay tells that it is lost."""
+
+    def __init__(self, delay_ms: int):
+        self.delay_ms = delay_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.bad = handle.getValueState("bad", "since timestamp, last timestamp, told boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        since, last, told = self.bad.get() if self.bad.exists() else (None, None, False)
+        frame = pd.concat(list(rows)).sort_values("ts", ignore_index=True)
+        frame = frame[frame["ts"] > pd.Timestamp(last)] if last is not None else frame  # late ones change nothing
+        if not len(frame):
+            return
+        good = np.flatnonzero(frame["good"].to_numpy(bool))
+        out = []
+        if len(good):
+            if told:
+                out.append((key[0], pd.Timestamp(since), False))
+            since, told = None, False
+        after = frame[int(good[-1]) + 1 :] if len(good) else frame
+        after = after[after["ts"] > frame["ts"].iloc[good[-1]]] if len(good) else after
+        if since is None and len(after):
+            since = after["ts"].iloc[0]
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if since is not None and not told:
+            self.handle.registerTimer(int(pd.Timestamp(since).value // 1_000_000) + self.delay_ms)
+        self.bad.update((pd.Timestamp(since).to_pydatetime() if since is not None else None, frame["ts"].iloc[-1].to_pydatetime(), told))
+        yield pd.DataFrame(out, columns=["task_id", "since", "lost"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        since, last, told = self.bad.get() if self.bad.exists() else (None, None, False)
+        if since is not None and not told:
+            self.bad.update((since, last, True))
+            yield pd.DataFrame([(key[0], pd.Timestamp(since), True)], columns=["task_id", "since", "lost"])
+
+    def close(self) -> None:
+        pass
+
+
+def lost_tasks_stream(checks: DataFrame, delay_seconds: int, watermark: str = "0 seconds") -> DataFrame:
+    """(task_id, since, lost) on a stream of checks (task_id, ts, state or null): a task is lost when its checks have
+    failed for the delay, by the watermark and whether or not it is checked again; a later good check takes that back (lost is false).
+    """
+    known = checks.withWatermark("ts", watermark).select("task_id", "ts", F.col("state").isNotNull().alias("good"))
+    kind = checks.schema["task_id"].dataType.simpleString()
+    return known.groupBy("task_id").transformWithStateInPandas(_LostTask(delay_seconds * 1000), f"task_id {kind}, since timestamp, lost boolean", "Append", "EventTime")

@@ -219,3 +219,44 @@ def test_writers(spark, tmp_path):
         files.write_generation(pop, k, str(tmp_path / "pop"))
     assert spark.read.parquet(str(tmp_path / "pop")).groupBy("iteration").count().count() == 2
     assert files.task_store(t, {"twice": F.col("exitcode") * 2}).columns == ["task_id", "exitcode", "twice"]
+
+
+def test_templates_are_filled_once_and_paths_count_once(spark):
+    row = spark.range(1).select(
+        f.substitute_template(F.lit("${a} and ${b}, $c ${unknown} ${} {a}"), F.create_map(F.lit("a"), F.lit("${b}"), F.lit("b"), F.lit("x$1\\"))).alias("t"),
+        f.io_map(F.array(F.lit("d/e"), F.lit("d/e"), F.lit("f"))).alias("m"),
+    ).first()
+    assert row["t"] == "${b} and x$1\\, $c ${unknown} ${} {a}" and row["m"] == {"d/e": "e", "f": "f"}
+
+
+def test_terminated_tasks_count_as_ok_or_failed_and_late_events_change_nothing(spark, tmp_path):
+    at = lambda s: datetime.datetime(2024, 1, 1, 0, 0, s)
+    batches = [
+        [(1, 1, at(1), "RUNNING", None), (2, 2, at(2), "TERMINATED", 0), (3, 1, at(1), "TERMINATED", None)],
+        [(1, 3, at(5), "TERMINATED", 256), (2, 1, at(1), "RUNNING", None)],
+        [(1, 2, at(4), "STOPPED", None), (2, 4, at(9), "TERMINATED", 1)],
+    ]
+    schema, folder = "task_id long, seq long, ts timestamp, state string, returncode int", str(tmp_path / "in")
+    for batch in batches:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(folder)
+    from campaign.jobs.streams import drain
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    live = {r["state"]: r["n"] for r in drain(st.state_deltas(stream)).groupBy("state").agg(F.sum("delta").alias("n")).where("n <> 0").collect()}
+    batch = {r["state"]: r["n"] for r in st.live_state_counts_batch(spark.createDataFrame(sum(batches, []), schema)).collect()}
+    assert live == batch == {"TERMINATED": 3, "failed": 2}
+
+
+def test_a_lost_task_that_is_seen_again_is_taken_back(spark, tmp_path):
+    at = lambda m: datetime.datetime(2024, 1, 1, 0, m, 0)
+    batches = [[(1, at(0), None), (2, at(0), "RUNNING"), (3, at(1), None)], [(2, at(20), "RUNNING"), (3, at(5), "RUNNING")], [(2, at(21), "RUNNING")], [(1, at(22), "RUNNING"), (3, at(23), None)], [(2, at(59), None)]]
+    schema, folder = "task_id long, ts timestamp, state string", str(tmp_path / "in")
+    for batch in batches:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(folder)
+    from campaign.jobs.streams import drain
+    from campaign.operators.history import lost_tasks
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    told = drain(st.lost_tasks_stream(stream, 600)).collect()
+    assert sorted((r["task_id"], r["since"], r["lost"]) for r in told) == [(1, at(0), False), (1, at(0), True), (3, at(23), True)]
+    assert [tuple(r) for r in lost_tasks(spark.createDataFrame(sum(batches, []), schema), "10 MINUTES").collect()] == [(3, at(23))]
