@@ -7,8 +7,11 @@ own counts), not as a row for each n-gram, since nearly every n-gram of prose is
 as many as words. Partitions add up all requests and answer each; the block joins the answers to its
 n-grams and sums by document.
 
+There are blocks times partitions such rows for each order. An n-gram takes four to five bytes in them while they hold
+many, up to about a terabyte of text; towards a hundred terabytes a row holds few, and a row for each n-gram would cost as much.
+
 An n-gram is known by its partition and 40 bits of its hash, about one in a million of which collide,
-whatever the size of the corpus, since partitions grow in number with it.
+at every size of the corpus up to MOST_PARTS partitions, since these grow in number with it.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import Words, ngrams, utf8, words
+from .arrays import Words, mix, ngrams, utf8, words
 from .shared import cut
 
 ORDER = 3
@@ -30,11 +33,14 @@ BLOCK_BYTES = 6 << 20
 PART_BYTES = 6 << 20
 _BITS = np.uint64(40)
 _LOW = np.uint64((1 << 40) - 1)
+_SEED = np.uint64(0x6C62272E07BB0142)
+#: as many as fit above the 40 bits; partitions of more than about 100 TB of text hold more than PART_BYTES each
+MOST_PARTS = (1 << 24) - 1
 
 
 def _keys(hashes: np.ndarray, parts: int) -> np.ndarray:
-    """Partition and the lower 40 bits of each hash as one number."""
-    return ((hashes >> _BITS) % np.uint64(parts)) << _BITS | (hashes & _LOW)
+    """Partition, from all bits of each hash mixed once more, and its lower 40 bits as one number."""
+    return (mix(hashes ^ _SEED) % np.uint64(parts)) << _BITS | (hashes & _LOW)
 
 
 def _starts(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -77,8 +83,9 @@ def score(
     """
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     total_bytes = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks, parts = max(1, -(-total_bytes // block_bytes)), max(1, -(-total_bytes // part_bytes))
-    dealt = own.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int")).repartition(min(blocks, 100_000), "block")
+    blocks, parts = max(1, -(-total_bytes // block_bytes)), min(MOST_PARTS, max(1, -(-total_bytes // part_bytes)))
+    # with the partition that a row is read in, so that equal rows are dealt out too
+    dealt = own.withColumn("block", F.pmod(F.xxhash64("id", "text", F.spark_partition_id()), F.lit(blocks)).cast("int")).repartition(min(blocks, 100_000), "block")
 
     def ask(table: pa.Table) -> pa.Table:
         block, found = table.column("block")[0].as_py(), _words(table)
