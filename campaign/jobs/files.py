@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import zipfile
+from pathlib import Path
+from urllib.parse import urlparse
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..sources import canonical as c
@@ -76,6 +81,27 @@ def read_outputs(spark, sf):
     return found.select(F.regexp_extract("path", r"c_nationkey=(\d+)/", 1).alias("nation"), F.size(F.split(F.rtrim("text", F.lit("\n")), "\n")).cast("long").alias("lines"))
 
 
+@job("SELECT CAST(c_nationkey AS VARCHAR) AS nation, count(*) AS members, CAST(sum(length(c_name)) AS BIGINT) AS bytes FROM customer GROUP BY 1")
+def read_archive_members(spark, sf):
+    """Zip archives of customers' names, a member each, that tasks write to the shared folder: one by nation and thousand of keys."""
+    folder = new_folder(spark, "archives")
+    place = Path(urlparse(folder).path)
+
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        nation, part = frame["nation"].iloc[0], frame["part"].iloc[0]
+        place.mkdir(parents=True, exist_ok=True)
+        with zipfile.ZipFile(place / f"{nation}-{part}.zip", "w") as z:
+            z.writestr("empty", "")
+            for key, name in zip(frame["c_custkey"], frame["c_name"], strict=True):
+                z.writestr(f"names/{key}.txt", name)
+        return pd.DataFrame({"members": [len(frame)]})
+
+    customers = c.table(spark, sf, "customer").select(F.col("c_nationkey").cast("string").alias("nation"), F.floor(F.col("c_custkey") / 1000).alias("part"), "c_custkey", "c_name")
+    customers.groupBy("nation", "part").applyInPandas(pack, "members long").agg(F.sum("members")).collect()
+    found = io.read_archive_members(spark, folder, "*.zip")
+    return found.groupBy(F.regexp_extract("archive", r"(\d+)-\d+\.zip$", 1).alias("nation")).agg(F.count("*").alias("members"), F.sum(F.octet_length("content")).cast("long").alias("bytes"))
+
+
 @job(c.with_("tasks") + "SELECT task_id, state, coalesce(exitcode, -1) AS code, CASE WHEN class = '5-LOW' THEN jobname END AS low_name FROM tasks")
 def task_store(spark, sf):
     from ..operators.tasks import accessor

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import graph as g
+from ..operators import records as rec
 from ..operators import statistics as st
 from ..operators import text as op
 from ..sources import canonical as c
@@ -130,6 +131,23 @@ def group_sentiment_scorer(spark, sf):
     return done.select("source", F.round("size", 6).alias("size"), F.round("stops", 6).alias("stops"), "skipped")
 
 
+@job(
+    """SELECT p_partkey, p_size, CASE WHEN p_partkey % 7 <> 0 AND p_size <> 13 THEN p_partkey // p_size END AS share, CASE WHEN p_partkey % 7 <> 0 AND p_size <> 13 THEN 'part ' || p_partkey END AS label,
+      CASE WHEN p_partkey % 7 = 0 THEN 'LookupError: no key' WHEN p_size = 13 THEN 'ValueError: size 13' END AS error FROM part"""
+)
+def apply_records(spark, sf):
+    """A function that fails on some records."""
+
+    def function(record: dict) -> dict:
+        if record["p_partkey"] % 7 == 0:
+            raise LookupError("no key")
+        if record["p_size"] == 13:
+            raise ValueError("size 13")
+        return {"share": int(record["p_partkey"] // record["p_size"]), "label": f"part {record['p_partkey']}"}
+
+    return rec.apply_records(c.table(spark, sf, "part").select("p_partkey", "p_size"), function, "share long, label string")
+
+
 def _paths(spark, sf):
     """A path per user: the values of its events in order."""
     from pyspark.sql import Window
