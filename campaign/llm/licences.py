@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from .columns import let, plain_words
 
 ORDINARY, UNKNOWN = "ordinary", "unknown"
-BUCKETS = 1 << 16
-ORDINARY_ROWS = 1600
-SAMPLED_ROWS = 4000
+BUCKETS = 1 << 15
+ORDINARY_ROWS = 1000
+SAMPLED_ROWS = 2000
 COVERAGE = 0.5
 #: Share of held-out ordinary lines that may be taken for a licence.
 FALSE_ALARMS = 0.002
@@ -58,10 +58,14 @@ UNFAMILIAR = [
 ]
 
 
+def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, row_hash, place, line): lines, numbered from 0 in the whole text."""
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row_hash"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("place", "line"))
+
+
 def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, row_hash, place, words): lines, numbered from 0 in the whole text."""
-    lines = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row_hash"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("place", "line"))
-    return lines.select("id", "row_hash", "place", plain_words(F.col("line")).alias("words"))
+    """(id, row_hash, place, words): lines as words."""
+    return _lines(docs, id_col, text_col).select("id", "row_hash", "place", plain_words(F.col("line")).alias("words"))
 
 
 def hashed(words: Column) -> Column:
@@ -96,19 +100,26 @@ class Model:
         self.classes, self.weights, self.bias, self.threshold = classes, weights, bias, threshold
         rows = [(k, family, text) for k, (family, text) in enumerate((f, t) for f, texts in sorted(TEMPLATES.items()) for t in texts)]
         self.templates = spark.createDataFrame(rows, "template int, family string, text string")
-        most = (weights[1:] - weights[0]).max(axis=0)
-        self._most = _literal(np.where(most == 0, 0, most + 1e-6))  # rounded up
-        self._tables = [_literal(w) for w in weights]
+        # only features with weights have rows in the tables; one literal tells which row
+        known = np.flatnonzero(weights.any(axis=0))
+        place = np.full(BUCKETS, -1)
+        place[known] = np.arange(len(known))
+        self._place = F.split(F.lit(",".join(map(str, place))), ",").cast("array<int>")
+        self._most = _literal((weights[1:, known] - weights[0, known]).max(axis=0) + 1e-6)  # rounded up
+        self._tables = [_literal(w) for w in weights[:, known]]
+
+    def _sum(self, places: Column, table: Column) -> Column:
+        return F.aggregate(places, F.lit(0.0), lambda a, x: a + F.coalesce(F.get(table, x), F.lit(0.0)))
 
     def may_be_licence(self, found: Column) -> Column:
         """False only for features whose likeliest class is ordinary: even the best class for each feature falls short."""
-        total = F.aggregate(found, F.lit(0.0), lambda a, x: a + F.get(self._most, x))
+        total = self._sum(F.transform(found, lambda x: F.get(self._place, x)), self._most)
         return total / F.sqrt(F.size(found)) + F.lit(float(max(self.bias[1:]) - self.bias[0]) + 1e-6) > 0
 
     def scores(self, found: Column) -> Column:
         """The classes' scores, whose softmax are their probabilities."""
-        one = lambda table, b: F.aggregate(found, F.lit(0.0), lambda a, x: a + F.get(table, x)) / F.sqrt(F.size(found)) + F.lit(float(b))
-        return F.array(*(one(t, b) for t, b in zip(self._tables, self.bias, strict=True)))
+        one = lambda places, table, b: self._sum(places, table) / F.sqrt(F.size(found)) + F.lit(float(b))
+        return let(F.transform(found, lambda x: F.get(self._place, x)), lambda p: F.array(*(one(p, t, b) for t, b in zip(self._tables, self.bias, strict=True))))
 
 
 def _fit(x: np.ndarray, y: np.ndarray, classes: int, rounds: int) -> np.ndarray:
@@ -116,7 +127,7 @@ def _fit(x: np.ndarray, y: np.ndarray, classes: int, rounds: int) -> np.ndarray:
     target = np.eye(classes)[y]
     share = (1 / np.maximum(1, target.sum(axis=0)))[y][:, None]
     w = v = np.zeros((x.shape[1], classes))
-    step = 1.0 / (0.5 * np.linalg.norm(x * np.sqrt(share), 2) ** 2 + 1e-3)
+    step = 1.0 / (0.5 * np.linalg.eigvalsh((x * share) @ x.T)[-1] + 1e-3) if len(x) < x.shape[1] else 1.0 / (0.5 * np.linalg.norm(x * np.sqrt(share), 2) ** 2 + 1e-3)
     for k in range(rounds):
         slope = x.T @ (share * (_softmax(x @ v) - target)) + 1e-3 * v
         new = v - step * slope
@@ -181,7 +192,9 @@ def find(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     not confirmed by a template. Paragraphs for which a bound of their score shows that they are ordinary
     are passed over, which changes no result. Nothing is shuffled.
     """
-    lines = paragraphs(docs, id_col, text_col).where(F.size("words") > 0).withColumn("f", hashed(F.col("words"))).where(model.may_be_licence(F.col("f")))
+    # one expression by line, since Spark would evaluate the parts of several filters anew
+    spoken = let(plain_words(F.col("line")), lambda w: F.when(F.size(w) > 0, let(hashed(w), lambda f: F.when(model.may_be_licence(f), w))))
+    lines = _lines(docs, id_col, text_col).select("id", "row_hash", "place", spoken.alias("words")).where("words is not null").withColumn("f", hashed(F.col("words")))
     best = lambda z: (F.array_position(z, F.array_max(z)) - 1).cast("int")
     chance = lambda z: 1 / F.aggregate(z, F.lit(0.0), lambda a, v: a + F.exp(v - F.array_max(z)))
     found = lines.select("id", "row_hash", "place", "words", let(model.scores(F.col("f")), lambda z: F.struct(best(z).alias("best"), chance(z).alias("probability"))).alias("s"))
