@@ -7,7 +7,7 @@ which a loss counts: the assistant's texts with their end marks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .columns import let
@@ -71,13 +71,9 @@ def _numbered(df: DataFrame, *order: str) -> tuple[DataFrame, int]:
     """Rows numbered from 0 in a global order, and how many there are. Ranges are written once, so both readings of them agree."""
     own = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     parts = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part_", F.spark_partition_id()).withColumn("within_", own))
-    sizes = {r["part_"]: r["n"] for r in parts.groupBy("part_").agg(F.count("*").alias("n")).collect()}  # a row by partition
-    starts, total = [], 0
-    for part in sorted(sizes):
-        starts.append((part, total))
-        total += sizes[part]
-    before = df.sparkSession.createDataFrame(starts, "part_ int, before_ long")
-    return parts.join(F.broadcast(before), "part_").withColumn("number", F.col("before_") + F.col("within_")).drop("part_", "within_", "before_"), total
+    sizes = parts.groupBy("part_").agg(F.count("*").alias("n_"))  # a row by partition
+    before = sizes.select("part_", F.coalesce(F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_"))
+    return parts.join(F.broadcast(before), "part_").withColumn("number", F.col("before_") + F.col("within_")).drop("part_", "within_", "before_"), parts.count()
 
 
 def pairs_of_neighbours(whole: DataFrame) -> DataFrame:

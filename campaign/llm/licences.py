@@ -88,18 +88,24 @@ def _notices() -> list[tuple[str, str]]:
     return out + [(UNKNOWN, text) for text in UNFAMILIAR]
 
 
+def _listed(spark: SparkSession, texts: list[str]) -> DataFrame:
+    """(number, text) of the module's own texts."""
+    return spark.range(1).select(F.posexplode(F.array(*map(F.lit, texts))).alias("number", "text"))
+
+
 def _literal(values: np.ndarray) -> Column:
     """An array of doubles as one literal, which Spark folds."""
     return F.split(F.lit(",".join(f"{v:.9g}" for v in values)), ",").cast("array<double>")
 
 
 class Model:
-    """Weights by class and feature and biases by class, and the least probability of a family. Classes are ordinary, unknown and the families."""
+    """Weights by class and feature, biases by class, the least probability of a family, and the templates as (number, family, words). Classes are ordinary, unknown and the families."""
 
     def __init__(self, spark: SparkSession, classes: list[str], weights: np.ndarray, bias: np.ndarray, threshold: float):
         self.classes, self.weights, self.bias, self.threshold = classes, weights, bias, threshold
-        rows = [(k, family, text) for k, (family, text) in enumerate((f, t) for f, texts in sorted(TEMPLATES.items()) for t in texts)]
-        self.templates = spark.createDataFrame(rows, "template int, family string, text string")
+        own = [(family, text) for family, texts in sorted(TEMPLATES.items()) for text in texts]
+        words = _listed(spark, [text for _, text in own]).select("number", F.array_distinct(plain_words(F.col("text"))).alias("words")).collect()
+        self.templates = [(r["number"], own[r["number"]][0], r["words"]) for r in words]
         # only features with weights have rows in the tables; one literal tells which row
         known = np.flatnonzero(weights.any(axis=0))
         place = np.full(BUCKETS, -1)
@@ -149,8 +155,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ordin
     """
     spark = docs.sparkSession
     labelled = _notices()
-    notices = spark.createDataFrame([(k, text) for k, (_, text) in enumerate(labelled)], "number long, text string")
-    own = {r["number"]: r["f"] for r in notices.select("number", hashed(plain_words(F.col("text"))).alias("f")).collect()}
+    own = {r["number"]: r["f"] for r in _listed(spark, [text for _, text in labelled]).select("number", hashed(plain_words(F.col("text"))).alias("f")).collect()}
     share = int((1 << 30) * min(1.0, sampled_rows / max(1, docs.count())))
     some = docs.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 30)) < share)
     lines = paragraphs(some, id_col, text_col).where((F.size("words") >= 4) & ~F.exists("words", lambda w: w.rlike("licen[cs]|rights|reserved|copyright")))
@@ -199,11 +204,10 @@ def find(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     chance = lambda z: 1 / F.aggregate(z, F.lit(0.0), lambda a, v: a + F.exp(v - F.array_max(z)))
     found = lines.select("id", "row_hash", "place", "words", let(model.scores(F.col("f")), lambda z: F.struct(best(z).alias("best"), chance(z).alias("probability"))).alias("s"))
     found = found.where("s.best > 0").select("id", "row_hash", "place", "words", F.get(F.array(*map(F.lit, model.classes)), F.col("s.best")).alias("guess"), "s.probability")
-    own = [(r["template"], r["family"], r["own"]) for r in model.templates.select("template", "family", F.array_distinct(plain_words(F.col("text"))).alias("own")).collect()]
     shared = lambda t, own: F.struct((F.size(F.array_intersect(F.array(*map(F.lit, own)), "words")) / len(own)).alias("covered"), F.lit(-t).alias("t"))
     by_family = F.lit(None).cast("struct<covered:double,t:int>")
     for family in sorted(TEMPLATES):
-        by_family = F.when(F.col("guess") == family, F.array_max(F.array(*(shared(t, w) for t, f, w in own if f == family)))).otherwise(by_family)
+        by_family = F.when(F.col("guess") == family, F.array_max(F.array(*(shared(t, w) for t, f, w in model.templates if f == family)))).otherwise(by_family)
     compared = found.select("id", "row_hash", "place", "guess", "probability", let(by_family, lambda m: m).alias("m"))
     sure = F.coalesce((F.col("probability") >= model.threshold) & (F.col("m.covered") >= coverage), F.lit(False))
     return compared.select("id", "row_hash", "place", F.when(sure, F.col("guess")).otherwise(UNKNOWN).alias("family"), "probability", F.when(sure, -F.col("m.t")).alias("template"), F.coalesce("m.covered", F.lit(0.0)).alias("covered"))
