@@ -23,10 +23,11 @@ def slurm_usage(lines: DataFrame, line: str = "line") -> DataFrame:
     raw = lines.where(F.trim(F.col(line)) != "").select(*(F.get(cells, F.lit(k)).alias(n) for k, n in enumerate(SLURM_FIELDS)))
     time = lambda c: F.when(F.length(c) == 19, F.col(c).try_cast("timestamp_ntz"))
     step = F.col("jobid").contains(".")
-    # a field is parsed only in the records whose value counts, since steps are many and parsing is what costs
+    code = lambda k: F.split_part("exit", F.lit(":"), F.lit(k)).try_cast("int")
+    # states and exits are numbers, since a greatest text would need a sort. A field is parsed only in the records whose value counts, since steps are many and parsing is what costs
     of_master, of_step = (lambda x: F.when(~step, x)), (lambda x: F.when(step, x))
     part = raw.select(
-        F.split_part("jobid", F.lit("."), F.lit(1)).alias("job"), step.alias("step"), of_master(F.split_part("state", F.lit(" "), F.lit(1))).alias("state"), "exit",
+        F.split_part("jobid", F.lit("."), F.lit(1)).alias("job"), step.alias("step"), of_master(F.array_position(F.array(*map(F.lit, FINAL_STATES)), F.split_part("state", F.lit(" "), F.lit(1)))).alias("state"), of_master(code(1)).alias("code"), of_master(code(2)).alias("signal"),
         of_master(F.col("ncpus").try_cast("int")).alias("ncpus"), of_master(f.parse_elapsed(F.col("elapsed"))).alias("elapsed"), of_master(f.parse_elapsed(F.col("totalcpu"))).alias("totalcpu"),
         time("submit").alias("submit"), time("start").alias("start"), of_master(time("end")).alias("end"),
         of_step(f.parse_suffixed_memory(F.col("maxrss"), f.SLURM_MEMORY)).alias("rss"), of_step(f.parse_suffixed_memory(F.col("maxvmsize"), f.SLURM_MEMORY)).alias("vmem"),
@@ -35,14 +36,14 @@ def slurm_usage(lines: DataFrame, line: str = "line") -> DataFrame:
     of_steps = lambda agg, c: agg(F.when(F.col("step"), F.col(c)))
     zero = F.lit(0).cast("long")
     jobs = part.groupBy("job").agg(
-        master("state").alias("state"), master("exit").alias("exit"), master("ncpus").alias("cores"), master("elapsed").alias("duration"), master("totalcpu").alias("used_cpu_time"),
+        master("state").alias("state"), master("code").alias("code"), master("signal").alias("own_signal"), master("ncpus").alias("cores"), master("elapsed").alias("duration"), master("totalcpu").alias("used_cpu_time"),
         F.coalesce(of_steps(F.max, "vmem"), zero).alias("max_used_memory"), F.coalesce(of_steps(F.max, "rss"), zero).alias("max_used_ram"),
         master("submit").alias("m_submit"), master("start").alias("m_start"), master("end").alias("m_end"), of_steps(F.min, "submit").alias("s_submit"), of_steps(F.min, "start").alias("s_start"),
-    ).where(F.col("state").isin(*FINAL_STATES))
-    killed, broken = F.col("state").isin("CANCELLED", "TIMEOUT"), F.col("state") == "NODE_FAIL"
-    code = lambda k: F.split_part("exit", F.lit(":"), F.lit(k)).try_cast("int")
-    exitcode = F.when(killed | broken, TEMPORARY_FAILURE).otherwise(code(1))
-    signal = F.when(killed, REMOTE_KILL).when(broken, REMOTE_ERROR).otherwise(code(2))
+    ).where("state > 0")
+    is_ = lambda *names: F.col("state").isin([FINAL_STATES.index(n) + 1 for n in names])
+    killed, broken = is_("CANCELLED", "TIMEOUT"), is_("NODE_FAIL")
+    exitcode = F.when(killed | broken, TEMPORARY_FAILURE).otherwise(F.col("code"))
+    signal = F.when(killed, REMOTE_KILL).when(broken, REMOTE_ERROR).otherwise(F.col("own_signal"))
     return jobs.select(
         "job", exitcode.alias("exitcode"), signal.alias("signal"), f.encode_returncode(exitcode, signal).alias("termstatus"), "cores", "duration", "used_cpu_time", "max_used_memory", "max_used_ram",
         F.least("m_submit", "m_start", "s_submit").alias("submission_time"), F.least("m_end", "s_start").alias("start_time"), F.greatest("m_submit", "m_start", "m_end").alias("completion_time"),
