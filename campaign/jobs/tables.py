@@ -193,6 +193,16 @@ def chunk_rows(spark, sf):
     return op.chunk_rows(_t(spark, sf, "orders", "o_orderkey"), ["o_orderkey"], 250)
 
 
+@job(
+    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate,
+      row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) - 1 AS row_idx FROM lineitem"""
+)
+def number_rows(spark, sf):
+    """All line items, with more columns than the leading ones of the order, as a ledger with line numbers."""
+    columns = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
+    return op.numbered(_t(spark, sf, "lineitem", *columns), columns)
+
+
 @job("SELECT c_custkey AS a, c_name AS b, 0 AS slice FROM customer UNION ALL SELECT c_nationkey, CAST(c_acctbal AS VARCHAR), 1 FROM customer")
 def chunk_columns(spark, sf):
     df = _t(spark, sf, "customer", "c_custkey", "c_name", F.col("c_nationkey").cast("long").alias("c_nationkey"), F.col("c_acctbal").cast("string").alias("c_acctbal"))

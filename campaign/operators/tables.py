@@ -7,17 +7,24 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import new_folder
+
 
 def numbered(df: DataFrame, order: list[str], name: str = "row_idx") -> DataFrame:
     """Rows numbered from 0 in a global order, without a single-task window.
 
-    A range partitioning sorts the rows; the counts of its partitions, one row each, give the offsets.
+    The rows are sorted by ranges and written once, with their range and their place in it, to the shared folder; the
+    counts of the ranges, one row each, give the offsets. Rows and counts are read from the same files, so a range
+    means the same rows on both sides, however often and on whichever executor a task runs.
     """
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("pid_", F.spark_partition_id())
-    within = parts.withColumn("k_", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    counts = parts.groupBy("pid_").agg(F.count("*").alias("n_"))
-    before = counts.select("pid_", F.coalesce(F.sum("n_").over(Window.orderBy("pid_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("at_"))
-    return within.join(F.broadcast(before), "pid_").select(*df.columns, (F.col("at_") + F.col("k_")).alias(name))
+    folder = new_folder(df.sparkSession, "numbered")
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged.select(F.struct(*df.columns).alias("row"), F.spark_partition_id().alias("range"), place.alias("place")).write.parquet(folder)
+    rows = df.sparkSession.read.parquet(folder)
+    sizes = rows.groupBy("range").agg(F.count("*").alias("n"))
+    before = sizes.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return rows.join(F.broadcast(before), "range").select("row.*", (F.col("before") + F.col("place")).alias(name))
 
 
 def subset(df: DataFrame, test: Column) -> DataFrame:

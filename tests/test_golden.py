@@ -121,6 +121,31 @@ def test_numbering_is_global_and_complete(spark):
     assert sorted((r["x"], r["row_idx"]) for r in got) == [(k, k) for k in range(1000)]
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+@pytest.mark.parametrize("partitions", ["4", "16", "200"])
+def test_numbering_keeps_every_row_of_wide_tables(spark, adaptive, partitions):
+    settings = {"spark.sql.adaptive.enabled": adaptive, "spark.sql.shuffle.partitions": partitions}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        made = spark.range(120_000).select((F.col("id") * 7919 % 120_000).alias("x"), F.sha2(F.col("id").cast("string"), 256).alias("text"), F.lit(1).alias("range"))
+        for df in (made, made.groupBy("x").agg(F.max("text").alias("text"), F.count("*").alias("range"))):  # also after a shuffle, and with the operator's own names taken
+            got = tables.numbered(df, ["x"])
+            assert got.columns == [*df.columns, "row_idx"]
+            assert got.agg(F.count("*"), F.countDistinct("row_idx"), F.sum((F.col("x") != F.col("row_idx")).cast("int"))).first()[:] == (120_000, 120_000, 0)
+        assert tables.assign_ids(made, made.limit(0).select(F.lit("job.1").alias("id")), ["x"], "job").select("id").distinct().count() == 120_000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_numbering_of_ties_and_nothing(spark):
+    same = spark.range(1000).select(F.lit(5).alias("x"), F.lit(None).cast("string").alias("y"))
+    assert sorted(r["row_idx"] for r in tables.numbered(same, ["x", "y"]).collect()) == list(range(1000))
+    assert tables.numbered(same.limit(0), ["x"]).collect() == []
+
+
 def test_topological_cycle(spark):
     deps = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 4)], "task_id long, depends_on long")
     with pytest.raises(ValueError, match="cycle"):
