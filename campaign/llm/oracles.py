@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, lm, neardup, secrets
+from . import decontam, fim, lm, neardup, secrets, vectors
 from .columns import LOWER, UPPER
 
 
@@ -85,10 +85,51 @@ l AS (SELECT u, v FROM c JOIN z x ON x.doc_id = u JOIN z y ON y.doc_id = v WHERE
 r AS (SELECT u, v FROM l UNION SELECT r.u, l.v FROM r JOIN l ON l.u = r.v)
 SELECT doc_id, least(doc_id, coalesce((SELECT min(v) FROM r WHERE u = doc_id), doc_id)) AS class_id, (SELECT count(*) FROM l WHERE u = doc_id) AS n_links FROM d"""
 
+
+
+def _vector_codes() -> str:
+    """Every round as a full scan of all entries."""
+    n = vectors.PARTS
+    steps = [
+        f"""k AS MATERIALIZED (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id, v) - 1 AS r, v, len(v) // {n} AS width FROM (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({vectors.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0))""",
+        "c AS MATERIALIZED (SELECT r, i // width AS part, i % width AS pos, x FROM (SELECT r, width, unnest(range(len(v))) AS i, unnest(v) AS x FROM k))",
+        f"b0 AS MATERIALIZED (SELECT r AS entry, part, pos, x FROM c WHERE r < {vectors.ENTRIES})",
+    ]
+    for k in range(vectors.ROUNDS + 1):
+        near = f"SELECT r, c.part, b.entry, CAST(sum((c.x - b.x) * (c.x - b.x)) AS BIGINT) AS d FROM c JOIN b{k} b USING (part, pos) GROUP BY 1, 2, 3"
+        steps.append(f"a{k} AS MATERIALIZED (SELECT r, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM ({near}) GROUP BY 1, 2)")
+        if k < vectors.ROUNDS:
+            steps.append(f"m{k} AS (SELECT part, entry, pos, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM c JOIN a{k} USING (r, part) GROUP BY 1, 2, 3)")
+            steps.append(f"b{k + 1} AS MATERIALIZED (SELECT part, entry, pos, coalesce((s - (s % n + n) % n) // n, x) AS x FROM b{k} LEFT JOIN m{k} USING (part, entry, pos))")
+    return f"""WITH {', '.join(steps)},
+e AS (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{vectors.ROUNDS} GROUP BY 1)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(x, ',' ORDER BY part, entry, pos)) FROM b{vectors.ROUNDS}) AS codebooks_sha256 FROM k JOIN e USING (r)"""
+
+
+def _hash(k: int) -> str:
+    return f"CAST('0x' || substr(h, {8 * k - 7}, 8) AS BIGINT)"
+
+
+FIM = f"""WITH h AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+n AS (SELECT *, length(t) AS n, {_hash(1)} % (length(t) + 1) AS u, {_hash(2)} % (length(t) + 1) AS v,
+  CASE WHEN t = '' OR contains(t, '{fim.PREFIX}') OR contains(t, '{fim.SUFFIX}') OR contains(t, '{fim.MIDDLE}') OR {_hash(3)} % 100 >= 90 THEN 'plain' WHEN {_hash(4)} % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+c AS (SELECT *, substr(t, 1, least(u, v)) AS p, substr(t, least(u, v) + 1, abs(u - v)) AS m, substr(t, greatest(u, v) + 1) AS s FROM n)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN least(u, v) END AS prefix_chars, CASE WHEN form <> 'plain' THEN abs(u - v) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '{fim.PREFIX}' || p || '{fim.SUFFIX}' || s || '{fim.MIDDLE}' || m ELSE '{fim.SUFFIX}' || s || '{fim.PREFIX}' || p || '{fim.MIDDLE}' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM c"""
+
+WARC = """WITH p AS (SELECT page_id, coalesce(html, '') AS t, url FROM pages),
+o AS (SELECT *, CASE WHEN page_id IS NULL THEN 1 ELSE row_number() OVER (PARTITION BY t, page_id IS NULL ORDER BY page_id DESC, url) END AS k, max(page_id) OVER (PARTITION BY t) AS top, sha1(t) AS h FROM p)
+SELECT page_id, strlen(t) AS payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(h, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31), 1)), '') AS payload_digest,
+  CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN top END AS refers_to FROM o"""
+
 ORACLES = {
     "op1_preference_formatting": PREFERENCE,
     "op2_secret_scan": _secrets(),
     "op3_decontamination": DECONTAMINATION,
     "op9_lm_scoring": LM,
     "op10_ngram_jaccard_join": NEAR,
+    "op11_vector_codes": _vector_codes(),
+    "op12_fill_in_middle": FIM,
+    "op13_warc_archives": WARC,
 }

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, language, licences, lm, neardup, packing, quality, secrets, toxicity
+from . import chat, decontam, fim, language, licences, lm, neardup, packing, quality, secrets, toxicity, vectors, warc
 from .oracles import ORACLES as ORACLES
-from .shared import fold, table
+from .shared import fold, shared_folder, table, unique
 
 
 def op1_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,4 +71,24 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_preference_formatting, op2_secret_scan, op3_decontamination, op4_best_fit_packing, op5_toxicity, op6_quality_rules, op7_language_id, op8_licence_scan, op9_lm_scoring, op10_ngram_jaccard_join)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, books = vectors.compress(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"), "vec_id", "embedding")
+    return vectors.digest(vectors.with_label_error(rows, "label"), books)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(fim.transform(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
+def op13_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archives go to the shared folder and are read back from there."""
+    pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
+    warc.write_archives(pages, folder := f"{shared_folder(spark)}/{unique('archives')}")
+    return warc.digest(warc.read_archives(spark, folder), pages.schema["page_id"].dataType.simpleString())
+
+
+_ALL = (
+    op1_preference_formatting, op2_secret_scan, op3_decontamination, op4_best_fit_packing, op5_toxicity, op6_quality_rules, op7_language_id,
+    op8_licence_scan, op9_lm_scoring, op10_ngram_jaccard_join, op11_vector_codes, op12_fill_in_middle, op13_warc_archives,
+)
+QUERIES = {f.__name__: f for f in _ALL}
