@@ -150,7 +150,7 @@ def _moved_to(state: DataFrame, books: Codebooks) -> Codebooks:
 
 def compress(vectors: DataFrame, id_col: str, vector_col: str, parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS, scale: int = SCALE) -> tuple[DataFrame, Codebooks]:
     """(rows, codebooks): the other columns of each kept row with `codes` (binary, a byte for each part) and `error` (its final squared distances
-    summed over parts).
+    summed over parts); columns of these names in the input give way.
 
     Vectors are scaled to whole numbers and cut into equal consecutive parts. The codebooks start with the parts of the rows of least
     ids (nulls last, of equal ids the least vectors), at most 256. Rows are left out as whole_vectors says; vectors of
@@ -180,7 +180,7 @@ def compress(vectors: DataFrame, id_col: str, vector_col: str, parts: int = PART
             if not books.moved.any():
                 break  # further rounds would change nothing
         state = state.where("part is null").select("row", "v", "codes", "dists")
-    rest = [c for c in vectors.columns if c != vector_col]
+    rest = [c for c in vectors.columns if c not in (vector_col, "codes", "error")]
     final = spark.read.parquet(f"{folder}/{k}").where("part is null")
     return final.select(*(F.col(f"row.`{c}`").alias(c) for c in rest), "codes", "error"), books
 
