@@ -48,10 +48,10 @@ def _window(words: Column, start: Column, length: Column) -> Column:
 
 
 def _around(mark: Column) -> Column:
-    """(length, hash, first, last, words): the first and last start of the windows that hold a mark, and the words of all of them."""
+    """(length, first, last, words): the first and last start of the windows that hold a mark, and the words of all of them."""
     reach = F.when(mark["length"] == WINDOW, WINDOW - GRAM).otherwise(0)
     ends = F.struct(F.greatest(F.lit(0), mark["start"] - reach).alias("first"), F.least(F.size("words") - mark["length"], mark["start"]).alias("last"))
-    of = lambda x: F.struct(mark["length"].alias("length"), mark["hash"].alias("hash"), x["first"].alias("first"), x["last"].alias("last"), F.slice("words", x["first"] + 1, x["last"] - x["first"] + mark["length"]).alias("words"))
+    of = lambda x: F.struct(mark["length"].alias("length"), x["first"].alias("first"), x["last"].alias("last"), F.slice("words", x["first"] + 1, x["last"] - x["first"] + mark["length"]).alias("words"))
     return let(ends, of)
 
 
@@ -60,18 +60,29 @@ def _sized(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def item_windows(items: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(fingerprints: length, hash), (windows: length, window, item), both distinct. Items without words have none."""
+def item_windows(items: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(fingerprints: length, hash), (windows: length, window, set), (members: set, item), all distinct. Items without words have none.
+
+    Items of equal words are fingerprinted once. A set stands for the items that share some windows: windows of the same items have the
+    same set, known by a count and two hashes of them that do not depend on their order, so nothing is gathered by window, and a
+    passage that many items share meets documents as often as it has windows, not as often as there are items.
+    """
     words = items.select(F.col(id_col).alias("item"), plain_words(F.col(text_col)).alias("words")).where(F.size("words") > 0)
-    long_ = words.where(F.size("words") >= WINDOW)
-    short = words.where(F.size("words") < WINDOW)
+    words = words.withColumn("like", F.sha2(F.array_join("words", " "), 256))
+    texts = words.select("like", "words").dropDuplicates(["like"])
+    long_ = texts.where(F.size("words") >= WINDOW)
+    short = texts.where(F.size("words") < WINDOW)
     # explode_outer, since Spark would evaluate the array of explode a second time to filter empty ones
     marks = long_.select(F.explode_outer(_fingerprints(F.col("words"))).alias("mark"))
     keys = marks.select("mark.length", "mark.hash").where("hash is not null")
     keys = keys.union(short.select(F.size("words"), F.xxhash64("words"))).distinct()
-    windows = long_.select(F.lit(WINDOW).alias("length"), F.explode_outer(F.transform(upto(F.lit(0), F.size("words") - WINDOW), lambda i: _window(F.col("words"), i, F.lit(WINDOW)))).alias("window"), "item")
-    windows = windows.union(short.select(F.size("words"), F.array_join("words", " "), "item")).distinct()
-    return keys, windows
+    each = long_.select(F.lit(WINDOW).alias("length"), F.explode_outer(F.transform(upto(F.lit(0), F.size("words") - WINDOW), lambda i: _window(F.col("words"), i, F.lit(WINDOW)))).alias("window"), "like")
+    each = cut(each.union(short.select(F.size("words"), F.array_join("words", " "), "like")).distinct())
+    of = F.concat_ws(":", F.count("*"), F.bit_xor(F.xxhash64("like")), F.bit_xor(F.xxhash64("like", F.lit(1))))
+    windows = cut(each.groupBy("length", "window").agg(of.alias("set")))
+    one = windows.groupBy("set").agg(F.min(F.struct("length", "window")).alias("w")).select("set", "w.*")
+    members = one.join(each, ["length", "window"]).join(words.select("like", "item").distinct(), "like").select("set", "item").distinct()
+    return keys, windows, cut(members)
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
@@ -82,33 +93,31 @@ def _same(left: DataFrame, right: DataFrame) -> Column:
     return left["row_hash"].eqNullSafe(right["row_hash"]) & left["id"].eqNullSafe(right["id"])
 
 
-def hits(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str) -> DataFrame:
-    """(id, row_hash, start, length, item): every place of a document where a window of an item occurs.
+def hits(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str) -> tuple[DataFrame, DataFrame]:
+    """(id, row_hash, start, length, set): every place of a document where a window of an item occurs, and (set, item): whose windows those are.
 
     Fingerprints of all documents meet those of items in a join, which is broadcast up to BROADCAST_ROWS
-    of items and shuffled by hash beyond, where Spark splits frequent hashes. No text is shuffled but that
-    around the hits.
+    of items and shuffled by hash beyond, where Spark splits frequent hashes. Only the places of those that meet are kept, so
+    documents are hashed once; no text is shuffled but that around the hits. What is broadcast has been written and counted before.
     """
-    keys, windows = item_windows(items, item_col, item_text)
+    keys, windows, members = item_windows(items, item_col, item_text)
     keys = cut(keys)
     counts = {r["length"]: r["n"] for r in keys.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most WINDOW rows
-    n_keys = sum(counts.values())
     words = _rows(docs, id_col, text_col, plain_words(F.col(text_col)).alias("words"))
     parts = [_fingerprints(F.col("words"))] if counts.get(WINDOW) else []
     parts += [_whole(F.col("words"), k) for k in sorted(set(counts) - {WINDOW})]
     marks = F.concat(*parts) if parts else _no_marks()
     # explode_outer, since Spark would evaluate the array of explode a second time to filter empty ones
-    sown = words.select("id", "row_hash", F.explode_outer(marks).alias("mark")).select("id", "row_hash", "mark.hash", "mark.length")
-    some = cut(sown.join(_sized(keys, n_keys), ["hash", "length"]).select("id", "row_hash").distinct())
-    n_some = some.count()
+    sown = words.select("id", "row_hash", F.explode_outer(marks).alias("mark")).select("id", "row_hash", "mark.*")
+    met = cut(sown.join(_sized(keys, sum(counts.values())), ["length", "hash"]).select("id", "row_hash", "start", "length").distinct())
+    some = met.groupBy("id", "row_hash").agg(F.collect_list(F.struct("start", "length")).alias("marks"))  # places within one text
     texts = _rows(docs, id_col, text_col, F.col(text_col).alias("text"))
-    again = texts.join(_sized(some, n_some), _same(texts, some), "left_semi").select("id", "row_hash", plain_words(F.col("text")).alias("words"))
+    again = texts.join(_sized(some, met.count()), _same(texts, some)).select(texts["id"], texts["row_hash"], "marks", plain_words(F.col("text")).alias("words"))
     # a mark takes along the words around it, not the whole text
-    near = again.select("id", "row_hash", F.explode_outer(let(marks, lambda m: F.transform(m, _around))).alias("mark")).select("id", "row_hash", "mark.*")
-    places = near.join(_sized(keys, n_keys), ["length", "hash"]).select("id", "row_hash", "words", "length", "first", F.explode_outer(upto(F.col("first"), F.col("last"))).alias("start"))
+    near = again.select("id", "row_hash", F.explode_outer(F.transform("marks", _around)).alias("mark")).select("id", "row_hash", "mark.*")
+    places = near.select("id", "row_hash", "words", "length", "first", F.explode_outer(upto(F.col("first"), F.col("last"))).alias("start"))
     places = places.select("id", "row_hash", "start", "length", _window(F.col("words"), F.col("start") - F.col("first"), F.col("length")).alias("window")).distinct()
-    # an item of n words has at most n fingerprints and windows
-    return places.join(_sized(windows, 8 * n_keys), ["length", "window"]).select("id", "row_hash", "start", "length", "item").distinct()
+    return places.join(_sized(windows, windows.count()), ["length", "window"]).select("id", "row_hash", "start", "length", "set"), members
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -117,10 +126,12 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     Null and empty texts have no words and no hits. Rows that repeat each get the same result. Items
     with a null id count as one item without a name.
     """
-    found = cut(hits(docs, items, id_col, text_col, item_col, item_text))
+    places, members = hits(docs, items, id_col, text_col, item_col, item_text)
+    found = cut(places)
     covered = found.select("id", "row_hash", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("place")).distinct()
     n_hit = covered.groupBy("id", "row_hash").agg(F.count("*").alias("n_hit"))
-    of = found.groupBy("id", "row_hash").agg(F.array_sort(F.collect_set(F.coalesce(F.col("item").cast("string"), F.lit("")))).alias("items"))
+    whose = found.select("id", "row_hash", "set").distinct().join(_sized(members, members.count()), "set")
+    of = whose.groupBy("id", "row_hash").agg(F.array_sort(F.collect_set(F.coalesce(F.col("item").cast("string"), F.lit("")))).alias("items"))
     per = n_hit.join(of, _same(n_hit, of)).select(n_hit["id"], n_hit["row_hash"], "n_hit", "items")
     rows = _rows(docs, id_col, text_col, F.coalesce(F.regexp_count(text_col, F.lit(A_WORD)), F.lit(0)).cast("long").alias("n_words"))
     joined = rows.join(per, _same(rows, per), "left")
@@ -138,5 +149,5 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of docs in which no window of an item occurs."""
-    bad = cut(hits(docs, items, id_col, text_col, item_col, item_text).select("id", "row_hash").distinct())
+    bad = cut(hits(docs, items, id_col, text_col, item_col, item_text)[0].select("id", "row_hash").distinct())
     return docs.join(_sized(bad, bad.count()), bad["id"].eqNullSafe(docs[id_col]) & (bad["row_hash"] == F.xxhash64(docs[id_col], docs[text_col])), "left_anti")

@@ -3,6 +3,7 @@
 import hashlib
 import json
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -39,6 +40,14 @@ def decontaminated(docs, items):
     return sorted(out, key=repr)
 
 
+def test_loss_ranges_of_very_long_conversations(spark):
+    turns = F.transform(F.sequence(F.lit(0), F.lit(31_999)), lambda i: F.struct(F.when(i % 2 == 1, "assistant").otherwise("user").alias("role"), F.concat(F.lit("t"), i.cast("string")).alias("text")))
+    began = time.monotonic()
+    made = spark.range(1).select(turns.alias("turns")).select(chat.loss_ranges(F.col("turns")).alias("r"), chat.rendered(F.col("turns")).alias("text")).first()
+    assert time.monotonic() - began < 20 and len(made["r"]) == 16_000
+    assert all(made["text"][x["start"] : x["end"]] == f"t{2 * k + 1}<|im_end|>\n" for k, x in enumerate(made["r"]))
+
+
 def test_decontamination_of_the_given_tables(spark, sf_dir):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
@@ -86,6 +95,18 @@ def test_decontamination_of_texts_over_two_words(spark, monkeypatch, place):
     assert sorted(r["doc_id"] for r in decontam.clean(*frames).collect()) == sorted(r[0] for r in expected if not r[-1])
 
 
+def test_decontamination_of_many_equal_and_partly_equal_items(spark):
+    """Twenty thousand copies of one item, and items that share a passage but differ elsewhere."""
+    passage = " ".join(f"p{k}" for k in range(300))
+    items = spark.range(20_000).select(F.col("id").alias("item_id"), F.lit(passage).alias("text"))
+    more = spark.createDataFrame([(50_000 + k, f"{' '.join(f'a{k}b{j}' for j in range(12))} {" ".join(passage.split()[:55])}") for k in range(30)] + [(None, passage)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"x {passage} y"), (2, " ".join(passage.split()[:40])), (3, "clean"), (4, " ".join(f"a7b{j}" for j in range(12)))], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in decontam.contamination(docs, items.union(more)).collect()}
+    assert {k: (r["n_hit"], r["n_items"]) for k, r in got.items()} == {1: (300, 20_031), 2: (40, 20_031), 3: (0, 0), 4: (12, 1)}
+    keys, windows, members = decontam.item_windows(items, "item_id", "text")
+    assert (keys.count() < 300, windows.count(), members.count()) == (True, 291, 20_000)
+
+
 def test_decontamination_keeps_clean_rows_and_their_columns(spark):
     passage = " ".join(f"p{k}" for k in range(12))
     docs = spark.createDataFrame([(1, f"x {passage} y", 5, "a"), (2, "clean text", 6, None), (None, None, 7, "c")], "doc_id long, text string, words int, marks string")
