@@ -24,6 +24,10 @@ from .shared import small_batches
 ORDER = 4
 SAMPLE_BYTES = 400_000
 CHUNK = 2000
+#: Bytes of all tables, which have a column by language: with many languages each has a smaller sample.
+TABLE_BYTES = 256 << 20
+#: Bytes of costs at once, by byte of text and language.
+WORK_BYTES = 16 << 20
 PAD = 10  # before the first byte
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -121,7 +125,27 @@ class Trees:
         return out
 
     def code_lengths(self, raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Bits (rows, languages) for whole rows."""
+        """Bits (rows, languages) for whole rows.
+
+        Rows are taken together up to a number of bytes that falls with the number of languages; a longer row is coded in pieces of that size,
+        each with the bytes before it as context, so memory depends neither on the length of a text nor on the languages.
+        """
+        sums = np.zeros((len(bounds) - 1, len(self.languages)))
+        most = max(1024, WORK_BYTES // (16 + 12 * len(self.languages)))
+        for first, last in chunks(bounds, most):
+            low, high = int(bounds[first]), int(bounds[last])
+            if high - low <= most:
+                sums[first:last] = self._whole_rows(raw[low:high], bounds[first : last + 1] - low)
+                continue
+            before = np.full(self.order, PAD, np.uint8)
+            for at in range(low, high, most):
+                piece = raw[at : min(at + most, high)]
+                data = np.concatenate([before, piece])
+                sums[first] += self.costs(grams(data, self.order + 1)[self.order :], self.order + 1).sum(axis=0, dtype=np.float64)
+                before = data[len(data) - self.order :]
+        return sums
+
+    def _whole_rows(self, raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         data, start = padded(raw, bounds, self.order)
         size = np.diff(bounds)
         own = np.ones(len(data), bool)
@@ -139,13 +163,15 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_co
 
     Texts are cut into chunks of CHUNK characters. Of each language the chunks with the least hash of id, text
     and place are taken until they hold `sample_bytes` bytes, so every language has its share, whether its texts are
-    many or few and long. This bounds what the driver gathers by the number of languages; those with fewer bytes are taken whole.
+    many or few and long. This bounds what the driver gathers by the number of languages; those with fewer bytes are taken whole. With
+    many languages the sample of each is smaller, so that the tables, a cost by n-gram and language, stay within TABLE_BYTES.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("row_hash")
     )
     totals = known.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes")).collect()  # a row by language
     languages = sorted(r["lang"] for r in totals)
+    sample_bytes = min(sample_bytes, TABLE_BYTES // (6 * max(1, len(languages)) ** 2))
     places = F.sequence(F.lit(1), F.greatest(F.char_length("text"), F.lit(1)), F.lit(CHUNK))
     hashes = F.transform(places, lambda at: F.struct(F.pmod(F.xxhash64("row_hash", at), F.lit(1 << 30)).alias("h"), at.alias("at")))
     # a first cut by hash leaves twice the sample and some more chunks, whose least hashes are then taken exactly

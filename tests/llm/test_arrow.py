@@ -390,6 +390,33 @@ def test_language_of_few_long_texts_and_of_many_languages(spark):
     assert all(r["lang_pred"] == f"l{r['doc_id']:02d}" for r in got)
 
 
+def test_code_lengths_of_long_texts_and_many_languages_in_bounded_memory(monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(8)
+
+    def made(languages):
+        counts = {}
+        for n in range(1, 6):
+            keys = np.unique(rng.integers(97, 123, (400, n)) @ (1 << 8 * np.arange(n)))
+            counts[n] = (keys, rng.integers(0, 5, (len(keys), languages)).astype(float))
+        return language.Trees([f"l{k}" for k in range(languages)], counts)
+
+    few = made(4)
+    text = rng.integers(97, 123, 50_000).astype(np.uint8)
+    bounds = np.array([0, 10, 10, 30_000, 50_000])
+    whole = few.code_lengths(text, bounds)
+    monkeypatch.setattr(language, "WORK_BYTES", 100_000)  # pieces of about 1,500 bytes
+    assert np.allclose(few.code_lengths(text, bounds), whole)
+    monkeypatch.undo()
+    for trees, size, most in ((few, 20_000_000, 300), (made(200), 1_000_000, 300)):
+        raw = rng.integers(97, 123, size).astype(np.uint8)  # most contexts are unknown
+        tracemalloc.start()
+        trees.code_lengths(raw, np.array([0, size]))
+        assert tracemalloc.get_traced_memory()[1] < most << 20
+        tracemalloc.stop()
+
+
 def test_language_of_odd_texts(spark):
     trees = language.train(spark.createDataFrame([(1, "some words", "en")], "doc_id long, text string, lang string"))
     df = spark.createDataFrame(list(enumerate([*ODD_TEXTS, "123 456"])), "doc_id long, text string").withColumn("score", F.lit(1))
