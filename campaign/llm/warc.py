@@ -1,10 +1,9 @@
 """WARC archives: a deterministic sharded writer with revisits of equal payloads, and a reader.
 
-Payloads are read once: tasks build each page's compressed record with its digests and write it, with narrow columns beside it,
-to the shared folder. From the narrow columns follow the revisits (records of equal payloads) and the shards (ranges of sorted
-records of about equal compressed size, from sums over the sorted sizes of all records). Records then meet in their
-shard, are sorted, and are appended to files that roll at a compressed size. The same pages give the same files, byte for byte,
-whatever the partitioning.
+A first pass writes each page's key, digest and size to the shared folder. From these follow the revisits (records of equal payloads)
+and the shards (ranges of sorted records of about equal size, from sums over the sorted sizes of all records). A second pass
+compresses records where pages are read, so only compressed records are shuffled; they meet in their shard, are sorted, and are
+appended to files that roll at a compressed size. The same pages give the same files, byte for byte, whatever the partitioning.
 
 A task writes under a name of its own attempt and reports its files as rows; only the rows of attempts that succeeded make the
 manifest, by which files are renamed, so what lost or repeated attempts leave behind is never seen. Readers go by the manifest.
@@ -30,15 +29,17 @@ from pyspark.sql import types as T
 from .arrays import utf8
 from .shared import remove, shared_folder, small_batches, unique
 
-#: Compressed bytes after which a file ends, and of a shard, which one task writes. Archives of many terabytes want larger ones.
-ROLL_BYTES, SHARD_BYTES = 8 << 20, 16 << 20
+#: Compressed bytes after which a file ends, and bytes before compression of a shard, which one task writes. Archives of many terabytes want larger ones.
+ROLL_BYTES, SHARD_BYTES = 8 << 20, 32 << 20
+#: What a record's headers count for in a shard.
+HEADER_BYTES = 600
 BROADCAST_ROWS = 100_000
 LEVEL = 6
 #: Fixed values of the format.
 VERSION, IDENTICAL = "WARC/1.1", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 DATE = "1970-01-01T00:00:00Z"
-_PREPARED = "url string, sha256 binary, sha1 string, size long, stored long, member binary"
+_PREPARED = "url string, sha256 binary, sha1 string, size long, member binary"
 _MANIFEST = "shard int, part int, temporary string, name string, records long, bytes long, sha256 string"
 _RECORD = "id string, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to string"
 
@@ -72,10 +73,19 @@ def _headers(kind: str, key: str | None, url: str, sha256: bytes, sha1: str, cop
     return out + ([("X-Record-Key", key)] if key is not None else [])
 
 
+def _texts(pages: DataFrame, id_col: str, url_col: str, payload_col: str) -> DataFrame:
+    return pages.select(F.col(id_col).alias("key"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
+
+
+def described(pages: DataFrame, id_col: str, url_col: str, payload_col: str) -> DataFrame:
+    """(key, url, sha256, size) of each page: its id and its payload's digest and bytes."""
+    return _texts(pages, id_col, url_col, payload_col).select("key", "url", F.unhex(F.sha2(F.col("payload").cast("binary"), 256)).alias("sha256"), F.octet_length("payload").cast("long").alias("size"))
+
+
 def prepare(pages: DataFrame, id_col: str, url_col: str, payload_col: str, date: str = DATE) -> DataFrame:
-    """(key, url, sha256, sha1, size, stored, member): each page's key (its id), payload digests and size, and its compressed response record."""
+    """(key, url, sha256, sha1, size, member): each page's payload digests and its compressed response record."""
     small_batches(pages.sparkSession)
-    rows = pages.select(F.col(id_col).alias("key"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
+    rows = _texts(pages, id_col, url_col, payload_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,40 +95,39 @@ def prepare(pages: DataFrame, id_col: str, url_col: str, payload_col: str, date:
             for i, (key, url) in enumerate(zip(keys, urls, strict=True)):
                 payload = bytes(data[bounds[i] : bounds[i + 1]])
                 sha256, sha1 = hashlib.sha256(payload).digest(), base32_sha1(payload)
-                block = member(_headers("response", key, url, sha256, sha1, 0, date), HTTP.format(len(payload)).encode() + payload)
-                out.append((sha256, sha1, len(payload), len(block), block))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("url"), *(pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True))], names=["key", "url", "sha256", "sha1", "size", "stored", "member"])
+                out.append((sha256, sha1, len(payload), member(_headers("response", key, url, sha256, sha1, 0, date), HTTP.format(len(payload)).encode() + payload)))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("url"), *(pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.string(), pa.int64(), pa.binary()), strict=True))], names=["key", "url", "sha256", "sha1", "size", "member"])
 
     return rows.mapInArrow(run, T.StructType([rows.schema["key"], *T.StructType.fromDDL(_PREPARED).fields]))
 
 
-def revisits(prepared: DataFrame, least_bytes: int) -> DataFrame:
+def revisits(narrow: DataFrame, least_bytes: int) -> DataFrame:
     """(key, sha256, owner, owner_url): keys and payloads that occur more than once, with the greatest key of that payload, which is the response.
 
     Payloads below least_bytes, and pages without a key, take no part. Counts are summed before the shuffle, so a payload that many
     pages share is a row by task; the join back is broadcast up to BROADCAST_ROWS payloads, beyond which Spark splits frequent ones.
     """
-    known = prepared.where(F.col("key").isNotNull() & (F.col("size") >= least_bytes))
+    known = narrow.where(F.col("key").isNotNull() & (F.col("size") >= least_bytes))
     groups = known.groupBy("sha256").agg(F.max(F.struct("key", "url")).alias("top"), F.count("*").alias("n")).where("n > 1").select("sha256", F.col("top.key").alias("owner"), F.col("top.url").alias("owner_url"))
     few = groups.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return known.select("key", "sha256").distinct().join(F.broadcast(groups) if few else groups, "sha256").select("key", "sha256", "owner", "owner_url")
 
 
-def shard_starts(prepared: DataFrame, folder: str, shard_bytes: int) -> list:
-    """The keys at which shards 1, 2.. begin: where the stored bytes of all records before, in the order of keys, pass a multiple of shard_bytes.
+def shard_starts(narrow: DataFrame, folder: str, shard_bytes: int) -> list:
+    """The keys at which shards 1, 2.. begin: where the bytes of all records before, in the order of keys, pass a multiple of shard_bytes.
 
     Sums over sorted ranges, which are written once; a row by range gives what is before it. Only the starts reach the driver.
     """
-    spark = prepared.sparkSession
-    sizes = prepared.where("key is not null").groupBy("key").agg(F.sum("stored").alias("stored"))
+    spark = narrow.sparkSession
+    sizes = narrow.where("key is not null").groupBy("key").agg(F.sum(F.col("size") + HEADER_BYTES).alias("size"))
     sizes.repartitionByRange("key").sortWithinPartitions("key").withColumn("range", F.spark_partition_id()).write.parquet(f"{folder}/sizes")
     written = spark.read.parquet(f"{folder}/sizes")
-    totals = written.groupBy("range").agg(F.sum("stored").alias("n"))
+    totals = written.groupBy("range").agg(F.sum("size").alias("n"))
     before = totals.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     within = Window.partitionBy("range").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
-    placed = written.withColumn("own", F.coalesce(F.sum("stored").over(within), F.lit(0))).join(F.broadcast(before), "range").withColumn("at", F.col("before") + F.col("own"))
-    crossed = F.floor(F.col("at") / shard_bytes) != F.floor((F.col("at") + F.col("stored")) / shard_bytes)
+    placed = written.withColumn("own", F.coalesce(F.sum("size").over(within), F.lit(0))).join(F.broadcast(before), "range").withColumn("at", F.col("before") + F.col("own"))
+    crossed = F.floor(F.col("at") / shard_bytes) != F.floor((F.col("at") + F.col("size")) / shard_bytes)
     return [r["key"] for r in placed.where(crossed).select("key").orderBy("key").collect()]  # a key by shard
 
 
@@ -232,10 +241,9 @@ def write_archives(
     """
     spark = pages.sparkSession
     work = f"{shared_folder(spark)}/{unique('warc')}"
-    prepare(pages, id_col, url_col, payload_col, date).write.parquet(f"{work}/prepared")
-    prepared = spark.read.parquet(f"{work}/prepared")
-    narrow = prepared.drop("member")
-    rows = _sorted_into_shards(prepared, revisits(narrow, revisit_bytes), shard_starts(narrow, work, shard_bytes))
+    described(pages, id_col, url_col, payload_col).write.parquet(f"{work}/described")
+    narrow = spark.read.parquet(f"{work}/described")
+    rows = _sorted_into_shards(prepare(pages, id_col, url_col, payload_col, date), revisits(narrow, revisit_bytes), shard_starts(narrow, work, shard_bytes))
     store, root = _store(folder)
     store.create_dir(f"{root}/_temporary", recursive=True)
     _write_shards(rows, folder, roll_bytes, date).write.parquet(f"{folder}/_staged")
