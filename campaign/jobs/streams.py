@@ -6,12 +6,17 @@ what arrived; their SQL is that of the batch operator.
 
 from __future__ import annotations
 
+import uuid
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import evolve as ev
 from ..sources import canonical as c
 from ..sources.scratch import new_folder
+from ..sources.tail import store
 from ..streaming import events as st
 from .base import Jobs
 from .history import LOST
@@ -110,12 +115,39 @@ def listing_changes(spark, sf):
     return st.changes_so_far(spark, folder).where("listing = 1").select("path", "event")
 
 
-@job("SELECT regexp_extract(event_type, '^.*$') AS line, count(*) AS n FROM events GROUP BY 1")
+@job("SELECT event_id, event_id || ' ' || user_id || ' ' || event_type AS line, event_id > avg(event_id) OVER () AS appended FROM events")
 def follow_log(spark, sf):
-    """The kinds of events, written as log lines and followed as a stream."""
-    folder = new_folder(spark, "logs")
-    c.table(spark, sf, "events").select("event_type").write.text(folder)
-    return drain(st.follow_log(spark, folder, "*.txt")).groupBy("line").agg(F.count("*").alias("n"))
+    """Events as lines of their workers' logs, followed while the logs grow: the second look, with the first one's checkpoint, sees
+    only what was appended to the files meanwhile.
+    """
+    folder, sink = new_folder(spark, "logs"), new_folder(spark, "stream")
+    e = c.table(spark, sf, "events").select("event_id", F.concat_ws(" ", "event_id", "user_id", "event_type").alias("line"))
+    half = e.agg(F.avg("event_id")).first()[0]
+    for appended in (False, True):
+        grow_logs(e if appended else e.where(F.col("event_id") <= F.lit(half)), folder, 8)
+        lines = st.follow_log(spark, folder).withColumn("appended", F.lit(appended))
+        lines.writeStream.format("parquet").option("path", f"{sink}/rows").option("checkpointLocation", f"{sink}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema("line string, appended boolean").parquet(f"{sink}/rows")
+    return rows.select(F.substring_index("line", " ", 1).cast("long").alias("event_id"), "line", "appended")
+
+
+def grow_logs(events: DataFrame, folder: str, workers: int) -> None:
+    """Writes (event_id, line) as the logs of so many workers, in the order of ids. A log that is there is replaced by a longer one in one step, so tasks may be run again."""
+
+    def run(batches):
+        fs, root = store(folder)
+        fs.create_dir(root, recursive=True)
+        name, out = f"worker-{TaskContext.get().partitionId()}.log", None
+        own = f"{root}/_{name}.{uuid.uuid4().hex}"
+        for batch in batches:
+            out = out or fs.open_output_stream(own, compression=None)
+            out.write("".join(f"{x}\n" for x in batch.column("line").to_pylist()).encode())
+        if out:
+            out.close()
+            fs.move(own, f"{root}/{name}")
+        yield pa.RecordBatch.from_pydict({"name": [name]})
+
+    events.repartition(workers, F.pmod("event_id", F.lit(workers))).sortWithinPartitions("event_id").mapInArrow(run, "name string").collect()  # a name by worker
 
 
 @job(

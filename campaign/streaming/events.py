@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ..sources.tail import follow
+
 #: Bits of the raw events.
 CREATED, MODIFIED, CLOSED, DELETED = 1, 2, 4, 8
 _LISTING = "path string, mtime long"
@@ -28,8 +30,8 @@ def inbox_created(spark: SparkSession, folder: str, pattern: str | None = None,
 
 
 def follow_log(spark: SparkSession, folder: str, pattern: str = "*.log") -> DataFrame:
-    """A stream of (path, line) of log files as they are added."""
-    return spark.readStream.option("pathGlobFilter", pattern).text(folder).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
+    """A stream of (path, at, line): the lines that are added to log files, each once, also to files that were read before."""
+    return follow(spark, folder, pattern)
 
 
 def coalesce_events_batch(raw: DataFrame) -> DataFrame:
