@@ -30,3 +30,13 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows, written once to the shared folder, without their lineage."""
     new_folder(df.sparkSession, "cut")
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, kind: str = "step") -> DataFrame:
+    """The same rows from a table in the shared folder.
+
+    For loops: a checkpoint keeps the constraints of its plan, which grow with each round until planning takes longer than the work,
+    and a table has none; its sizes also tell Spark which sides are small.
+    """
+    df.write.parquet(path := new_folder(df.sparkSession, kind))
+    return df.sparkSession.read.schema(df.schema).parquet(path)

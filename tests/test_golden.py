@@ -3,6 +3,7 @@
 import datetime
 import gzip
 import io
+import random
 import tarfile
 import zipfile
 
@@ -154,6 +155,62 @@ def test_topological_cycle(spark):
     assert {r["task_id"]: r["level"] for r in graph.topological_levels(chain.select("task_id"), chain).collect()} == {1: 2, 2: 1, 3: 0, 4: 0}
 
 
+def levels_by_hand(edges):
+    on, level = {}, {}
+    for a, b in edges:
+        on.setdefault(a, set()).add(b)
+        on.setdefault(b, set())
+
+    def of(v):
+        if v not in level:
+            level[v] = max((of(u) + 1 for u in on[v] if u != v), default=0)
+        return level[v]
+
+    return {v: of(v) for v in sorted(on)}
+
+
+def test_levels_of_a_chain_of_five_thousand(spark, monkeypatch):
+    cuts = []
+    monkeypatch.setattr(graph, "written", lambda df, written=graph.written: cuts.append(1) or written(df))
+    chain = spark.range(1, 5000).select(F.col("id").alias("task_id"), (F.col("id") - 1).alias("depends_on"))
+    got = graph.topological_levels(chain.select("task_id"), chain)
+    assert got.agg(F.count("*"), F.sum((F.col("level") != F.col("task_id")).cast("int"))).first()[:] == (5000, 0)
+    assert len(cuts) <= 2 + 3 * 16  # three writes a round
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_levels_of_tangled_tasks(spark, seed):
+    rng = random.Random(seed)
+    edges = [(k, k - rng.randint(1, min(k, 3 if seed == 1 else 12))) for k in range(1, 24) for _ in range(rng.randint(0, 2))] + [(5, 5)]
+    deps = spark.createDataFrame(edges * 2, "task_id long, depends_on long")
+    got = {r["task_id"]: r["level"] for r in graph.topological_levels(deps.select("task_id"), deps).collect()}
+    assert got == levels_by_hand(edges)
+
+
+def test_descendants_of_deep_trees_nested_roots_and_cycles(spark):
+    rng = random.Random(6)
+    parent = {k: k - rng.choice([1, 1, 1, 2, 5]) for k in range(1, 400)}
+    parent = {k: max(0, v) for k, v in parent.items()} | {1000: 1001, 1001: 1002, 1002: 1000, 1003: 1002}
+    tree = spark.createDataFrame([*parent.items(), (0, None)], "task_id long, parent_id long")
+    roots = [0, 7, 7, 150, 399, 5555]
+    got = sorted(tuple(r) for r in graph.descendants(tree, spark.createDataFrame([(r,) for r in roots], "task_id long")).collect())
+    wanted = []
+    for v in [*parent, 0, 5555]:
+        seen, at, depth = set(), v, 0
+        while at is not None and at not in seen:
+            if at in roots:
+                wanted.append((at, v, depth))
+            seen.add(at)
+            at, depth = parent.get(at), depth + 1
+    assert got == sorted(wanted)
+    with pytest.raises(ValueError, match="cycle through: 1001"):
+        graph.descendants(tree, spark.createDataFrame([(1001,)], "task_id long"))
+    chain = spark.range(1, 5000).select(F.col("id").alias("task_id"), (F.col("id") - 1).alias("parent_id"))
+    below = graph.descendants(chain, spark.createDataFrame([(0,)], "task_id long"))
+    assert below.agg(F.count("*"), F.max("depth"), F.sum((F.col("depth") != F.col("task_id")).cast("int"))).first()[:] == (5000, 4999, 0)
+    assert graph.descendants(chain.limit(0), chain.select("task_id").limit(0)).collect() == []
+
+
 def test_retries(spark):
     a = spark.createDataFrame([(1, 0, 5), (1, 1, 0), (2, 0, 1), (2, 1, 2), (2, 2, 3), (3, 0, 1)], "group_id int, step long, returncode int")
     assert {r["group_id"]: (r["returncode"], r["retries"], r["done"]) for r in history.retry_outcome(a, 2).collect()} == {1: (0, 1, True), 2: (3, 2, True), 3: (1, 0, False)}
