@@ -22,6 +22,8 @@ from .base import Jobs
 from .history import LOST
 
 job = Jobs()
+#: The given events are not in the order of time, and their ids live on after their end: nothing of them is late.
+WHOLE = "36500 days"
 
 
 def _raw(df: DataFrame) -> DataFrame:
@@ -66,7 +68,7 @@ def coalesce_events_batch(spark, sf):
 
 @job(_EVENTS)
 def coalesce_events(spark, sf):
-    return drain(st.coalesce_events(_raw(_stream(spark, sf)))).select("path", F.unix_micros("ts").alias("at"), "event")
+    return drain(st.coalesce_events(_raw(_stream(spark, sf)), WHOLE)).select("path", F.unix_micros("ts").alias("at"), "event")
 
 
 _LIVE = c.with_("task_events") + """, l AS (SELECT task_id, arg_max((state, CASE WHEN state = 'TERMINATED' THEN seq % 3 END), (ts, seq)) AS s FROM task_events GROUP BY 1), x AS (SELECT s[1] AS state, s[2] AS code FROM l)
@@ -86,7 +88,7 @@ def live_state_counts_batch(spark, sf):
 def live_state_counts(spark, sf):
     kind = F.create_map(*(F.lit(x) for pair in {"signup": "NEW", "view": "SUBMITTED", "click": "RUNNING", "purchase": "TERMINATED", "error": "STOPPED"}.items() for x in pair))
     e = _stream(spark, sf).select(F.col("user_id").alias("task_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.try_element_at(kind, F.col("event_type")).alias("state"))
-    return drain(st.state_deltas(e.withColumn("returncode", _code()))).groupBy("state").agg(F.sum("delta").alias("n")).where("n <> 0")
+    return drain(st.state_deltas(e.withColumn("returncode", _code()), WHOLE)).groupBy("state").agg(F.sum("delta").alias("n")).where("n <> 0")
 
 
 @job(LOST.replace("SELECT task_id, since FROM s", "SELECT task_id, epoch_us(since) AS since FROM s"))

@@ -1,6 +1,7 @@
 """Structured Streaming operators, each with the batch operator that gives the same result on the whole input.
 
-Events older than what a key's state holds are ignored; watermarks are parameters.
+Events are ordered by time: those older than what a key's state holds are ignored, and Spark drops those older than the watermark. So what a
+key's state is needed for ends with the watermark, and a timer clears it then; watermarks and delays are parameters.
 """
 
 from __future__ import annotations
@@ -47,13 +48,38 @@ def coalesce_events_batch(raw: DataFrame) -> DataFrame:
     return part.withColumn("event", event).where(ends & F.col("event").isNotNull()).select("path", "ts", "event")
 
 
-class _Coalescer(StatefulProcessor):
+def _ms(ts) -> int:
+    return pd.Timestamp(ts).value // 1_000_000
+
+
+class _Timed(StatefulProcessor):
+    """A state with one timer a key."""
+
+    def set_timer(self, at_ms: int | None) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if at_ms is not None:
+            self.handle.registerTimer(at_ms)
+
+    def close(self) -> None:
+        pass
+
+
+class _Coalescer(_Timed):
+    def __init__(self, idle_ms: int | None):
+        self.idle_ms = idle_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "bits int")
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "bits int, ts timestamp, seq long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        before = self.seen.get()[0] if self.seen.exists() else 0
+        before, last, last_seq = self.seen.get() if self.seen.exists() else (0, None, None)
         frame = pd.concat(list(rows)).sort_values(["ts", "seq"], ignore_index=True)
+        if last is not None:  # late ones change nothing
+            frame = frame[(frame["ts"] > pd.Timestamp(last)) | (frame["ts"] == pd.Timestamp(last)) & (frame["seq"] > last_seq)].reset_index(drop=True)
+        if not len(frame):
+            return
         bit = frame["bit"].to_numpy(np.int64)
         ends = np.isin(bit, (CLOSED, DELETED))
         # all bits since the last close or delete, by part; the first part goes on from the state
@@ -63,21 +89,26 @@ class _Coalescer(StatefulProcessor):
         seen = seen[np.searchsorted(starts, np.arange(len(bit)), "right") - 1]
         event = np.select([bit == DELETED, seen & CREATED > 0, seen & MODIFIED > 0], ["deleted", "created", "modified"], "")
         told = ends & (event != "")
-        out = pd.DataFrame({"path": key[0], "ts": frame["ts"][told], "event": event[told]})
         bits = 0 if ends[-1] else int(seen[-1])
-        if bits:
-            self.seen.update((bits,))
-        else:
-            self.seen.clear()
-        yield out
+        last = frame["ts"].iloc[-1]
+        self.seen.update((bits, last.to_pydatetime(), int(frame["seq"].iloc[-1])))
+        # a closed path is remembered as long as late events of it may come, an open one until it was idle for as long as asked
+        self.set_timer(_ms(last) if not bits else None if self.idle_ms is None else _ms(last) + self.idle_ms)
+        yield pd.DataFrame({"path": key[0], "ts": frame["ts"][told], "event": event[told]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.seen.clear()
+        return iter(())
 
-    def close(self) -> None:
-        pass
 
+def coalesce_events(raw: DataFrame, watermark: str = "0 seconds", idle_seconds: int | None = None) -> DataFrame:
+    """The same on a stream. Events older than a path's last one, or than the watermark, change nothing.
 
-def coalesce_events(raw: DataFrame) -> DataFrame:
-    """The same on a stream; a path's state goes at its close or delete."""
-    return raw.groupBy("path").transformWithStateInPandas(_Coalescer(), "path string, ts timestamp, event string", "Append", "None")
+    The state of a path goes when the watermark passes its last close or delete. One that was never closed stays, or goes once the
+    watermark is idle_seconds past its last event, after which a close tells nothing of what was before.
+    """
+    idle = None if idle_seconds is None else idle_seconds * 1000
+    return raw.withWatermark("ts", watermark).groupBy("path").transformWithStateInPandas(_Coalescer(idle), "path string, ts timestamp, event string", "Append", "EventTime")
 
 
 def live_state_counts_batch(events: DataFrame) -> DataFrame:
@@ -96,34 +127,45 @@ def _names(state: str | None, code: int | None) -> list[str]:
     return [state] if state != "TERMINATED" or code is None else [state, "ok" if code == 0 else "failed"]
 
 
-class _LastState(StatefulProcessor):
+class _LastState(_Timed):
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.last = handle.getValueState("last", "state string, code int, ts timestamp, seq long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         """Only the newest of the rows counts, and only if it is newer than what is known: changes between cancel out."""
         state, code, ts, seq = self.last.get() if self.last.exists() else (None, None, None, None)
-        newest = pd.concat(list(rows)).sort_values(["ts", "seq"]).iloc[-1]
+        newest = None
+        for frame in rows:
+            own = frame.sort_values(["ts", "seq"]).iloc[-1]
+            if newest is None or (own["ts"], own["seq"]) > (newest["ts"], newest["seq"]):
+                newest = own
         if ts is not None and (newest["ts"], newest["seq"]) <= (pd.Timestamp(ts), seq):
             return
         own = None if pd.isna(newest["returncode"]) else int(newest["returncode"])
         delta = Counter(_names(newest["state"], own))
         delta.subtract(_names(state, code))
         self.last.update((newest["state"], own, newest["ts"].to_pydatetime(), int(newest["seq"])))
+        self.set_timer(_ms(newest["ts"]) + self.keep_ms if newest["state"] == "TERMINATED" else None)
         yield pd.DataFrame([(k, n) for k, n in delta.items() if n], columns=["state", "delta"])
 
-    def close(self) -> None:
-        pass
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        return iter(())
 
 
-def state_deltas(events: DataFrame) -> DataFrame:
+def state_deltas(events: DataFrame, watermark: str = "0 seconds", keep_seconds: int = 0) -> DataFrame:
     """(state, delta) on a stream of (task_id, seq, ts, state, returncode): -1 for what the task no longer counts as, +1 for what it does now.
 
-    Late events, older than the task's last one, change nothing.
+    Late events, older than the task's last one or than the watermark, change nothing. A terminated task is kept for keep_seconds more, by the
+    watermark; then its state goes and it counts as terminated for good: what comes under its id later is another task.
     """
     code = F.col("returncode").cast("int") if "returncode" in events.columns else F.lit(None).cast("int")
-    known = events.select("task_id", "seq", "ts", "state", code.alias("returncode"))
-    return known.groupBy("task_id").transformWithStateInPandas(_LastState(), "state string, delta long", "Append", "None")
+    known = events.select("task_id", "seq", "ts", "state", code.alias("returncode")).withWatermark("ts", watermark)
+    return known.groupBy("task_id").transformWithStateInPandas(_LastState(keep_seconds * 1000), "state string, delta long", "Append", "EventTime")
 
 
 def listing_changes(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -155,16 +197,24 @@ def changes_so_far(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema("path string, event string, listing int").parquet(f"{folder}/changes")
 
 
-class _LostTask(StatefulProcessor):
-    """Keeps since when a task's checks fail; a timer at the end of the delay tells that it is lost."""
+class _LostTask(_Timed):
+    """Keeps since when a task's checks fail. Its timer tells that it is lost at the end of the delay; else it ends the state."""
 
-    def __init__(self, delay_ms: int):
-        self.delay_ms = delay_ms
+    def __init__(self, delay_ms: int, forget_ms: int | None):
+        self.delay_ms, self.forget_ms = delay_ms, forget_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.bad = handle.getValueState("bad", "since timestamp, last timestamp, told boolean")
 
+    def wait(self, since, last, told: bool) -> None:
+        if since is None:  # only late checks would need it
+            self.set_timer(_ms(last))
+        elif not told:
+            self.set_timer(_ms(since) + self.delay_ms)
+        else:
+            self.set_timer(None if self.forget_ms is None else _ms(last) + self.delay_ms + self.forget_ms)
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         since, last, told = self.bad.get() if self.bad.exists() else (None, None, False)
         frame = pd.concat(list(rows)).sort_values("ts", ignore_index=True)
@@ -181,27 +231,29 @@ class _LostTask(StatefulProcessor):
         after = after[after["ts"] > frame["ts"].iloc[good[-1]]] if len(good) else after
         if since is None and len(after):
             since = after["ts"].iloc[0]
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if since is not None and not told:
-            self.handle.registerTimer(int(pd.Timestamp(since).value // 1_000_000) + self.delay_ms)
-        self.bad.update((pd.Timestamp(since).to_pydatetime() if since is not None else None, frame["ts"].iloc[-1].to_pydatetime(), told))
+        last = frame["ts"].iloc[-1]
+        self.bad.update((pd.Timestamp(since).to_pydatetime() if since is not None else None, last.to_pydatetime(), told))
+        self.wait(since, last, told)
         yield pd.DataFrame(out, columns=["task_id", "since", "lost"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         since, last, told = self.bad.get() if self.bad.exists() else (None, None, False)
-        if since is not None and not told:
-            self.bad.update((since, last, True))
-            yield pd.DataFrame([(key[0], pd.Timestamp(since), True)], columns=["task_id", "since", "lost"])
-
-    def close(self) -> None:
-        pass
+        if since is None or told:
+            self.bad.clear()
+            return
+        self.bad.update((since, last, True))
+        self.wait(since, last, True)
+        yield pd.DataFrame([(key[0], pd.Timestamp(since), True)], columns=["task_id", "since", "lost"])
 
 
-def lost_tasks_stream(checks: DataFrame, delay_seconds: int, watermark: str = "0 seconds") -> DataFrame:
+def lost_tasks_stream(checks: DataFrame, delay_seconds: int, watermark: str = "0 seconds", forget_seconds: int | None = None) -> DataFrame:
     """(task_id, since, lost) on a stream of checks (task_id, ts, state or null): a task is lost when its checks have
     failed for the delay, by the watermark and whether or not it is checked again; a later good check takes that back (lost is false).
+
+    The state of a task whose last check was good goes with the watermark; that of a lost one when nothing was heard of it for
+    forget_seconds after the delay, if given, after which nothing is taken back.
     """
     known = checks.withWatermark("ts", watermark).select("task_id", "ts", F.col("state").isNotNull().alias("good"))
     kind = checks.schema["task_id"].dataType.simpleString()
-    return known.groupBy("task_id").transformWithStateInPandas(_LostTask(delay_seconds * 1000), f"task_id {kind}, since timestamp, lost boolean", "Append", "EventTime")
+    made = _LostTask(delay_seconds * 1000, None if forget_seconds is None else forget_seconds * 1000)
+    return known.groupBy("task_id").transformWithStateInPandas(made, f"task_id {kind}, since timestamp, lost boolean", "Append", "EventTime")

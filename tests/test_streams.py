@@ -77,3 +77,91 @@ def test_the_last_line_end_is_found_in_files_of_many_blocks(tmp_path, monkeypatc
         (tmp_path / "f").write_bytes(text)
         with pafs.LocalFileSystem().open_input_file(str(tmp_path / "f")) as f:
             assert tail._ends(f, len(text)) == [end, text[: min(end, tail.HEAD_BYTES)].hex()]
+
+
+T0 = datetime.datetime(2024, 1, 1)
+
+
+class Stream:
+    """A stateful stream over files that arrive one after the other; each look reads what is new, from the checkpoint of the one before."""
+
+    def __init__(self, spark, place: Path, schema: str, operator):
+        self.spark, self.place, self.schema, self.operator, self.looks = spark, place, schema, operator, 0
+        (place / "in").mkdir(parents=True)
+
+    def look(self, rows: list[tuple]) -> tuple[list[tuple], int]:
+        """(what is told, rows of state): `rows` have seconds after T0 in the place of ts."""
+        self.looks += 1
+        at = [c.split()[0] for c in self.schema.split(", ")].index("ts")
+        timed = [(*r[:at], T0 + datetime.timedelta(seconds=r[at]), *r[at + 1 :]) for r in rows]
+        self.spark.createDataFrame(timed, self.schema).coalesce(1).write.mode("append").parquet(str(self.place / "in"))
+        out, told = str(self.place / f"out{self.looks}"), []
+        stream = self.operator(self.spark.readStream.schema(self.schema).parquet(str(self.place / "in")))
+        key = "spark.sql.streaming.stateStore.providerClass"
+        self.spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        try:
+            query = stream.writeStream.foreachBatch(lambda df, k: df.write.mode("append").parquet(out)).option("checkpointLocation", str(self.place / "state")).trigger(availableNow=True).start()
+            query.awaitTermination()
+        finally:
+            self.spark.conf.unset(key)
+        state = query.lastProgress["stateOperators"][0]["numRowsTotal"]
+        for r in self.spark.read.schema(stream.schema).parquet(out).collect():
+            told.append(tuple(int((v - T0).total_seconds()) if isinstance(v, datetime.datetime) else v for v in r))
+        return sorted(told), state
+
+
+def test_coalesced_events_ignore_late_ones_and_their_state_ends(spark, tmp_path):
+    c, m, end, gone = st.CREATED, st.MODIFIED, st.CLOSED, st.DELETED
+    s = Stream(spark, tmp_path / "c", "path string, seq long, ts timestamp, bit int", lambda df: st.coalesce_events(df, "10 seconds", idle_seconds=50))
+    assert s.look([("a", 1, 0, c), ("b", 2, 5, m), ("a", 3, 8, m)])[0] == []
+    assert s.look([("a", 4, 12, end), ("b", 5, 13, end), ("a", 6, 14, m), ("a", 7, 15, end)])[0] == [("a", 12, "created"), ("a", 15, "modified"), ("b", 13, "modified")]
+    # older than what the paths know, though not than the watermark: nothing; in order again after it
+    assert s.look([("a", 3, 14, c), ("a", 8, 13, end), ("b", 9, 16, gone)])[0] == [("b", 16, "deleted")]
+    told, state = s.look([("open", 10, 100, c)])
+    assert told == [] and state > 0
+    # older than the watermark: dropped, also where the path's state is gone
+    assert s.look([("a", 11, 20, c), ("a", 12, 21, end)])[0] == []
+    # the open path was idle too long; a close tells nothing of its creation
+    assert s.look([("x", 13, 400, gone)])[0] == [("x", 400, "deleted")]
+    assert s.look([("open", 14, 420, end)])[0] == []
+    told, state = s.look([("y", 15, 1000, gone)])
+    told, state = s.look([("y", 16, 2000, gone)])
+    assert state <= 2  # the last path and its timer
+
+
+def test_terminated_tasks_leave_the_state_and_late_events_change_no_count(spark, tmp_path):
+    s = Stream(spark, tmp_path / "d", "task_id long, seq long, ts timestamp, state string, returncode int", lambda df: st.state_deltas(df, "10 seconds", keep_seconds=20))
+    counts = {}
+
+    def look(*rows):
+        told, state = s.look(list(rows))
+        for name, delta in told:
+            counts[name] = counts.get(name, 0) + delta
+        return {k: v for k, v in counts.items() if v}, state
+
+    assert look((1, 1, 0, "NEW", None), (2, 2, 1, "RUNNING", None))[0] == {"NEW": 1, "RUNNING": 1}
+    assert look((1, 3, 5, "RUNNING", None), (1, 4, 4, "SUBMITTED", None))[0] == {"RUNNING": 2}
+    assert look((1, 5, 3, "NEW", None))[0] == {"RUNNING": 2}  # late, within the watermark
+    assert look((1, 6, 8, "TERMINATED", 0), (2, 7, 9, "TERMINATED", 7))[0] == {"TERMINATED": 2, "ok": 1, "failed": 1}
+    assert look((2, 8, 10, "TERMINATED", 0))[0] == {"TERMINATED": 2, "ok": 2}  # another return code while it is kept
+    assert look((3, 9, 100, "RUNNING", None))[0] == {"TERMINATED": 2, "ok": 2, "RUNNING": 1}
+    assert look((1, 10, 50, "RUNNING", None))[0] == {"TERMINATED": 2, "ok": 2, "RUNNING": 1}  # older than the watermark
+    now, state = look((3, 11, 120, "TERMINATED", 1))
+    assert now == {"TERMINATED": 3, "ok": 2, "failed": 1}
+    now, state = look((4, 12, 1000, "TERMINATED", 0))
+    now, state = look((5, 13, 3000, "TERMINATED", 0))
+    assert now == {"TERMINATED": 5, "ok": 4, "failed": 1} and state <= 2
+
+
+def test_checked_tasks_leave_the_state(spark, tmp_path):
+    s = Stream(spark, tmp_path / "e", "task_id long, ts timestamp, state string", lambda df: st.lost_tasks_stream(df, 30, "10 seconds", forget_seconds=100))
+    assert s.look([(1, 0, "RUNNING"), (2, 0, None), (3, 0, None), (3, 5, "RUNNING")])[0] == []
+    assert s.look([(1, 60, "RUNNING")])[0] == [(2, 0, True)]
+    assert s.look([(2, 20, "RUNNING"), (1, 70, "RUNNING")])[0] == []  # a late good check takes nothing back
+    assert s.look([(2, 80, "RUNNING")])[0] == [(2, 0, False)]
+    assert s.look([(4, 90, None), (1, 150, "RUNNING")])[0] == [(4, 90, True)]
+    told, state = s.look([(1, 500, "RUNNING")])
+    assert told == []
+    assert s.look([(4, 520, "RUNNING")])[0] == []  # forgotten
+    told, state = s.look([(5, 2000, "RUNNING")])
+    assert told == [] and state <= 2
