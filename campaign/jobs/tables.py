@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import tables as op
 from ..sources import canonical as c
+from ..sources.scratch import new_folder
+from ..sources.store import TaskStore
 from .base import Jobs
 
 job = Jobs()
@@ -219,14 +221,38 @@ def snapshot_diff(spark, sf):
     return op.snapshot_diff(c.listing(spark, sf, False), c.listing(spark, sf, True))
 
 
+_WRITES = """w AS (SELECT c_custkey AS id, 3::BIGINT AS version, 1 AS write_no, c_mktsegment AS state FROM customer
+    UNION ALL SELECT o_custkey + 5, o_orderkey % 7, CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 3 END, o_orderpriority FROM orders)"""
+
+
+@job(f"WITH {_WRITES} SELECT id, max(version) AS version, arg_max(state, (version, write_no > 1, state)) AS state FROM w GROUP BY 1")
+def upsert_tasks(spark, sf):
+    """Versions are few, so most writes of an id tie."""
+    store, writes = _store_writes(spark, sf)
+    return op.upsert_tasks(store, writes.drop("o_orderstatus"), "id", "version")
+
+
+def _store_writes(spark, sf):
+    store = _t(spark, sf, "customer", F.col("c_custkey").alias("id"), F.lit(3).cast("long").alias("version"), F.col("c_mktsegment").alias("state"))
+    writes = _t(spark, sf, "orders", (F.col("o_custkey") + 5).alias("id"), (F.col("o_orderkey") % 7).alias("version"), F.col("o_orderpriority").alias("state"), "o_orderstatus")
+    return store, writes
+
+
 @job(
-    """WITH e AS (SELECT c_custkey AS id, 0::BIGINT AS version, c_mktsegment AS state FROM customer UNION ALL SELECT o_custkey + 5, o_orderkey, o_orderpriority FROM orders WHERE o_orderkey % 3 = 1)
-    SELECT id, max(version) AS version, arg_max(state, version) AS state FROM e GROUP BY 1"""
+    f"""WITH {_WRITES}, a AS (SELECT id, max(version) AS version, arg_max(state, (version, write_no, state)) AS state, arg_max(write_no, (version, write_no)) AS n FROM w WHERE write_no < 3 GROUP BY 1),
+    d AS (SELECT a.*, c_nationkey = 3 IS TRUE AS gone FROM a LEFT JOIN customer ON c_custkey = id),
+    e AS (SELECT id, version, state, gone, 3 AS n FROM d WHERE gone UNION ALL SELECT id, version, state, false, n FROM d WHERE NOT gone UNION ALL SELECT id, version, state, false, 4 FROM w WHERE write_no = 3)
+    SELECT id, max(version) AS version, arg_max(state, (version, n, state)) AS state FROM e GROUP BY 1 HAVING NOT arg_max(gone, (version, n))"""
 )
-def upsert_tasks(spark, sf):
-    store = _t(spark, sf, "customer", F.col("c_custkey").alias("id"), F.lit(0).cast("long").alias("version"), F.col("c_mktsegment").alias("state"))
-    writes = c.table(spark, sf, "orders").where("o_orderkey % 3 = 1").select((F.col("o_custkey") + 5).alias("id"), F.col("o_orderkey").alias("version"), F.col("o_orderpriority").alias("state"))
-    return op.upsert_tasks(store, writes, "id", "version")
+def store_updates(spark, sf):
+    """A store of customers after a batch of writes, a deletion of a nation's, and another batch, each of which rewrites the buckets it touches."""
+    first, writes = _store_writes(spark, sf)
+    store = TaskStore(spark, new_folder(spark, "store"), "id long, version long, state string", "id", "version", 16)
+    store.upsert(first)
+    store.upsert(writes.where("o_orderstatus = 'F'"))
+    store.delete(_t(spark, sf, "customer", F.col("c_custkey").alias("id"), "c_nationkey").where("c_nationkey = 3"))
+    store.upsert(writes.where("o_orderstatus <> 'F'"))
+    return store.read()
 
 
 @job("SELECT p_brand, min(p_partkey) AS first_at FROM part GROUP BY 1")

@@ -211,10 +211,12 @@ def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def upsert_tasks(store: DataFrame, writes: DataFrame, key: str, version: str) -> DataFrame:
-    """The newest write of each id; ids in one of the tables only stay or come in."""
+    """The newest write of each id; ids in one of the tables only stay or come in. Of equal versions a write counts
+    before what is stored, and of several writes the one whose JSON text is greatest. `sources.store.TaskStore` does the same in place.
+    """
     columns = [c for c in store.columns if c != key]
-    every = store.unionByName(writes)
-    newest = every.groupBy(key).agg(F.max_by(F.struct(*columns), version).alias("r"))
+    every = store.withColumn("late_", F.lit(0)).unionByName(writes.select(*store.columns).withColumn("late_", F.lit(1)))
+    newest = every.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(version, "late_", F.to_json(F.struct(*columns)))).alias("r"))
     return newest.select(key, "r.*").select(*store.columns)
 
 
