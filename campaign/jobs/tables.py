@@ -122,16 +122,28 @@ def concat_columns(spark, sf):
     return op.concat_columns({"customer": customer, "supplier": supplier}, "v")
 
 
-@job(
-    c.with_("tasks")
-    + """, l AS (SELECT l_orderkey AS task_id, l_linenumber AS row_idx, unnest([1, 2, 3]) AS column_no, unnest(['l_quantity', 'l_price', 'x_price']) AS name,
-      unnest([l_quantity, l_extendedprice, l_tax]) AS value, l_partkey, l_suppkey FROM lineitem)
-    SELECT task_id, row_idx, arg_min(value, (column_no, value)) AS value FROM l WHERE contains(name, 'price') AND task_id IN (SELECT task_id FROM tasks WHERE returncode = 0) GROUP BY 1, 2"""
-)
-def collect_log_columns(spark, sf):
+_LOG = c.with_("tasks") + """, i AS (SELECT l_orderkey AS task_id, l_linenumber AS row_idx, min(l_quantity) AS q, min(l_extendedprice) AS p, min(l_tax) AS t FROM lineitem GROUP BY 1, 2),
+    l AS (SELECT task_id, row_idx, unnest([1, 2, 3]) AS column_no, unnest(['quantity', CASE WHEN task_id % 3 = 0 THEN 'l_cost' ELSE 'l_price' END, 'x_price']) AS name, unnest([q, p, t]) AS value FROM i),
+    ok AS (SELECT task_id FROM tasks WHERE returncode = 0), k AS (SELECT unnest(['price', 'l_price', 'quantity', 'none']) AS key),
+    h AS (SELECT task_id, key, min(column_no) AS column_no FROM l, k WHERE contains(name, key) AND task_id IN (SELECT task_id FROM ok) GROUP BY 1, 2)"""
+_WANTED = ["price", "l_price", "quantity", "none"]
+
+
+def _logs(spark, sf):
     item = c.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("task_id"), F.col("l_linenumber").alias("row_idx")).agg(F.min("l_quantity").alias("q"), F.min("l_extendedprice").alias("p"), F.min("l_tax").alias("t"))
-    cells = F.inline(F.array(*(F.struct(F.lit(k).alias("column_no"), F.lit(n).alias("name"), F.col(v).alias("value")) for k, n, v in ((1, "l_quantity", "q"), (2, "l_price", "p"), (3, "x_price", "t")))))
-    return op.collect_log_columns(item.select("task_id", "row_idx", cells), c.tasks(spark, sf), "price")
+    price = F.when(F.col("task_id") % 3 == 0, "l_cost").otherwise("l_price")
+    cells = F.inline(F.array(*(F.struct(F.lit(k).alias("column_no"), n.alias("name"), F.col(v).alias("value")) for k, n, v in ((1, F.lit("quantity"), "q"), (2, price, "p"), (3, F.lit("x_price"), "t")))))
+    return item.select("task_id", "row_idx", cells)
+
+
+@job(_LOG + " SELECT key, task_id, row_idx, value FROM l JOIN h USING (task_id, column_no)")
+def collect_log_columns(spark, sf):
+    return op.collect_log_columns(_logs(spark, sf), c.tasks(spark, sf), _WANTED)[0]
+
+
+@job(_LOG + " SELECT task_id, key FROM ok, k WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.task_id = ok.task_id AND h.key = k.key)")
+def missing_log_columns(spark, sf):
+    return op.collect_log_columns(_logs(spark, sf), c.tasks(spark, sf), _WANTED)[1]
 
 
 @job(

@@ -6,8 +6,11 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from ..operators import commands
 from ..operators import tasks as op
 from ..sources import canonical as c
+from ..sources.merged import join_parts, write_parts
+from ..sources.scratch import new_folder
 from .base import Jobs
 
 job = Jobs()
@@ -202,4 +205,22 @@ def merge_outputs(spark, sf):
     return op.merge_outputs(out, c.tasks(spark, sf))
 
 
+@job(T + "SELECT l_orderkey AS task_id, l_linenumber AS line, sum(l_quantity) AS value FROM lineitem WHERE l_orderkey IN (SELECT task_id FROM tasks WHERE returncode = 0) GROUP BY 1, 2")
+def merged_document(spark, sf):
+    """Outputs of successful tasks merged into one XML document, which is read back."""
+    out = c.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("task_id"), F.col("l_linenumber").alias("line")).agg(F.sum("l_quantity").alias("value"))
+    path = new_folder(spark, "document")
+    write_parts(op.merge_outputs(out, c.tasks(spark, sf)), f"{path}/parts", ["task_id", "line"])
+    join_parts(spark, f"{path}/parts", f"{path}/merged.xml")
+    return spark.read.format("xml").option("rowTag", "row").schema("task_id long, line int, value double").load(f"{path}/merged.xml")
+
+
+@job("SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN CAST(c_custkey * 2 AS VARCHAR) ELSE '' END AS stdout, CASE WHEN c_custkey % 7 = 0 THEN 3 ELSE 0 END AS exitcode FROM customer")
+def run_command(spark, sf):
+    """A shell program that doubles numbers, kept for the records of a task; it ends with exit code 3 at every seventh and is started again."""
+    program = "while read x; do [ $((x % 7)) = 0 ] && exit 3; echo $((x * 2)); done"
+    done = commands.run_command(c.table(spark, sf, "customer").select("c_custkey"), ["/bin/sh", "-c", program], "c_custkey", 60, keep=True)
+    return done.select("c_custkey", "stdout", "exitcode")
+
+
 QUERIES, ORACLES = job.queries, job.oracles

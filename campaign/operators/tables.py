@@ -138,11 +138,28 @@ def concat_columns(tables: dict[str, DataFrame], value: str) -> DataFrame:
     return wide_merge(reduce(DataFrame.union, tagged), "row_idx", "source_", "v_", list(tables))
 
 
-def collect_log_columns(log: DataFrame, tasks: DataFrame, wanted: str) -> DataFrame:
-    """(task_id, row_idx, value): of each successful task's log in long form (task_id, column_no, name, row_idx, value), the first
-    column whose name holds the wanted text."""
-    ours = log.where(F.col("name").contains(wanted)).join(tasks.where("returncode = 0").select("task_id"), "task_id", "left_semi")
-    return ours.groupBy("task_id", "row_idx").agg(F.min_by("value", "column_no").alias("value"))
+def collect_log_columns(log: DataFrame, tasks: DataFrame, wanted: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(key, task_id, row_idx, value) and (task_id, key): of each successful task and wanted key the first column whose name holds the key, from
+    logs in long form (task_id, column_no, name, row_idx, value); and the successful tasks and keys without such a column, also where there is no log.
+
+    All keys are matched in one pass, against each column's name once, not each row's.
+    """
+    ok = tasks.where("returncode = 0").select("task_id").distinct()
+    ours = log.join(ok, "task_id", "left_semi")
+    names = ours.select("task_id", "column_no", "name").distinct()
+    keys = F.array(*map(F.lit, dict.fromkeys(wanted))).cast("array<string>")
+    hits = names.select("task_id", "column_no", F.explode(F.filter(keys, lambda k: F.contains("name", k))).alias("key"))
+    chosen = hits.groupBy("task_id", "key").agg(F.min("column_no").alias("column_no"))
+    missing = ok.select("task_id", F.explode(keys).alias("key")).join(chosen.select("task_id", "key"), ["task_id", "key"], "left_anti")
+    return ours.join(chosen, ["task_id", "column_no"]).select("key", "task_id", "row_idx", "value"), missing
+
+
+def log_tables(collected: DataFrame, most: int = 5000) -> DataFrame:
+    """Collected columns as one table by key and row, a column for each task (named by it); left in long form where there are more than `most` tasks, as so many columns cannot be planned."""
+    tasks = [r["task_id"] for r in collected.select("task_id").distinct().orderBy("task_id").limit(most + 1).collect()]
+    if len(tasks) > most:
+        return collected
+    return collected.groupBy("key", "row_idx").pivot("task_id", tasks).agg(F.first("value"))
 
 
 def pair_by_index(params: DataFrame, data: DataFrame, path: str = "path") -> DataFrame:
