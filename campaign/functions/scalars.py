@@ -1,12 +1,15 @@
 """Column expressions for quantities, times, codes, states, names and paths.
 
-All are built-in functions; what cannot be parsed gives null.
+All but rare encodings of bytes are built-in functions; what cannot be parsed gives null.
 """
 
 from __future__ import annotations
 
+import codecs
+from collections.abc import Callable, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -208,9 +211,43 @@ def io_map(paths: Column) -> Column:
     return F.map_from_arrays(once, F.transform(once, lambda p: F.regexp_extract(p, "[^/]*$", 0)))
 
 
-def decode_bytes(data: Column) -> Column:
-    """UTF-8 where it is valid, else Latin-1."""
-    return F.coalesce(F.try_validate_utf8(data.cast("string")), F.decode(data, "ISO-8859-1"))
+def decode_bytes(data: Column, encodings: Sequence[str] = ("utf-8", "latin-1")) -> Column:
+    """The text in the first of the encodings that decodes all bytes; null where none does.
+
+    UTF-8 and Latin-1 are decoded in the JVM. Others are tried by strict decoders in Arrow batches, which get only what the encodings before them
+    could not decode. Unknown names of encodings raise at once.
+    """
+    names = [codecs.lookup(e).name for e in encodings]
+    found: Column | None = None
+    while names:
+        left = data if found is None else F.when(found.isNull(), data)
+        if names[0] == "utf-8":
+            made, names = F.try_validate_utf8(left.cast("string")), names[1:]
+        elif names[0] == "iso8859-1":
+            made, names = F.decode(left, "ISO-8859-1"), []  # it decodes everything
+        else:
+            n = next((k for k, e in enumerate(names) if e in ("utf-8", "iso8859-1")), len(names))
+            made, names = _strictly(names[:n])(left), names[n:]
+        found = made if found is None else F.coalesce(found, made)
+    return F.lit(None).cast("string") if found is None else found
+
+
+def _strictly(names: list[str]) -> Callable[[Column], Column]:
+    """The first of some encodings that decodes, value by value in Arrow batches."""
+
+    def first(value: bytes | None) -> str | None:
+        for name in names if value is not None else ():
+            try:
+                return value.decode(name)
+            except UnicodeDecodeError:
+                pass
+        return None
+
+    @F.pandas_udf("string")
+    def decoded(values: pd.Series) -> pd.Series:
+        return pd.Series([first(v) for v in values], dtype=object)
+
+    return decoded
 
 
 def substitute_template(template: Column, values: Column) -> Column:

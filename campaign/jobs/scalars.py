@@ -178,10 +178,13 @@ def io_map(spark, sf):
     return m.select("o_orderkey", F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("names"))
 
 
-@job("SELECT doc_id, text FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'caf' || chr(233) FROM documents WHERE doc_id % 2 = 1")
+@job("SELECT doc_id, CASE doc_id % 4 WHEN 3 THEN 'caf' || chr(233) || ' ' || chr(8364) || '!' WHEN 2 THEN 'caf' || chr(233) || chr(129) ELSE text END AS text FROM documents")
 def decode_bytes(spark, sf):
-    data = F.when(F.col("doc_id") % 2 == 0, F.col("text").cast("binary")).otherwise(F.encode(F.lit("café"), "ISO-8859-1"))
-    return c.table(spark, sf, "documents").select("doc_id", f.decode_bytes(data).alias("text"))
+    """Texts as UTF-8 or UTF-16 with a byte order mark, words as Windows-1252, and bytes that only Latin-1 takes."""
+    k = F.col("doc_id") % 4
+    utf16 = F.concat(F.lit(b"\xff\xfe"), F.encode("text", "UTF-16LE"))
+    data = F.when(k == 0, F.col("text").cast("binary")).when(k == 1, utf16).when(k == 2, F.lit(b"caf\xe9\x81")).otherwise(F.lit(b"caf\xe9 \x80!"))
+    return c.table(spark, sf, "documents").select("doc_id", f.decode_bytes(data, ["utf-8", "utf-16", "cp1252", "latin-1"]).alias("text"))
 
 
 @job("SELECT p_partkey, 'run ' || p_brand || ' with ${other} size=' || p_size AS text FROM part")

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from .matching import checked
 from .tables import numbered
 
+#: Values of a range that one row of a plan holds at once.
+RANGE_BLOCK = 1 << 16
+
 
 def parse_range(text: str) -> tuple:
     """(low, high, step) of LOW[:HIGH[:STEP]]; any dot makes all three floats; one number is [x, x + 1)."""
@@ -41,10 +44,20 @@ def expand_range(spark: SparkSession, text: str, name: str = "value", closed: bo
     return spark.range(count).where(inside).select(value.alias(name))
 
 
-def expand_ranges(df: DataFrame, low: str, high: str, step: str, name: str = "value") -> DataFrame:
-    """Half-open integer ranges of a table, a row for each value."""
-    values = F.sequence(F.col(low), F.col(high), F.col(step))
-    return df.withColumn(name, F.explode_outer(values)).where(((F.col(step) > 0) & (F.col(name) < F.col(high))) | ((F.col(step) < 0) & (F.col(name) > F.col(high))))
+def expand_ranges(df: DataFrame, low: str, high: str, step: str, name: str = "value", block: int = RANGE_BLOCK) -> DataFrame:
+    """Half-open integer ranges of a table, a row for each value; none where the range is empty or a bound is null. A step of zero raises.
+
+    A range is cut into blocks of so many values, and the blocks of ranges that have several are dealt out anew: one range may
+    have more values than an array or a task can hold.
+    """
+    by = F.when(F.col(step) == 0, F.raise_error(F.lit("a step of zero")).cast("long")).otherwise(F.col(step).cast("long"))
+    rest = [c for c in df.columns if c != name]
+    ends = df.select(F.struct(*rest).alias("row"), F.col(low).cast("long").alias("low"), F.col(high).cast("long").alias("high"), by.alias("by"))
+    sized = ends.withColumn("size", F.expr("greatest(0, if(by > 0, (high - low + by - 1) div by, (low - high - by - 1) div -by))")).where("size > 0").drop("high")
+    whole, large = sized.where(F.col("size") <= block).withColumn("at", F.lit(0).cast("long")), sized.where(F.col("size") > block)
+    dealt = large.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(block).cast("long")))).repartition(F.xxhash64("low", "at"))
+    values = F.sequence(F.col("at"), F.least(F.col("at") + block, F.col("size")) - 1)
+    return whole.unionByName(dealt).select("row", "low", "by", F.explode(values).alias("k")).select("row.*", (F.col("low") + F.col("k") * F.col("by")).alias(name))
 
 
 def expand_grid(factors: list[DataFrame], valid: Column | None = None) -> DataFrame:
@@ -182,10 +195,10 @@ def apply_substitutions(lines: DataFrame, substitutions: DataFrame, key: str) ->
 
 
 def unscheduled_range(spark: SparkSession, scheduled: DataFrame, total: int, k: int) -> DataFrame:
-    """(start, end): slices of k of what is left of 0..total after the highest scheduled end; end exclusive."""
-    top = scheduled.agg(F.coalesce(F.max("end"), F.lit(0).cast("long")).alias("top")).where(F.col("top") < total)
-    starts = top.select(F.explode(F.sequence(F.col("top"), F.lit(total - 1).cast("long"), F.lit(k).cast("long"))).alias("start"))
-    return starts.withColumn("end", F.least(F.col("start") + k, F.lit(total).cast("long")))
+    """(start, end): slices of k of what is left of 0..total after the highest scheduled end; end exclusive. Slices are made by tasks, however many there are."""
+    top = scheduled.agg(F.coalesce(F.max("end"), F.lit(0).cast("long"))).first()[0]
+    starts = spark.range(top, total, k) if top < total else spark.range(0)
+    return starts.select(F.col("id").alias("start"), F.least(F.col("id") + k, F.lit(total).cast("long")).alias("end"))
 
 
 def scheduled_range_total(names: DataFrame, column: str) -> DataFrame:

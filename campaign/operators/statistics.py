@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .matching import checked
 
@@ -67,14 +70,53 @@ def var1_persistence(df: DataFrame, key: str, order: str, *columns: str) -> Data
     return df.sparkSession.createDataFrame(rows, "target string, source string, coefficient double")
 
 
-def idw_interpolate(queries: DataFrame, samples: DataFrame, axes: list[str], power: int = 4, value: str = "f") -> DataFrame:
-    """(query_id, value): inverse-distance weighting over all sample points; an exact hit gives that sample's value."""
-    few = checked(samples.select(*(F.col(a).alias(f"s_{a}") for a in axes), value))
-    square = reduce(lambda a, b: a + b, (F.pow(F.col(a) - F.col(f"s_{a}"), 2) for a in axes))
-    joined = queries.join(few).withColumn("d", F.sqrt(square))
-    weight = F.when(F.col("d") > 0, 1 / F.pow("d", power))
-    agg = joined.groupBy("query_id").agg(F.avg(F.when(F.col("d") == 0, F.col(value))).alias("exact"), (F.sum(weight * F.col(value)) / F.sum(weight)).alias("mean"))
-    return agg.select("query_id", F.coalesce("exact", "mean").alias("value"))
+def _packed(df: DataFrame, columns: list[str], size: int, keep: str | None = None) -> DataFrame:
+    """(points binary[, keys]): up to `size` rows as one, their columns as rows of doubles (null: NaN) and the values of `keep` as a list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                points = np.stack([part.column(c).to_numpy(zero_copy_only=False).astype(float) for c in columns], axis=1)
+                out = [pa.array([points.tobytes()], pa.binary())]
+                if keep:
+                    keys = part.column(keep)
+                    out.append(pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), pa.concat_arrays([keys])))
+                yield pa.RecordBatch.from_arrays(out, names=["points", "keys"][: len(out)])
+
+    kinds = [T.StructField("points", T.BinaryType())] + ([T.StructField("keys", T.ArrayType(df.schema[keep].dataType))] if keep else [])
+    return df.select(*([keep] if keep else []), *(F.col(c).cast("double").alias(c) for c in columns)).mapInArrow(run, T.StructType(kinds))
+
+
+def idw_interpolate(queries: DataFrame, samples: DataFrame, axes: list[str], power: int = 4, value: str = "f", block: int = 2048) -> DataFrame:
+    """(query_id, value): inverse-distance weighting over all sample points; an exact hit gives that sample's value (the mean of several).
+
+    Rows are packed into blocks of points on either side and blocks meet blocks, so there is a row for each pair of blocks, not of points; their
+    distances are matrices in Arrow batches, of which a sum for each query and block of samples remains. Samples with a null
+    coordinate or value are left out; queries with one, or without samples, have a null value.
+    """
+    n = len(axes)
+    known = samples.where(reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in [*axes, value])))
+    few = checked(_packed(known, [*axes, value], block).withColumnRenamed("points", "samples"))
+    pairs = _packed(queries, axes, block, "query_id").crossJoin(few)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for points, keys, others in zip(batch.column("points"), batch.column("keys"), batch.column("samples"), strict=True):
+                q, s = np.frombuffer(points.as_py()).reshape(-1, n), np.frombuffer(others.as_py()).reshape(-1, n + 1)
+                square = np.zeros((len(q), len(s)))
+                for k in range(n):
+                    square += (q[:, k, None] - s[:, k]) ** 2
+                with np.errstate(divide="ignore"):
+                    weight = np.where(square > 0, 1 / np.sqrt(square) ** power, 0)
+                hit = square == 0
+                sums = [weight @ s[:, n], weight.sum(axis=1), hit @ s[:, n], hit.sum(axis=1).astype(float)]
+                yield pa.RecordBatch.from_arrays([keys.values, *(pa.array(x) for x in sums)], names=["query_id", "wf", "w", "hits", "n"])
+
+    kinds = [T.StructField("query_id", queries.schema["query_id"].dataType), *(T.StructField(c, T.DoubleType()) for c in ("wf", "w", "hits", "n"))]
+    total = pairs.mapInArrow(run, T.StructType(kinds)).groupBy("query_id").agg(*(F.sum(c).alias(c) for c in ("wf", "w", "hits", "n")))
+    found = total.select("query_id", F.when(F.col("n") > 0, F.col("hits") / F.col("n")).when(F.col("w") > 0, F.col("wf") / F.col("w")).alias("value"))
+    return queries.select("query_id").distinct().join(found, "query_id", "left") if samples.isEmpty() else found
 
 
 def best_member(population: DataFrame, key: list[str] = ()) -> DataFrame:

@@ -155,6 +155,55 @@ def test_topological_cycle(spark):
     assert {r["task_id"]: r["level"] for r in graph.topological_levels(chain.select("task_id"), chain).collect()} == {1: 2, 2: 1, 3: 0, 4: 0}
 
 
+def test_ranges_of_a_table_may_be_empty_or_very_long(spark):
+    rows = [(1, 5, 3, 1), (2, 3, 5, 1), (3, 5, 0, -2), (4, 0, 10, 4), (5, 7, 7, 1), (6, None, 3, 1), (7, 3, 9, -1)]
+    df = spark.createDataFrame(rows, "k int, low long, high long, step int")
+    wanted = sorted((k, v) for k, low, high, step in rows if low is not None for v in range(low, high, step))
+    for block in (1, 2, 3, 1000):
+        assert sorted((r["k"], r["value"]) for r in grids.expand_ranges(df, "low", "high", "step", block=block).collect()) == wanted
+    large = spark.createDataFrame([(1, 0, 200_000_000, 1), (2, 5, 0, 1)], "k int, low long, high long, step int")
+    assert grids.expand_ranges(large, "low", "high", "step").agg(F.count("*"), F.max("value")).first()[:] == (200_000_000, 199_999_999)
+    with pytest.raises(Exception, match="step of zero"):
+        grids.expand_ranges(df.withColumn("step", F.lit(0)), "low", "high", "step").collect()
+
+
+def test_what_is_left_of_ten_billion_slices(spark):
+    scheduled = spark.createDataFrame([(0, 7)], "start long, end long")
+    left = grids.unscheduled_range(spark, scheduled, 3 * 10**9, 3)
+    assert left.count() == 10**9 - 2 and left.limit(1).first()[:] == (7, 10)
+    assert grids.unscheduled_range(spark, scheduled, 8, 3).collect()[0][:] == (7, 8)
+    assert grids.unscheduled_range(spark, scheduled, 7, 3).count() == 0
+    assert grids.unscheduled_range(spark, scheduled.limit(0), 4, 3).count() == 2
+
+
+def test_decoding_takes_the_first_encoding_that_fits(spark):
+    values = [("é€".encode(), "é€"), ("é€".encode("utf-16"), "é€"), (b"\x80 caf\xe9s", "€ cafés"), (b"\x81\xff\x00", "\x81ÿ\x00"), (b"", ""), (None, None), (b"plain", "plain")]
+    df = spark.createDataFrame([(k, v) for k, (v, _) in enumerate(values)], "k int, data binary")
+    got = {r["k"]: r["t"] for r in df.select("k", f.decode_bytes(F.col("data"), ["utf-8", "utf-16", "cp1252", "latin-1"]).alias("t")).collect()}
+    # seven bytes are no UTF-16, so the third falls to the next
+    assert got == {k: t for k, (_, t) in enumerate(values)}
+    strict = {r["k"]: r["t"] for r in df.select("k", f.decode_bytes(F.col("data"), ["ascii", "utf-8"]).alias("t")).collect()}
+    assert [strict[k] for k in range(7)] == ["é€", None, None, None, "", None, "plain"]
+    with pytest.raises(LookupError):
+        f.decode_bytes(F.col("data"), ["no such encoding"])
+
+
+@pytest.mark.parametrize("block", [3, 2048])
+def test_interpolation_in_blocks_equals_pairs(spark, block):
+    rng = np.random.default_rng(4)
+    s, q = rng.integers(0, 6, (40, 2)).astype(float), rng.integers(0, 60, (70, 2)) / 10
+    value = rng.random(40)
+    samples = spark.createDataFrame([(*map(float, p), float(v)) for p, v in zip(s, value)] + [(None, 1.0, 5.0), (1.0, 1.0, None)], "a double, b double, f double")
+    queries = spark.createDataFrame([(f"q{k}", *map(float, p)) for k, p in enumerate(q)] + [("none", None, 1.0)], "query_id string, a double, b double")
+    got = {r["query_id"]: r["value"] for r in statistics.idw_interpolate(queries.repartition(3), samples.repartition(4), ["a", "b"], block=block).collect()}
+    for k, p in enumerate(q):
+        d = np.sqrt(((s - p) ** 2).sum(axis=1))
+        wanted = value[d == 0].mean() if (d == 0).any() else (value / d**4).sum() / (1 / d**4).sum()
+        assert got[f"q{k}"] == pytest.approx(wanted)
+    assert len(got) == 71 and got["none"] is None
+    assert {r["value"] for r in statistics.idw_interpolate(queries, samples.limit(0), ["a", "b"]).collect()} == {None}
+
+
 def levels_by_hand(edges):
     on, level = {}, {}
     for a, b in edges:
