@@ -50,10 +50,15 @@ def parse_memory(text: Column) -> Column:
 
 
 def parse_suffixed_memory(text: Column, suffixes: dict[str, int], bare: int = 1) -> Column:
-    """Bytes of an amount with a one-letter suffix, as accounting files have it; rounded. `bare` is the factor without a suffix."""
-    pattern = r"^\s*(\d+(?:\.\d+)?)\s*([A-Za-z]*)\s*$"
-    amount, unit = _part(text, pattern, 1).try_cast("double"), F.regexp_extract(text, pattern, 2)
-    return F.round(amount * F.when(unit == "", bare).otherwise(_lookup(suffixes, unit))).cast("long")
+    """Bytes of an amount with a suffix of letters, as accounting files have it; rounded. `bare` is the factor without a suffix."""
+    plain = F.trim(text)
+    unit = F.translate(plain, "0123456789. ", "")  # what is no amount, wherever it stands
+    digits = F.rtrim(F.rtrim(plain, F.lit("".join(sorted({c for k in suffixes for c in k})))))
+    factor = F.when(unit == "", bare)
+    for suffix, size in suffixes.items():
+        factor = factor.when(unit == suffix, size)
+    whole = ~(F.startswith(digits, F.lit(".")) | F.endswith(digits, F.lit(".")))
+    return F.round(F.when(whole, digits.try_cast("double")) * factor).cast("long")
 
 
 #: Factors of the batch systems' memory suffixes.
@@ -82,13 +87,14 @@ def parse_duration(text: Column) -> Column:
 def parse_elapsed(text: Column) -> Column:
     """Nanoseconds of [DD-][[HH:]MM:]SS[.fff][s], where two fields are minutes and seconds."""
     pattern = r"^\s*(?:\d+-)?(?:(?:\d+:)?\d+:)?\d+(?:\.\d{1,9})?s?\s*$"
-    # one expression tells the form; the fields are then cut out without further ones
+    # one expression tells the form; the fields, of which some may be missing, are then cut out without further ones
     plain = F.rtrim(F.trim(F.translate(text, "\t\n\r\f\x0b", "     ")), F.lit("s"))
     clock = F.substring_index(plain, "-", -1)
-    field = lambda k: F.when(F.size(F.split(clock, ":")) >= k, F.split_part(clock, F.lit(":"), F.lit(-k)).try_cast("long")).otherwise(0)
-    second = F.split_part(F.substring_index(clock, ":", -1), F.lit("."), F.lit(1)).try_cast("long")
-    days = F.when(F.contains(plain, F.lit("-")), F.split_part(plain, F.lit("-"), F.lit(1)).try_cast("long")).otherwise(0)
-    fraction = F.rpad(F.split_part(clock, F.lit("."), F.lit(2)), 9, "0").try_cast("long")
+    number = lambda x: F.concat(F.lit("0"), x).try_cast("long")  # noqa: E731  # a missing field is 0, one that is too large null
+    field = lambda k: number(F.split_part(clock, F.lit(":"), F.lit(-k)))
+    second = number(F.substring_index(F.substring_index(clock, ":", -1), ".", 1))
+    days = F.when(F.contains(plain, F.lit("-")), number(F.substring_index(plain, "-", 1))).otherwise(0)
+    fraction = F.when(F.contains(clock, F.lit(".")), number(F.rpad(F.substring_index(clock, ".", -1), 9, "0"))).otherwise(0)
     return F.when(text.rlike(pattern), (days * 86400 + field(3) * 3600 + field(2) * 60 + second) * SECOND + fraction)
 
 

@@ -155,6 +155,14 @@ def test_topological_cycle(spark):
     assert {r["task_id"]: r["level"] for r in graph.topological_levels(chain.select("task_id"), chain).collect()} == {1: 2, 2: 1, 3: 0, 4: 0}
 
 
+def test_elapsed_times_and_suffixed_memory_of_odd_forms(spark):
+    times = {"1-02:03:04.5": ((26 * 60 + 3) * 60 + 4) * 10**9 + 5 * 10**8, "03:04": 184 * 10**9, "7": 7 * 10**9, " 0:05.25s ": 5_250_000_000, "1:2:3:4": None, "": None, "x": None, "99999999999999999999:00": None, "1-": None, "5.": None, None: None}
+    sizes = {"12K": 12_000, " 1.5 M ": 1_500_000, "7": 7, "1.K": None, ".5K": None, "K5": None, "5X": None, "5KK": None, "-5K": None, "1e3K": None, "": None, None: None}
+    frame = lambda texts: spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r["t"]: r["v"] for r in frame(times).select("t", f.parse_elapsed(F.col("t")).alias("v")).collect()} == times
+    assert {r["t"]: r["v"] for r in frame(sizes).select("t", f.parse_suffixed_memory(F.col("t"), f.SLURM_MEMORY).alias("v")).collect()} == sizes
+
+
 def test_ranges_of_a_table_may_be_empty_or_very_long(spark):
     rows = [(1, 5, 3, 1), (2, 3, 5, 1), (3, 5, 0, -2), (4, 0, 10, 4), (5, 7, 7, 1), (6, None, 3, 1), (7, 3, 9, -1)]
     df = spark.createDataFrame(rows, "k int, low long, high long, step int")
