@@ -39,7 +39,7 @@ TEMPLATES = {
 
 #: Notices of other licences or of none in particular; every second one is held out.
 UNFAMILIAR = [
-    "Licensed under the European Union Public Licence, version 1.2.", "Use of this file is governed by the EUPL.",
+    "Licensed under the European Union Public Licence, version 1.2.",
     "Distributed under the Boost Software License, Version 1.0.", "Released under the ISC License.",
     "This file is licensed under the zlib License.", "You may distribute this under the terms of the Artistic License.",
     "Made available under the terms of the Eclipse Public License, version 2.0.", "Released under the Eclipse Distribution License.",
@@ -51,10 +51,8 @@ UNFAMILIAR = [
     "Free for personal use only; commercial use needs a licence from the author.", "Free for use under terms that the owner sets.",
     "Use of this software is governed by the licence agreement that came with it.", "This item is licensed by its owner under terms of its own.",
     "Licensed under the PostgreSQL License.", "Licensed under the Python Software Foundation License, version 2.",
-    "You may use this work under GPL terms.", "Free for use under BSD terms.",
     "SPDX-License-Identifier: EUPL-1.2", "SPDX-License-Identifier: LicenseRef-Own",
     "GNU licence", "Dual licensed, see the licence files for terms.",
-    "GNU GPLv3", "GPLv2 or later", "BSD / MIT", "MIT or BSD",
 ]
 
 

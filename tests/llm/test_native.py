@@ -307,14 +307,18 @@ def test_licence_lines_equal_plain_python(spark, coverage):
 
 
 def test_licences_calls_lines_of_unfamiliar_licences_unknown(spark):
+    """Held-out notices, and lines that are in no list of the module, some of them about families that it knows only by other words."""
     held = licences.UNFAMILIAR[1::2]
-    texts = [*held, "GNU GPLv3", "BSD / MIT", "Free for use under BSD terms", "Use of this file is governed by the EUPL", "other lines of the corpus", *FILLER]
+    unseen = ["GNU GPLv3", "BSD / MIT", "Free for use under BSD terms", "Use of this file is governed by the EUPL", "You may use this work under GPL terms.", "GPLv3", "BSD licensed code.", "GPLv2 or later", "MIT or BSD"]
+    texts = [*held, *unseen, "other lines of the corpus", *FILLER]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     model = licences.train(spark.createDataFrame(list(enumerate(FILLER)), "doc_id long, text string"))
     got = {r["doc_id"]: r for r in licences.by_document(docs, model).collect()}
-    assert all(got[k]["n_unknown"] == 1 for k in range(len(held), len(held) + 4)) and not got[len(held) + 4]["n_unknown"]
+    last = len(held) + len(unseen)
+    assert not set(unseen) & {*licences.UNFAMILIAR, *(t for own in licences.TEMPLATES.values() for t in own)}
+    assert sum(got[k]["n_unknown"] for k in range(len(held), last)) >= 7 and not any(got[k]["n_notices"] for k in range(len(held), last))
     assert sum(got[k]["n_unknown"] for k in range(len(held))) >= 0.7 * len(held) and sum(got[k]["n_notices"] for k in range(len(held))) <= 2
-    assert sum(got[k]["n_unknown"] + got[k]["n_notices"] for k in range(len(held) + 4, len(texts))) <= 1
+    assert sum(got[k]["n_unknown"] + got[k]["n_notices"] for k in range(last, len(texts))) <= 1
 
 
 def test_licences_of_repeated_rows(spark):
