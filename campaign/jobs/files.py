@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import zipfile
-from pathlib import Path
-from urllib.parse import urlparse
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 from ..sources import canonical as c
 from ..sources import io
 from ..sources.scratch import new_folder
+from ..sources.tail import store
 from .base import Jobs
 from .streams import drain
 
@@ -49,10 +48,10 @@ def read_commented_table(spark, sf):
     return good.unionByName(bad.select("reason"), allowMissingColumns=True)
 
 
-@job("SELECT CAST(p_partkey AS VARCHAR) AS name, p_size || '+' || p_brand AS xs, CAST(p_size + 1 AS VARCHAR) AS y FROM part")
+@job("SELECT CAST(p_partkey AS VARCHAR) AS name, p_size || '+' || p_brand || ', \"new\"' AS xs, CAST(p_size + 1 AS VARCHAR) AS y FROM part")
 def read_grouped_header(spark, sf):
-    line = F.concat_ws(",", F.col("p_partkey"), F.col("p_size"), F.col("p_brand"), F.col("p_size") + 1)
-    _part(spark, sf).select(F.concat(F.lit("name,xs,,y\n"), line)).write.text(path := new_folder(spark, "grouped"))
+    cells = _part(spark, sf).select("p_partkey", "p_size", F.concat("p_brand", F.lit(', "new"')), F.col("p_size") + 1)
+    cells.toDF("name", "xs", " ", "y").write.csv(path := new_folder(spark, "grouped"), header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return io.read_grouped_header(spark, path).select("name", F.array_join("xs", "+").alias("xs"), "y")
 
 
@@ -85,12 +84,12 @@ def read_outputs(spark, sf):
 def read_archive_members(spark, sf):
     """Zip archives of customers' names, a member each, that tasks write to the shared folder: one by nation and thousand of keys."""
     folder = new_folder(spark, "archives")
-    place = Path(urlparse(folder).path)
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         nation, part = frame["nation"].iloc[0], frame["part"].iloc[0]
-        place.mkdir(parents=True, exist_ok=True)
-        with zipfile.ZipFile(place / f"{nation}-{part}.zip", "w") as z:
+        fs, root = store(folder)
+        fs.create_dir(root, recursive=True)
+        with fs.open_output_stream(f"{root}/{nation}-{part}.zip", compression=None) as out, zipfile.ZipFile(out, "w") as z:
             z.writestr("empty", "")
             for key, name in zip(frame["c_custkey"], frame["c_name"], strict=True):
                 z.writestr(f"names/{key}.txt", name)

@@ -72,6 +72,16 @@ def retry_outcome(spark, sf):
     return op.retry_outcome(c.steps(spark, sf), 2)
 
 
+@job(
+    S
+    + """, a AS (SELECT group_id, min(step) FILTER (returncode % 2 = 0) AS good, arg_min(returncode, step) FILTER (returncode % 2 = 0) AS good_rc, arg_max(returncode, step) AS rc, max(step) AS last FROM steps GROUP BY 1)
+    SELECT group_id, coalesce(good_rc, rc) AS returncode, coalesce(good, last) AS retries, good IS NOT NULL AS done FROM a"""
+)
+def retry_by_code(spark, sf):
+    """Tried again without limit, but only after odd return codes."""
+    return op.retry_outcome(c.steps(spark, sf), 0, F.col("returncode") % 2 == 1)
+
+
 def _sequence(policy: str) -> str:
     end = "last" if policy == "plain" else "coalesce(bad, last)"
     state = f"CASE WHEN {end} < last THEN 'STOPPED' ELSE 'TERMINATED' END" if policy == "stop" else "'TERMINATED'"

@@ -52,16 +52,19 @@ def tail_lines(logs: DataFrame, n: int, id_col: str = "task_id", text_col: str =
     return cut.select(id_col, first.alias("first"), F.posexplode_outer(F.slice("lines", first + 1, n)).alias("k", "line")).select(id_col, (F.col("first") + F.col("k")).cast("long").alias("line_no"), "line")
 
 
-def retry_outcome(attempts: DataFrame, most: int) -> DataFrame:
-    """(group_id, returncode, retries, done): attempts in order, again while it failed and retries are left (most = 0: forever).
+def retry_outcome(attempts: DataFrame, most: int, again: Column | None = None) -> DataFrame:
+    """(group_id, returncode, retries, done): attempts in order, again while `again` holds and retries are left (most = 0: forever).
 
-    No window: the first success and the last allowed attempt come from one aggregation.
+    `again` is a predicate over an attempt, by default that it did not succeed; where it is null, there is no further attempt. The
+    first attempt that ends the series and the last allowed one come from one aggregation, without a window.
     """
     limit = F.lit(2**31 - 1) if most == 0 else F.lit(most)
+    ends = ~F.col("returncode").eqNullSafe(F.lit(0)) if again is None else again
+    at = F.when(~F.coalesce(ends, F.lit(False)), F.col("step"))
     used = attempts.where(F.col("step") <= limit)
-    agg = used.groupBy("group_id").agg(F.min(F.when(F.col("returncode") == 0, F.col("step"))).alias("good"), F.max_by("returncode", "step").alias("last_rc"), F.max("step").alias("last"))
+    agg = used.groupBy("group_id").agg(F.min(at).alias("good"), F.min_by("returncode", at).alias("good_rc"), F.max_by("returncode", "step").alias("last_rc"), F.max("step").alias("last"))
     done = F.col("good").isNotNull() | (F.col("last") >= limit)
-    return agg.select("group_id", F.when(F.col("good").isNotNull(), 0).otherwise(F.col("last_rc")).cast("int").alias("returncode"), F.coalesce("good", "last").alias("retries"), done.alias("done"))
+    return agg.select("group_id", F.when(F.col("good").isNotNull(), F.col("good_rc")).otherwise(F.col("last_rc")).cast("int").alias("returncode"), F.coalesce("good", "last").alias("retries"), done.alias("done"))
 
 
 def sequence_outcome(steps: DataFrame, policy: str) -> DataFrame:

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import new_folder
 
+#: Columns of the grid on which match_within joins.
+GRID_COLUMNS = 3
+
 
 def numbered(df: DataFrame, order: list[str], name: str = "row_idx") -> DataFrame:
     """Rows numbered from 0 in a global order, without a single-task window.
@@ -40,16 +43,19 @@ def conditions_and_range(df: DataFrame, equal: dict, x: str, low, high) -> DataF
 def match_within(df: DataFrame, targets: DataFrame, key: str, pairs: dict[str, str], tolerance: float = 1e-8) -> DataFrame:
     """(key, matches): how many rows lie within the tolerance of each target in all pairs (column -> target column).
 
-    Targets are few. Rows and targets meet on the cells of a grid as wide as the tolerance times two,
-    each row in its own cell and each target in its neighbours as well, so this is an equi-join.
+    Rows and targets meet on the cells of a grid over all columns, as wide as the tolerance times two: each row is in its own cell and each
+    target in its neighbours as well, three for each column, so this is an equi-join that a column of equal values does not skew. Beyond
+    GRID_COLUMNS pairs the others are only compared.
     """
-    first_c, first_t = next(iter(pairs.items()))
     width = 2 * tolerance
     cell = lambda c: F.floor(F.col(c) / width)
-    near = targets.withColumn("cell_", F.explode(F.array(*(cell(first_t) + k for k in (-1, 0, 1)))))
-    joined = near.join(df.withColumn("cell_", cell(first_c)), "cell_")
+    near, rows, on = targets, df, []
+    for k, (c, t) in enumerate(list(pairs.items())[:GRID_COLUMNS]):
+        near = near.withColumn(f"cell{k}_", F.explode(F.array(*(cell(t) + j for j in (-1, 0, 1)))))
+        rows = rows.withColumn(f"cell{k}_", cell(c))
+        on.append(f"cell{k}_")
     close = [F.abs(F.col(c) - F.col(t)) < tolerance for c, t in pairs.items()]
-    hits = joined.where(reduce(lambda a, b: a & b, close)).groupBy(key).agg(F.count("*").alias("matches"))
+    hits = near.join(rows, on).where(reduce(lambda a, b: a & b, close)).groupBy(key).agg(F.count("*").alias("matches"))
     return targets.join(hits, key, "left").select(key, F.coalesce("matches", F.lit(0).cast("long")).alias("matches"))
 
 

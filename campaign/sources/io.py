@@ -31,14 +31,14 @@ def read_commented_table(spark: SparkSession, path: str, fields: dict[str, str],
 
 
 def read_grouped_header(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV whose first line names groups of columns (a name, then empty cells): an array column per group."""
-    raw = spark.read.csv(path)
-    head = spark.read.text(path).first()[0].split(",")
+    """CSV files whose first line names groups of columns (a name, then empty cells): an array column per group. Cells may be quoted; each file has the same header."""
+    head = spark.read.csv(path).first()
+    raw = spark.read.csv(path, header=True)
     groups: dict[str, list[str]] = {}
-    for name, column in zip(head, raw.columns, strict=False):
-        groups.setdefault(name.strip() or list(groups)[-1], []).append(column)
-    first = list(groups.values())[0][0]
-    return raw.where(~F.col(first).eqNullSafe(F.lit(head[0]))).select(*(F.array(*c).alias(g) if len(c) > 1 else F.col(c[0]).alias(g) for g, c in groups.items()))
+    for k, name in enumerate(head):
+        groups.setdefault((name or "").strip() or list(groups)[-1], []).append(f"c{k}")
+    cells = raw.toDF(*(f"c{k}" for k in range(len(head))))
+    return cells.select(*(F.array(*c).alias(g) if len(c) > 1 else F.col(c[0]).alias(g) for g, c in groups.items()))
 
 
 def read_space_table(spark: SparkSession, path: str, separator: str = r"\s+") -> DataFrame:

@@ -155,6 +155,39 @@ def test_topological_cycle(spark):
     assert {r["task_id"]: r["level"] for r in graph.topological_levels(chain.select("task_id"), chain).collect()} == {1: 2, 2: 1, 3: 0, 4: 0}
 
 
+def test_retries_by_a_predicate(spark):
+    a = spark.createDataFrame([(1, 0, 99), (1, 1, 99), (1, 2, 4), (1, 3, 0), (2, 0, 99), (3, 0, None), (3, 1, 0)], "group_id int, step long, returncode int")
+    got = {r["group_id"]: (r["returncode"], r["retries"], r["done"]) for r in history.retry_outcome(a, 0, F.col("returncode") == 99).collect()}
+    assert got == {1: (4, 2, True), 2: (99, 0, False), 3: (None, 0, True)}
+    assert {r["group_id"]: r["retries"] for r in history.retry_outcome(a, 1).collect()} == {1: 1, 2: 0, 3: 1}
+
+
+def test_matches_in_a_grid_of_all_columns(spark):
+    rng = random.Random(3)
+    rows, targets = ([(k, 7.0, rng.randint(0, 40) / 4, rng.randint(0, 8) / 4) for k in range(n)] for n in (200, 60))
+    df = spark.createDataFrame(rows, "k int, a double, b double, c double")
+    wanted = {t[0]: sum(all(abs(x - y) < 0.3 for x, y in zip(r[1:], t[1:])) for r in rows) for t in targets}
+    got = tables.match_within(df.drop("k"), spark.createDataFrame(targets, "t int, x double, y double, z double"), "t", {"a": "x", "b": "y", "c": "z"}, 0.3)
+    assert {r["t"]: r["matches"] for r in got.collect()} == wanted
+
+
+def test_grouped_headers_with_quotes_and_rows_like_the_header(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('"a, b",x,,y\n"a, b",x,,y\n1,"2,5",3,4\n,,,\n')
+    got = files.read_grouped_header(spark, str(tmp_path / "q.csv"))
+    assert got.columns == ["a, b", "x", "y"]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([("a, b", ["x", None], "y"), ("1", ["2,5", "3"], "4"), (None, [None, None], None)], key=repr)
+
+
+def test_draws_stay_in_their_box_and_searches_never_get_worse(spark):
+    drawn = statistics.draw_population(spark, 200, [-1.0, 5.0], [1.0, 6.0], 3)
+    x = np.array([r["x"] for r in drawn.orderBy("member_id").collect()])
+    assert x.shape == (200, 2) and (x >= [-1, 5]).all() and (x <= [1, 6]).all() and x.std(axis=0).min() > 0.2
+    assert (x == [r["x"] for r in statistics.draw_population(spark, 200, [-1.0, 5.0], [1.0, 6.0], 3).orderBy("member_id").collect()]).all()
+    assert (x != [r["x"] for r in statistics.draw_population(spark, 200, [-1.0, 5.0], [1.0, 6.0], 4).orderBy("member_id").collect()]).any()
+    rounds = {k: np.array([r["y"] for r in evolve.optimise(spark, lambda v: (v**2).sum(axis=1), [-3.0, -3.0], [3.0, 3.0], 12, k).orderBy("member_id").collect()]) for k in (0, 1, 3)}
+    assert (rounds[1] <= rounds[0]).all() and (rounds[3] <= rounds[1]).all() and rounds[3].min() < rounds[0].min()
+
+
 def test_elapsed_times_and_suffixed_memory_of_odd_forms(spark):
     times = {"1-02:03:04.5": ((26 * 60 + 3) * 60 + 4) * 10**9 + 5 * 10**8, "03:04": 184 * 10**9, "7": 7 * 10**9, " 0:05.25s ": 5_250_000_000, "1:2:3:4": None, "": None, "x": None, "99999999999999999999:00": None, "1-": None, "5.": None, None: None}
     sizes = {"12K": 12_000, " 1.5 M ": 1_500_000, "7": 7, "1.K": None, ".5K": None, "K5": None, "5X": None, "5KK": None, "-5K": None, "1e3K": None, "": None, None: None}
