@@ -31,11 +31,13 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels of held-out rows are never read: the join sees the other rows' labels only. Of clashing labels of one id the greatest counts."""
+    """Labels of held-out rows are never read: the join sees the other rows' labels only. Of clashing labels of one id the greatest counts, and
+    of several texts of one id the one with the least hash is learned from, so rows are bounded as labels are."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     labels = table(spark, sf_dir, "labels", "doc_id", "toxic").where(~fold("doc_id", 4, 2) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = toxicity.sample(labels, "doc_id")
-    model = toxicity.train(docs.join(F.broadcast(known), "doc_id"))
+    learned = docs.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic"))
+    model = toxicity.train(learned)
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", fold("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
