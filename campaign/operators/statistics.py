@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .matching import checked
+from .matching import BROADCAST_ROWS, checked
 
 
 def path_statistics(paths: DataFrame) -> DataFrame:
@@ -97,7 +97,7 @@ def idw_interpolate(queries: DataFrame, samples: DataFrame, axes: list[str], pow
     """
     n = len(axes)
     known = samples.where(reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in [*axes, value])))
-    few = checked(_packed(known, [*axes, value], block).withColumnRenamed("points", "samples"))
+    few = checked(_packed(known, [*axes, value], block).withColumnRenamed("points", "samples"), max(1, BROADCAST_ROWS // block))
     pairs = _packed(queries, axes, block, "query_id").crossJoin(few)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
