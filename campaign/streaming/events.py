@@ -1,7 +1,7 @@
 """Structured Streaming operators, each with the batch operator that gives the same result on the whole input.
 
-Events are ordered by time: those older than what a key's state holds are ignored, and Spark drops those older than the watermark. So what a
-key's state is needed for ends with the watermark, and a timer clears it then; watermarks and delays are parameters.
+Events are ordered by time: those older than what a key's state holds are ignored. With a watermark Spark drops those that are older than it, so what a
+key's state is needed for ends there, and a timer clears it then; without one nothing is dropped and states stay. Watermarks and delays are parameters.
 """
 
 from __future__ import annotations
@@ -66,8 +66,8 @@ class _Timed(StatefulProcessor):
 
 
 class _Coalescer(_Timed):
-    def __init__(self, idle_ms: int | None):
-        self.idle_ms = idle_ms
+    def __init__(self, timed: bool, idle_ms: int | None):
+        self.timed, self.idle_ms = timed, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -91,9 +91,12 @@ class _Coalescer(_Timed):
         told = ends & (event != "")
         bits = 0 if ends[-1] else int(seen[-1])
         last = frame["ts"].iloc[-1]
-        self.seen.update((bits, last.to_pydatetime(), int(frame["seq"].iloc[-1])))
-        # a closed path is remembered as long as late events of it may come, an open one until it was idle for as long as asked
-        self.set_timer(_ms(last) if not bits else None if self.idle_ms is None else _ms(last) + self.idle_ms)
+        if bits or self.timed:
+            self.seen.update((bits, last.to_pydatetime(), int(frame["seq"].iloc[-1])))
+        else:
+            self.seen.clear()
+        if self.timed:  # a closed path is remembered as long as late events of it may come, an open one until it was idle for as long as asked
+            self.set_timer(_ms(last) if not bits else None if self.idle_ms is None else _ms(last) + self.idle_ms)
         yield pd.DataFrame({"path": key[0], "ts": frame["ts"][told], "event": event[told]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -101,14 +104,15 @@ class _Coalescer(_Timed):
         return iter(())
 
 
-def coalesce_events(raw: DataFrame, watermark: str = "0 seconds", idle_seconds: int | None = None) -> DataFrame:
+def coalesce_events(raw: DataFrame, watermark: str | None = None, idle_seconds: int | None = None) -> DataFrame:
     """The same on a stream. Events older than a path's last one, or than the watermark, change nothing.
 
-    The state of a path goes when the watermark passes its last close or delete. One that was never closed stays, or goes once the
-    watermark is idle_seconds past its last event, after which a close tells nothing of what was before.
+    With a watermark the state of a path goes when it passes the last close or delete; one that was never closed stays, or goes once the
+    watermark is idle_seconds past its last event, after which a close tells nothing of what was before. Without, it goes at the close or delete.
     """
-    idle = None if idle_seconds is None else idle_seconds * 1000
-    return raw.withWatermark("ts", watermark).groupBy("path").transformWithStateInPandas(_Coalescer(idle), "path string, ts timestamp, event string", "Append", "EventTime")
+    made = _Coalescer(watermark is not None, None if idle_seconds is None else idle_seconds * 1000)
+    known = raw if watermark is None else raw.withWatermark("ts", watermark)
+    return known.groupBy("path").transformWithStateInPandas(made, "path string, ts timestamp, event string", "Append", "None" if watermark is None else "EventTime")
 
 
 def live_state_counts_batch(events: DataFrame) -> DataFrame:
@@ -128,7 +132,7 @@ def _names(state: str | None, code: int | None) -> list[str]:
 
 
 class _LastState(_Timed):
-    def __init__(self, keep_ms: int):
+    def __init__(self, keep_ms: int | None):
         self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -149,7 +153,8 @@ class _LastState(_Timed):
         delta = Counter(_names(newest["state"], own))
         delta.subtract(_names(state, code))
         self.last.update((newest["state"], own, newest["ts"].to_pydatetime(), int(newest["seq"])))
-        self.set_timer(_ms(newest["ts"]) + self.keep_ms if newest["state"] == "TERMINATED" else None)
+        if self.keep_ms is not None:
+            self.set_timer(_ms(newest["ts"]) + self.keep_ms if newest["state"] == "TERMINATED" else None)
         yield pd.DataFrame([(k, n) for k, n in delta.items() if n], columns=["state", "delta"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -157,15 +162,17 @@ class _LastState(_Timed):
         return iter(())
 
 
-def state_deltas(events: DataFrame, watermark: str = "0 seconds", keep_seconds: int = 0) -> DataFrame:
+def state_deltas(events: DataFrame, watermark: str | None = None, keep_seconds: int = 0) -> DataFrame:
     """(state, delta) on a stream of (task_id, seq, ts, state, returncode): -1 for what the task no longer counts as, +1 for what it does now.
 
-    Late events, older than the task's last one or than the watermark, change nothing. A terminated task is kept for keep_seconds more, by the
-    watermark; then its state goes and it counts as terminated for good: what comes under its id later is another task.
+    Late events, older than the task's last one or than the watermark, change nothing. With a watermark a terminated task is kept until it is keep_seconds
+    past the end; then its state goes and it counts as terminated for good: what comes under its id later is another task. Without, all tasks are kept.
     """
     code = F.col("returncode").cast("int") if "returncode" in events.columns else F.lit(None).cast("int")
-    known = events.select("task_id", "seq", "ts", "state", code.alias("returncode")).withWatermark("ts", watermark)
-    return known.groupBy("task_id").transformWithStateInPandas(_LastState(keep_seconds * 1000), "state string, delta long", "Append", "EventTime")
+    known = events.select("task_id", "seq", "ts", "state", code.alias("returncode"))
+    made, mode = (_LastState(None), "None") if watermark is None else (_LastState(keep_seconds * 1000), "EventTime")
+    known = known if watermark is None else known.withWatermark("ts", watermark)
+    return known.groupBy("task_id").transformWithStateInPandas(made, "state string, delta long", "Append", mode)
 
 
 def listing_changes(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -4,7 +4,6 @@ import datetime
 from pathlib import Path
 
 import pytest
-from pyspark.sql import functions as F
 
 from campaign.sources import tail
 from campaign.streaming import events as st
