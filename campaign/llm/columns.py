@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: what parts words: ASCII characters other than digits and letters, after A-Z became a-z
 BETWEEN_WORDS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-#: the same word before A-Z became a-z
-A_WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

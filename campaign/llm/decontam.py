@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columns import A_WORD, let, plain_words, sliding_least, upto, window_hashes
+from .columns import let, plain_words, sliding_least, upto, window_hashes
 from .shared import cut
 
 WINDOW = 10
@@ -93,8 +93,25 @@ def _same(left: DataFrame, right: DataFrame) -> Column:
     return left["row_hash"].eqNullSafe(right["row_hash"]) & left["id"].eqNullSafe(right["id"])
 
 
-def hits(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str) -> tuple[DataFrame, DataFrame]:
-    """(id, row_hash, start, length, set): every place of a document where a window of an item occurs, and (set, item): whose windows those are.
+def _met(docs: DataFrame, keys: DataFrame, counts: dict[int, int], id_col: str, text_col: str) -> DataFrame:
+    """(id, row_hash, start, length): places of fingerprints of documents that items have too, and a row of length 0 for each row of docs, whose start is its number of words.
+
+    So one pass over the texts gives both. Computed once.
+    """
+    words = _rows(docs, id_col, text_col, plain_words(F.col(text_col)).alias("words"))
+    parts = [_fingerprints(F.col("words"))] if counts.get(WINDOW) else []
+    parts += [_whole(F.col("words"), k) for k in sorted(set(counts) - {WINDOW})]
+    number = F.struct(F.size("words").alias("start"), F.lit(0).alias("length"), F.lit(0).cast("long").alias("hash"))
+    marks = F.concat(F.array(number), *(parts or [_no_marks()]))
+    # explode_outer, since Spark would evaluate the array of explode a second time to filter empty ones
+    sown = words.select("id", "row_hash", F.explode_outer(marks).alias("mark")).select("id", "row_hash", "mark.*")
+    joined = sown.join(_sized(keys.withColumn("shared", F.lit(True)), sum(counts.values())), ["length", "hash"], "left")
+    return cut(joined.where("shared or length = 0").select("id", "row_hash", "start", "length"))
+
+
+def hits(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, row_hash, start, length, set): every place of a document where a window of an item occurs; (set, item): whose windows those are;
+    and (id, row_hash, n_words) of each row of docs.
 
     Fingerprints of all documents meet those of items in a join, which is broadcast up to BROADCAST_ROWS
     of items and shuffled by hash beyond, where Spark splits frequent hashes. Only the places of those that meet are kept, so
@@ -103,21 +120,17 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col
     keys, windows, members = item_windows(items, item_col, item_text)
     keys = cut(keys)
     counts = {r["length"]: r["n"] for r in keys.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most WINDOW rows
-    words = _rows(docs, id_col, text_col, plain_words(F.col(text_col)).alias("words"))
-    parts = [_fingerprints(F.col("words"))] if counts.get(WINDOW) else []
-    parts += [_whole(F.col("words"), k) for k in sorted(set(counts) - {WINDOW})]
-    marks = F.concat(*parts) if parts else _no_marks()
-    # explode_outer, since Spark would evaluate the array of explode a second time to filter empty ones
-    sown = words.select("id", "row_hash", F.explode_outer(marks).alias("mark")).select("id", "row_hash", "mark.*")
-    met = cut(sown.join(_sized(keys, sum(counts.values())), ["length", "hash"]).select("id", "row_hash", "start", "length").distinct())
-    some = met.groupBy("id", "row_hash").agg(F.collect_list(F.struct("start", "length")).alias("marks"))  # places within one text
+    met = _met(docs, keys, counts, id_col, text_col)
+    marked = met.where("length > 0").distinct()
+    some = marked.groupBy("id", "row_hash").agg(F.collect_list(F.struct("start", "length")).alias("marks"))  # places within one text
     texts = _rows(docs, id_col, text_col, F.col(text_col).alias("text"))
-    again = texts.join(_sized(some, met.count()), _same(texts, some)).select(texts["id"], texts["row_hash"], "marks", plain_words(F.col("text")).alias("words"))
+    again = texts.join(_sized(some, marked.count()), _same(texts, some)).select(texts["id"], texts["row_hash"], "marks", plain_words(F.col("text")).alias("words"))
     # a mark takes along the words around it, not the whole text
     near = again.select("id", "row_hash", F.explode_outer(F.transform("marks", _around)).alias("mark")).select("id", "row_hash", "mark.*")
     places = near.select("id", "row_hash", "words", "length", "first", F.explode_outer(upto(F.col("first"), F.col("last"))).alias("start"))
     places = places.select("id", "row_hash", "start", "length", _window(F.col("words"), F.col("start") - F.col("first"), F.col("length")).alias("window")).distinct()
-    return places.join(_sized(windows, windows.count()), ["length", "window"]).select("id", "row_hash", "start", "length", "set"), members
+    found = places.join(_sized(windows, windows.count()), ["length", "window"]).select("id", "row_hash", "start", "length", "set")
+    return found, members, met.where("length = 0").select("id", "row_hash", F.col("start").cast("long").alias("n_words"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -126,14 +139,13 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     Null and empty texts have no words and no hits. Rows that repeat each get the same result. Items
     with a null id count as one item without a name.
     """
-    places, members = hits(docs, items, id_col, text_col, item_col, item_text)
+    places, members, rows = hits(docs, items, id_col, text_col, item_col, item_text)
     found = cut(places)
     covered = found.select("id", "row_hash", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("place")).distinct()
     n_hit = covered.groupBy("id", "row_hash").agg(F.count("*").alias("n_hit"))
     whose = found.select("id", "row_hash", "set").distinct().join(_sized(members, members.count()), "set")
     of = whose.groupBy("id", "row_hash").agg(F.array_sort(F.collect_set(F.coalesce(F.col("item").cast("string"), F.lit("")))).alias("items"))
     per = n_hit.join(of, _same(n_hit, of)).select(n_hit["id"], n_hit["row_hash"], "n_hit", "items")
-    rows = _rows(docs, id_col, text_col, F.coalesce(F.regexp_count(text_col, F.lit(A_WORD)), F.lit(0)).cast("long").alias("n_words"))
     joined = rows.join(per, _same(rows, per), "left")
     none = F.array().cast("array<string>")
     return joined.select(
