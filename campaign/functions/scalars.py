@@ -99,9 +99,12 @@ def parse_elapsed(text: Column) -> Column:
 
 
 def quantity_text(amount: Column, units: dict[str, int]) -> Column:
-    """The amount in the largest unit that gives at least 1, whole units only where exact, else with up to 3 decimals."""
+    """The amount in the largest unit that gives at least 1, whole units only where exact, else with up to 3 decimals.
+
+    Decimals are rounded as binary floating point has them, as SQL engines do: thousandths to the nearest whole number, halves away from 0.
+    """
     ordered = sorted(units.items(), key=lambda x: -x[1])
-    show = lambda unit, size: F.concat(F.round(amount / size, 3).cast("string"), F.lit(unit))
+    show = lambda unit, size: F.concat((F.round(amount / size * 1000, 0) / 1000).cast("string"), F.lit(unit))
     last, size = ordered[-1]
     return reduce(lambda rest, x: F.when(amount >= x[1], show(*x)).otherwise(rest), list(reversed(ordered))[1:], show(last, size))
 

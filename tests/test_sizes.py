@@ -1,5 +1,9 @@
 """Operators whose work and memory must not grow faster than their input."""
 
+import duckdb
+from pyspark.sql import functions as F
+
+from campaign.functions import scalars
 from campaign.operators import matching
 
 
@@ -34,3 +38,11 @@ def test_smallest_flavor_meets_few_flavors_for_each_task(spark):
     assert {r["task_id"]: r["flavor"] for r in done.collect()} == brute_flavors(tasks, flavors, 64)
     assert largest_join(spark, done) <= len(tasks)
     assert {r["flavor"] for r in matching.smallest_flavor(left, right.limit(0), 64).collect()} == {None} and matching.smallest_flavor(left.limit(0), right, 64).collect() == []
+
+
+def test_quantities_are_rounded_as_in_sql(spark):
+    amounts = [2_047_500_000, 78_750 * 26_000, 1_000_500, 999_999_999, 1_000_000, 1, 0, 1_234_565, 5_000_500_000_000]
+    df = spark.createDataFrame([(n,) for n in amounts], "n long").select("n", scalars.quantity_text(F.col("n"), {"B": 1, "kB": 1000, "MB": 10**6, "GB": 10**9, "TB": 10**12}).alias("text"))
+    sql = "CASE " + " ".join(f"WHEN n >= {u} THEN round(n / {u}::DOUBLE, 3) || '{t}'" for t, u in (("TB", 10**12), ("GB", 10**9), ("MB", 10**6), ("kB", 1000))) + " ELSE round(n / 1.0::DOUBLE, 3) || 'B' END"
+    want = duckdb.sql(f"SELECT n, {sql} FROM (SELECT unnest({amounts}) AS n)").fetchall()
+    assert sorted(map(tuple, df.collect())) == sorted(want) and dict(want)[2_047_500_000] == "2.047GB"
