@@ -153,6 +153,23 @@ def vectors(examples: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, feature, value / np.sqrt(np.maximum(square, 1e-9))[row]
 
 
+class Weights(NamedTuple):
+    """Weights over subsequences as they travel: those that are not 0, a small part of FEATURES."""
+
+    feature: np.ndarray
+    value: np.ndarray
+
+    @classmethod
+    def of(cls, weights: np.ndarray) -> Weights:
+        feature = np.flatnonzero(weights).astype(np.int32)
+        return cls(feature, weights[feature])
+
+    def whole(self) -> np.ndarray:
+        out = np.zeros(FEATURES, np.float32)
+        out[self.feature] = self.value
+        return out
+
+
 class Machine(NamedTuple):
     """The landmarks with their weights, the bias, and the same decision as weights over subsequences."""
 
@@ -379,9 +396,10 @@ def train(texts: DataFrame, label_col: str = "toxic", text_col: str = "text") ->
         return fit_svm(windows_, np.array([y == 1 for (y, _), _ in own + more], bool), weight)
 
     def ranked(machine: Machine) -> DataFrame:
-        weights, bias = machine.weights, machine.bias
+        sent, bias = Weights.of(machine.weights), machine.bias
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            weights = sent.whole()
             for batch in batches:
                 most, best = highest(batch.column(1), weights, bias)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(most.tolist(), pa.list_(pa.float64())), pa.array(best, pa.binary())], names=["y", "most", "example"])
@@ -405,13 +423,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     Other columns are not read; rows that repeat each get the same score.
     """
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES floats
+    sent, bias, slope, shift = Weights.of(model.weights), model.bias, model.slope, model.shift
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        weights = sent.whole()
         for batch in batches:
-            most, _ = highest(batch.column(1), own.weights, own.bias)
-            p = 1 / (1 + np.exp(-np.clip(own.slope * pooled(most) + own.shift, -60, 60)))
+            most, _ = highest(batch.column(1), weights, bias)
+            p = 1 / (1 + np.exp(-np.clip(slope * pooled(most) + shift, -60, 60)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], names=[id_col, "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()

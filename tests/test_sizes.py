@@ -1,9 +1,11 @@
 """Operators whose work and memory must not grow faster than their input."""
 
 import duckdb
+from pyspark import SparkContext
 from pyspark.sql import functions as F
 
 from campaign.functions import scalars
+from campaign.llm import toxicity
 from campaign.operators import matching
 
 
@@ -46,3 +48,15 @@ def test_quantities_are_rounded_as_in_sql(spark):
     sql = "CASE " + " ".join(f"WHEN n >= {u} THEN round(n / {u}::DOUBLE, 3) || '{t}'" for t, u in (("TB", 10**12), ("GB", 10**9), ("MB", 10**6), ("kB", 1000))) + " ELSE round(n / 1.0::DOUBLE, 3) || 'B' END"
     want = duckdb.sql(f"SELECT n, {sql} FROM (SELECT unnest({amounts}) AS n)").fetchall()
     assert sorted(map(tuple, df.collect())) == sorted(want) and dict(want)[2_047_500_000] == "2.047GB"
+
+
+def test_toxicity_sends_no_dense_weights(spark, monkeypatch):
+    sent, broadcast = [], SparkContext.broadcast
+    monkeypatch.setattr(SparkContext, "broadcast", lambda self, value: sent.append(value) or broadcast(self, value))
+    rows = [(k, f"you {'idiot' if k % 2 else 'friend'} number {k} of many", k % 2) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(df)
+    assert len({r["score"] for r in toxicity.score(df, model).collect()}) > 1
+    assert not sent  # functions of more than 1 MB are broadcast, as are models
+    weights = toxicity.Weights.of(model.weights)
+    assert 0 < len(weights.feature) < toxicity.FEATURES // 10 and (weights.whole() == model.weights).all()
