@@ -60,3 +60,18 @@ def test_toxicity_sends_no_dense_weights(spark, monkeypatch):
     assert not sent  # functions of more than 1 MB are broadcast, as are models
     weights = toxicity.Weights.of(model.weights)
     assert 0 < len(weights.feature) < toxicity.FEATURES // 10 and (weights.whole() == model.weights).all()
+
+
+def test_tasks_are_paired_with_blocks_of_resources(spark):
+    have = [(f"r{k}", k % 9 != 0, [["a"], ["b"], ["a", "b"], None][k % 4], 1 + k % 3, None if k % 50 == 0 else k * 31 % 97, 5 * (k % 2)) for k in range(400)]
+    want = [(k, [None, "a", "b", "z"][k % 4], 1 + k % 4, [None, 0, 40, 90, 200][k % 5], [None, 0, 3, 5][k % 4 - 1]) for k in range(60)]
+    left = spark.createDataFrame(want, "task_id long, architecture_wanted string, requested_cores int, requested_memory long, requested_walltime int")
+    right = spark.createDataFrame(have, "resource string, enabled boolean, architecture array<string>, max_cores_per_job int, max_memory_per_core long, max_walltime int")
+    expected = {
+        (t, r) for t, arch, cores, memory, wall in want for r, on, archs, c, m, w in have
+        if on and (arch is None or archs and arch in archs) and cores <= c and (memory is None or m is not None and memory <= cores * m) and (wall is None or wall <= w)
+    }
+    done = matching.match_resources(left, right)
+    got = [tuple(r) for r in done.collect()]
+    assert set(got) == expected and len(got) == len(expected) > 1000
+    assert largest_join(spark, done) < len(expected) // 5
