@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import commands
 from ..operators import tasks as op
 from ..sources import canonical as c
-from ..sources.merged import join_parts, write_parts
+from ..sources.merged import join_parts, read_document, write_parts
 from ..sources.scratch import new_folder
 from .base import Jobs
 
@@ -212,7 +212,7 @@ def merged_document(spark, sf):
     path = new_folder(spark, "document")
     write_parts(op.merge_outputs(out, c.tasks(spark, sf)), f"{path}/parts", ["task_id", "line"])
     join_parts(spark, f"{path}/parts", f"{path}/merged.xml")
-    return spark.read.format("xml").option("rowTag", "row").schema("task_id long, line int, value double").load(f"{path}/merged.xml")
+    return read_document(spark, f"{path}/merged.xml", "task_id long, line int, value double")
 
 
 @job("SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN CAST(c_custkey * 2 AS VARCHAR) ELSE '' END AS stdout, CASE WHEN c_custkey % 7 = 0 THEN 3 ELSE 0 END AS exitcode FROM customer")

@@ -66,3 +66,16 @@ def join_parts(spark: SparkSession, folder: str, path: str) -> None:
     if not target_fs.rename(temporary, target):
         target_fs.delete(temporary, False)
         raise FileExistsError(path)
+
+
+def read_document(spark: SparkSession, path: str, schema: str, row_tag: str = "row") -> DataFrame:
+    """The rows of an XML document as written here, of any size: it is split at the ends of rows, where the XML source gives a whole file to one task.
+
+    No element within a row may have the tag of the rows.
+    """
+    ends = spark.read.text(path, lineSep=f"</{row_tag}>")
+    # a row without values may be a single empty tag, so a piece holds any number of these and then a row, or what follows the last one
+    pieces = ends.select(F.explode(F.split("value", rf"(?=<{row_tag}[\s/>])")).alias("text")).where(F.col("text").rlike(rf"^<{row_tag}[\s/>]"))
+    empty = F.col("text").rlike(rf"^<{row_tag}[^<>]*/>")
+    whole = F.when(empty, F.regexp_extract("text", r"^<[^<>]*/>", 0)).otherwise(F.concat("text", F.lit(f"</{row_tag}>")))
+    return pieces.select(F.from_xml(whole, schema).alias("r")).select("r.*")

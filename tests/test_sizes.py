@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from campaign.functions import scalars
 from campaign.llm import toxicity
 from campaign.operators import matching
+from campaign.sources import merged
 
 
 def brute_flavors(tasks, flavors, overhead):
@@ -75,3 +76,19 @@ def test_tasks_are_paired_with_blocks_of_resources(spark):
     got = [tuple(r) for r in done.collect()]
     assert set(got) == expected and len(got) == len(expected) > 1000
     assert largest_join(spark, done) < len(expected) // 5
+
+
+def test_a_merged_document_is_read_in_pieces(spark, tmp_path):
+    rows = spark.range(3000).select(F.when(F.col("id") % 5 != 0, F.col("id")).alias("a"), F.when(F.col("id") % 7 != 0, F.concat(F.lit("</row> <row> &é\n"), F.col("id").cast("string"))).alias("b"))
+    merged.write_parts(rows, str(tmp_path / "x"), ["a", "b"], parts=3)
+    merged.join_parts(spark, str(tmp_path / "x"), str(tmp_path / "one.xml"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        back = merged.read_document(spark, str(tmp_path / "one.xml"), "a long, b string")
+        assert back.rdd.getNumPartitions() > 5
+        assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    merged.write_parts(rows.limit(0), str(tmp_path / "none"), ["a"])
+    assert merged.read_document(spark, str(tmp_path / "none"), "a long, b string").collect() == []
