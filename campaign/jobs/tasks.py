@@ -219,7 +219,7 @@ def merged_document(spark, sf):
 def run_command(spark, sf):
     """A shell program that doubles numbers, kept for the records of a task; it ends with exit code 3 at every seventh and is started again."""
     program = "while read x; do [ $((x % 7)) = 0 ] && exit 3; echo $((x * 2)); done"
-    done = commands.run_command(c.table(spark, sf, "customer").select("c_custkey"), ["/bin/sh", "-c", program], "c_custkey", 60, keep=True)
+    done = commands.run_command(c.table(spark, sf, "customer").select("c_custkey"), ["/bin/sh", "-c", program], "c_custkey", 60, keep=True, parts=4 * spark.sparkContext.defaultParallelism)
     return done.select("c_custkey", "stdout", "exitcode")
 
 

@@ -74,14 +74,15 @@ class Process:
             f.close()
 
 
-def run_command(records: DataFrame, argv: list[str], stdin: str, timeout: float = 60.0, keep: bool = False) -> DataFrame:
+def run_command(records: DataFrame, argv: list[str], stdin: str, timeout: float = 60.0, keep: bool = False, parts: int | None = None) -> DataFrame:
     """The records with the columns of RESULT, from a program that gets the text of column `stdin` (null: empty).
 
     By default each record has a process of its own, which ends at the end of its input. With `keep` a task keeps one process for its records,
     each of which is sent as a line and answered by a line; where the process ends or takes too long, its record says so and the next one
     gets a new process, so no record is lost or repeated. Every record keeps its row: exitcode is the program's, or null where it was
     ended by a signal, which is then named, or by the time limit. Programs that are not found give exit code 127, as in a shell.
-    Results replace columns of the same name. Records of several lines cannot be sent to a kept process: exit code null and a word in stderr.
+    With `parts` the records are first dealt out to so many tasks, since a file that is small to read may hold hours of work; else they stay in
+    their partitions. Results replace columns of the same name. Records of several lines cannot be sent to a kept process: exit code null and a word in stderr.
     """
     made = StructType.fromDDL(RESULT)
     names = made.fieldNames()
@@ -135,4 +136,5 @@ def run_command(records: DataFrame, argv: list[str], stdin: str, timeout: float
         finally:
             worker.stop()
 
-    return records.mapInPandas(run, StructType([*kept, *made.fields]))
+    dealt = records.repartition(parts) if parts else records
+    return dealt.mapInPandas(run, StructType([*kept, *made.fields]))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from campaign.functions import scalars
 from campaign.llm import toxicity
-from campaign.operators import matching
+from campaign.operators import commands, matching
 from campaign.sources import merged
 
 
@@ -78,6 +78,13 @@ def test_tasks_are_paired_with_blocks_of_resources(spark):
     assert largest_join(spark, done) < len(expected) // 5
 
 
+def test_records_are_dealt_out_to_tasks_for_a_program(spark):
+    df = spark.range(200).coalesce(1).withColumn("n", F.col("id").cast("string"))
+    done = commands.run_command(df, ["/bin/sh", "-c", 'while read x; do echo "$x $$"; done'], "n", keep=True, parts=8)
+    got = [r["stdout"].split(" ") for r in done.collect()]
+    assert sorted(int(x) for x, _ in got) == list(range(200)) and len({p for _, p in got}) == 8
+
+
 def test_a_merged_document_is_read_in_pieces(spark, tmp_path):
     rows = spark.range(3000).select(F.when(F.col("id") % 5 != 0, F.col("id")).alias("a"), F.when(F.col("id") % 7 != 0, F.concat(F.lit("</row> <row> &é\n"), F.col("id").cast("string"))).alias("b"))
     merged.write_parts(rows, str(tmp_path / "x"), ["a", "b"], parts=3)
