@@ -11,6 +11,11 @@ from ..sources.scratch import cut, written
 from .tasks import rank_state, state_rank
 
 
+def _apart(df: DataFrame) -> DataFrame:
+    """A side of a join that is shuffled whatever its size: tables that are small as files are large once they are sent, and there is one in each round."""
+    return df.hint("merge")
+
+
 def descendants(tree: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, task_id, depth): all tasks at or below each root; depth 0 is the root itself. Equal roots count once.
 
@@ -23,7 +28,7 @@ def descendants(tree: DataFrame, roots: DataFrame) -> DataFrame:
     is_root = lambda df, on: df.join(named.select(F.col("root").alias(on), F.lit(True).alias("at_root")), on, "left").withColumn("at_root", F.coalesce("at_root", F.lit(False)))
     links = tree.where("parent_id is not null").select("task_id", F.col("parent_id").alias("to")).distinct()
     inner = links.select(F.col("task_id").alias("to"), F.lit(True).alias("inner")).distinct()
-    known = is_root(links, "to").join(inner, "to", "left")
+    known = is_root(links, "to").join(_apart(inner), "to", "left")
     steps = written(known.select("task_id", "to", F.lit(1).alias("depth"), "at_root", (F.col("at_root") | F.col("inner").isNull()).alias("stands")))
     n = steps.count()
     for _ in range(n.bit_length() + 1):
@@ -31,7 +36,7 @@ def descendants(tree: DataFrame, roots: DataFrame) -> DataFrame:
         if moving.isEmpty():
             break
         ahead = steps.select(F.col("task_id").alias("to"), F.col("to").alias("next"), F.col("depth").alias("more"), F.col("at_root").alias("r"), F.col("stands").alias("s"))
-        doubled = moving.join(ahead, "to").select("task_id", F.col("next").alias("to"), (F.col("depth") + F.col("more")).alias("depth"), F.col("r").alias("at_root"), F.col("s").alias("stands"))
+        doubled = moving.join(_apart(ahead), "to").select("task_id", F.col("next").alias("to"), (F.col("depth") + F.col("more")).alias("depth"), F.col("r").alias("at_root"), F.col("s").alias("stands"))
         steps = written(steps.where("stands").union(doubled))
     near = written(is_root(steps.where("stands and at_root").select("task_id", F.col("to").alias("root"), "depth"), "task_id"))
     own = named.select("root", F.col("root").alias("task_id"), F.lit(0).alias("depth"))
@@ -64,7 +69,7 @@ def topological_levels(nodes: DataFrame, deps: DataFrame) -> DataFrame:
     while not left.isEmpty():
         # of each task with open dependencies their number and, if it is one, which
         open_ = edges.groupBy("task_id").agg(F.count("*").alias("n"), F.first("on").alias("next"), F.first("far").alias("more"))
-        state = written(left.join(open_, "task_id", "left"))
+        state = written(left.join(_apart(open_), "task_id", "left"))
         free = state.where("n is null")
         if free.isEmpty():
             some = ", ".join(str(r[0]) for r in left.orderBy("task_id").limit(10).collect())
@@ -75,14 +80,14 @@ def topological_levels(nodes: DataFrame, deps: DataFrame) -> DataFrame:
             break
         # a task whose only open dependency is settled now stays in the way for a round, since that dependency is gone in the next one
         settled = free.select(F.col("task_id").alias("next"), F.lit(True).alias("settled"))
-        short = state.where("n = 1").join(settled, "next", "left_anti").select(F.col("task_id").alias("on"), "next", "more")
-        source = left.select(F.col("task_id").alias("on"), F.col("least").alias("base")).join(free.select(F.col("task_id").alias("on"), F.lit(True).alias("free")), "on", "left").join(short, "on", "left")
-        met = edges.join(source, "on")
+        short = state.where("n = 1").join(_apart(settled), "next", "left_anti").select(F.col("task_id").alias("on"), "next", "more")
+        source = left.select(F.col("task_id").alias("on"), F.col("least").alias("base")).join(_apart(free.select(F.col("task_id").alias("on"), F.lit(True).alias("free"))), "on", "left").join(_apart(short), "on", "left")
+        met = edges.join(_apart(source), "on")
         raised = met.where("free or next is not null").groupBy("task_id").agg(F.max(F.col("base") + F.col("far")).alias("new"))
         kept = met.where("free is null and next is null").select("task_id", "on", "far")
         moved = met.where("next is not null").select("task_id", F.col("next").alias("on"), (F.col("far") + F.col("more")).alias("far"))
         edges = written(kept.union(moved).groupBy("task_id", "on").agg(F.max("far").alias("far")))
-        left = written(state.select("task_id", "least").join(raised, "task_id", "left").select("task_id", F.greatest("least", F.coalesce("new", F.lit(0))).alias("least")))
+        left = written(state.select("task_id", "least").join(_apart(raised), "task_id", "left").select("task_id", F.greatest("least", F.coalesce("new", F.lit(0))).alias("least")))
     return reduce(DataFrame.union, done) if done else names.select("task_id", F.lit(0).alias("level"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from campaign.functions import scalars
 from campaign.llm import toxicity
-from campaign.operators import commands, matching
+from campaign.operators import commands, graph, matching
 from campaign.sources import merged
 
 
@@ -99,3 +99,19 @@ def test_a_merged_document_is_read_in_pieces(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     merged.write_parts(rows.limit(0), str(tmp_path / "none"), ["a"])
     assert merged.read_document(spark, str(tmp_path / "none"), "a long, b string").collect() == []
+
+
+def test_levels_send_no_tables_to_the_driver(spark):
+    deps = spark.range(1, 3000).select(F.col("id").alias("task_id"), F.floor(F.col("id") / 2).alias("depends_on")).where("depends_on > 0")
+    done = graph.topological_levels(deps.select("task_id"), deps)
+    assert {r["task_id"]: r["level"] for r in done.collect()} == {k: k.bit_length() - 1 for k in range(1, 3000)}
+    plans = []
+    with_written = graph.written
+    graph.written = lambda df, *kind: plans.append(df._jdf.queryExecution().executedPlan().toString()) or with_written(df, *kind)
+    try:
+        graph.topological_levels(deps.select("task_id"), deps)
+        graph.descendants(deps.withColumnRenamed("depends_on", "parent_id"), spark.createDataFrame([(1,)], "task_id long"))
+    finally:
+        graph.written = with_written
+    assert plans and sum("Join" in p for p in plans) > 5
+    assert not any("BroadcastHashJoin" in p and "at_root" not in p for p in plans)
