@@ -42,6 +42,11 @@ def _part(text: Column, pattern: str, group: int) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once. Its code stands apart, so that the methods generated around it stay small enough to be compiled."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def parse_memory(text: Column) -> Column:
     """Bytes of an amount with a unit, such as 5MB or 2 GiB; whole amounts stay exact."""
     amount, unit = _part(text, r"^\s*(\d+(?:\.\d+)?)\s*([kKMGTP]?i?B)\s*$", 1), _part(text, r"^\s*(\d+(?:\.\d+)?)\s*([kKMGTP]?i?B)\s*$", 2)
@@ -51,14 +56,9 @@ def parse_memory(text: Column) -> Column:
 
 def parse_suffixed_memory(text: Column, suffixes: dict[str, int], bare: int = 1) -> Column:
     """Bytes of an amount with a suffix of letters, as accounting files have it; rounded. `bare` is the factor without a suffix."""
-    plain = F.trim(text)
-    unit = F.translate(plain, "0123456789. ", "")  # what is no amount, wherever it stands
-    digits = F.rtrim(F.rtrim(plain, F.lit("".join(sorted({c for k in suffixes for c in k})))))
-    factor = F.when(unit == "", bare)
-    for suffix, size in suffixes.items():
-        factor = factor.when(unit == suffix, size)
-    whole = ~(F.startswith(digits, F.lit(".")) | F.endswith(digits, F.lit(".")))
-    return F.round(F.when(whole, digits.try_cast("double")) * factor).cast("long")
+    pattern = rf"^ *([0-9]+(?:\.[0-9]+)?) *({'|'.join(suffixes)})? *\z"  # two extractions and a look-up, each of them evaluated once
+    factor = _lookup({"": bare, **suffixes}, F.regexp_extract(text, pattern, 2))
+    return F.round(F.regexp_extract(text, pattern, 1).try_cast("double") * factor).cast("long")
 
 
 #: Factors of the batch systems' memory suffixes.
@@ -89,13 +89,17 @@ def parse_elapsed(text: Column) -> Column:
     pattern = r"^\s*(?:\d+-)?(?:(?:\d+:)?\d+:)?\d+(?:\.\d{1,9})?s?\s*$"
     # one expression tells the form; the fields, of which some may be missing, are then cut out without further ones
     plain = F.rtrim(F.trim(F.translate(text, "\t\n\r\f\x0b", "     ")), F.lit("s"))
-    clock = F.substring_index(plain, "-", -1)
-    number = lambda x: F.concat(F.lit("0"), x).try_cast("long")  # noqa: E731  # a missing field is 0, one that is too large null
-    field = lambda k: number(F.split_part(clock, F.lit(":"), F.lit(-k)))
-    second = number(F.substring_index(F.substring_index(clock, ":", -1), ".", 1))
-    days = F.when(F.contains(plain, F.lit("-")), number(F.substring_index(plain, "-", 1))).otherwise(0)
-    fraction = F.when(F.contains(clock, F.lit(".")), number(F.rpad(F.substring_index(clock, ".", -1), 9, "0"))).otherwise(0)
-    return F.when(text.rlike(pattern), (days * 86400 + field(3) * 3600 + field(2) * 60 + second) * SECOND + fraction)
+    number = lambda x: F.concat(F.lit("0"), x).try_cast("long")  # noqa: E731  # one that is too large is null
+
+    def value(plain: Column) -> Column:
+        clock = F.concat(F.lit("0:0:"), F.substring_index(plain, "-", -1))  # a missing field is 0
+        field = lambda k: number(F.substring_index(F.substring_index(clock, ":", -k), ":", 1))
+        second = number(F.substring_index(F.substring_index(clock, ":", -1), ".", 1))
+        days = F.when(F.contains(plain, F.lit("-")), number(F.substring_index(plain, "-", 1))).otherwise(0)
+        fraction = F.when(F.contains(plain, F.lit(".")), number(F.rpad(F.substring_index(plain, ".", -1), 9, "0"))).otherwise(0)
+        return (days * 86400 + field(3) * 3600 + field(2) * 60 + second) * SECOND + fraction
+
+    return F.when(text.rlike(pattern), _bound(plain, value))
 
 
 def quantity_text(amount: Column, units: dict[str, int]) -> Column:

@@ -17,17 +17,18 @@ def slurm_usage(lines: DataFrame, line: str = "line") -> DataFrame:
     """One row per job from `jobid|exit:signal|state|...|` lines; steps have a dot in their id.
 
     Jobs without a master record in a final state are left out. All roll-ups are max or min, so an
-    array job with very many steps is reduced before the shuffle.
+    array job with very many steps is reduced before the shuffle. Lines are cut up once; empty ones are
+    masters without a state, so they need no test of their own, which would make the line a second time.
     """
     cells = F.split(F.trim(line), r"\|")
-    raw = lines.where(F.trim(F.col(line)) != "").select(*(F.get(cells, F.lit(k)).alias(n) for k, n in enumerate(SLURM_FIELDS)))
+    raw = lines.select(*(F.get(cells, F.lit(k)).alias(n) for k, n in enumerate(SLURM_FIELDS)), F.get(cells, F.lit(0)).contains(".").alias("step"))
     time = lambda c: F.when(F.length(c) == 19, F.col(c).try_cast("timestamp_ntz"))
-    step = F.col("jobid").contains(".")
+    step = F.col("step")
     code = lambda k: F.split_part("exit", F.lit(":"), F.lit(k)).try_cast("int")
     # states and exits are numbers, since a greatest text would need a sort. A field is parsed only in the records whose value counts, since steps are many and parsing is what costs
     of_master, of_step = (lambda x: F.when(~step, x)), (lambda x: F.when(step, x))
     part = raw.select(
-        F.split_part("jobid", F.lit("."), F.lit(1)).alias("job"), step.alias("step"), of_master(F.array_position(F.array(*map(F.lit, FINAL_STATES)), F.split_part("state", F.lit(" "), F.lit(1)))).alias("state"), of_master(code(1)).alias("code"), of_master(code(2)).alias("signal"),
+        F.substring_index("jobid", ".", 1).alias("job"), step, of_master(F.array_position(F.array(*map(F.lit, FINAL_STATES)), F.split_part("state", F.lit(" "), F.lit(1)))).alias("state"), of_master(code(1)).alias("code"), of_master(code(2)).alias("signal"),
         of_master(F.col("ncpus").try_cast("int")).alias("ncpus"), of_master(f.parse_elapsed(F.col("elapsed"))).alias("elapsed"), of_master(f.parse_elapsed(F.col("totalcpu"))).alias("totalcpu"),
         time("submit").alias("submit"), time("start").alias("start"), of_master(time("end")).alias("end"),
         of_step(f.parse_suffixed_memory(F.col("maxrss"), f.SLURM_MEMORY)).alias("rss"), of_step(f.parse_suffixed_memory(F.col("maxvmsize"), f.SLURM_MEMORY)).alias("vmem"),

@@ -1,12 +1,14 @@
 """Operators whose work and memory must not grow faster than their input."""
 
+import re
+
 import duckdb
 from pyspark import SparkContext
 from pyspark.sql import functions as F
 
 from campaign.functions import scalars
 from campaign.llm import toxicity
-from campaign.operators import commands, graph, matching
+from campaign.operators import accounting, commands, graph, matching
 from campaign.sources import merged
 
 
@@ -115,3 +117,25 @@ def test_levels_send_no_tables_to_the_driver(spark):
         graph.written = with_written
     assert plans and sum("Join" in p for p in plans) > 5
     assert not any("BroadcastHashJoin" in p and "at_root" not in p for p in plans)
+
+
+def method_sizes(spark, df):
+    """Bytes of the largest method that Spark generates for each stage of a plan; the JVM compiles none of more than 8,000."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = df.select("*")._jdf.queryExecution().executedPlan()
+        text = getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package").codegenString(plan)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    return [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+
+
+def test_slurm_records_are_parsed_by_methods_that_are_compiled(spark):
+    id_, rest = F.col("id").cast("string"), F.lit("|1:0|COMPLETED|4|00:05|00:02.5|2012-09-04T11:18:06|2012-09-04T11:18:24|2012-09-04T11:18:47|7K|1.5M|")
+    master, step = spark.range(50).select(F.concat(id_, rest).alias("line")), spark.range(50).select(F.concat(id_, F.lit(".0"), rest).alias("line"))
+    empty = spark.range(3).select(F.when(F.col("id") > 0, F.repeat(F.lit(" "), F.col("id").cast("int") - 1)).alias("line"))
+    done = accounting.slurm_usage(master.union(step).union(empty))
+    sizes = method_sizes(spark, done)
+    assert sizes and max(sizes) <= 8000
+    got = {r["job"]: (r["duration"], r["used_cpu_time"], r["max_used_ram"], r["max_used_memory"]) for r in done.collect()}
+    assert got == {str(k): (5 * 10**9, 25 * 10**8, 7000, 1_500_000) for k in range(50)}
