@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Callable, Iterator
 from functools import reduce
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +20,8 @@ from ..functions.scalars import split_run_name
 #: The exit codes of a software error and of the two messages that mean too little memory.
 SOFTWARE_ERROR = 70
 MEMORY_ERROR = 11
+#: Bytes of text that a scorer gets at once (one text may have more), after which garbage is collected, and of an Arrow batch.
+PIECE_BYTES, COLLECT_BYTES, BATCH_BYTES = 2 << 20, 16 << 20, 16 << 20
 
 
 class Rule(NamedTuple):
@@ -130,18 +136,32 @@ def group_sentiment(scored: DataFrame, group: str, scores: list[str]) -> DataFra
 def scored_texts(texts: DataFrame, scorer: Callable[[pd.Series], pd.DataFrame], scores: list[str], text: str = "text", body: str = "body") -> DataFrame:
     """The table with `text` (from `body` where it is null) and the scores that a given scorer finds.
 
-    The scorer takes a batch of texts and returns a column for each score; it sees no nulls. Scores of rows without a text are null.
+    The scorer takes a piece of a batch, texts of about PIECE_BYTES, and returns a column for each score; it sees no nulls. Scores of rows without a
+    text are null. What a scorer leaves behind in cycles, as pandas does with a series whose `str` was used, is collected after each COLLECT_BYTES.
     """
     whole = F.coalesce(text, body) if body in texts.columns else F.col(text)
+    texts.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
-    @F.pandas_udf(", ".join(f"`{s}` double" for s in scores))
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(", ".join(f"`{s}` double" for s in scores))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        left = 0
         for batch in batches:
-            out = pd.DataFrame(float("nan"), index=batch.index, columns=scores)
-            known = batch.notna()
-            if known.any():
-                out.loc[known, scores] = scorer(batch[known])[scores].to_numpy(float)
-            yield out
+            found = np.full((len(scores), len(batch)), np.nan)
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch), 0).to_numpy(), dtype=np.int64)
+            first = 0
+            while first < len(batch):
+                before = ends[first - 1] if first else 0
+                last = max(first + 1, int(np.searchsorted(ends, before + PIECE_BYTES, "right")))
+                piece = batch[first:last]
+                known = first + np.flatnonzero(piece.is_valid().to_numpy(zero_copy_only=False))
+                if len(known):
+                    found[:, known] = scorer(piece.drop_null().to_pandas())[scores].to_numpy(float).T
+                left += ends[last - 1] - before
+                first = last
+                if left >= COLLECT_BYTES:
+                    gc.collect()
+                    left = 0
+            yield pa.StructArray.from_arrays([pa.array(x, from_pandas=True) for x in found], names=scores)
 
     rest = [c for c in texts.columns if c not in (text, body, *scores)]
     found = texts.select(*rest, whole.alias("text")).withColumn("s_", run("text"))

@@ -1,14 +1,16 @@
 """Operators whose work and memory must not grow faster than their input."""
 
 import re
+import weakref
 
 import duckdb
+import pandas as pd
 from pyspark import SparkContext
 from pyspark.sql import functions as F
 
 from campaign.functions import scalars
 from campaign.llm import toxicity
-from campaign.operators import accounting, commands, graph, matching
+from campaign.operators import accounting, commands, graph, matching, text
 from campaign.sources import merged
 
 
@@ -139,3 +141,22 @@ def test_slurm_records_are_parsed_by_methods_that_are_compiled(spark):
     assert sizes and max(sizes) <= 8000
     got = {r["job"]: (r["duration"], r["used_cpu_time"], r["max_used_ram"], r["max_used_memory"]) for r in done.collect()}
     assert got == {str(k): (5 * 10**9, 25 * 10**8, 7000, 1_500_000) for k in range(50)}
+
+
+def test_a_scorer_gets_pieces_and_what_it_leaves_is_collected(spark):
+    seen = []
+
+    def scorer(texts):
+        left = sum(s() is not None for s in seen)
+        seen.append(weakref.ref(texts))
+        sizes = texts.str.len()  # leaves a cycle behind
+        return pd.DataFrame({"size": sizes.where(sizes > 0), "piece": sizes.sum(), "left": left})
+
+    size = F.when(F.col("id") == 7, 3 << 20).when(F.col("id") % 10 == 3, 0).otherwise(100_000 + F.col("id"))
+    df = spark.range(400).coalesce(1).select("id", F.when(F.col("id") % 10 != 5, F.repeat(F.lit("x"), size.cast("int"))).alias("text"), F.when(F.col("id") == 15, "é.").alias("body"))
+    done = text.scored_texts(df, scorer, ["size", "piece", "left"]).drop("text").collect()
+    want = {k: 2 if k == 15 else None if k % 10 in (3, 5) else 3 << 20 if k == 7 else 100_000 + k for k in range(400)}
+    assert {r["id"]: r["size"] for r in done} == want and {r["id"] for r in done if r["piece"] is None} == {k for k in range(400) if k % 10 == 5 and k != 15}
+    assert max(r["piece"] for r in done if r["id"] != 7 and r["piece"]) <= text.PIECE_BYTES
+    assert max(r["left"] for r in done if r["left"] is not None) <= text.COLLECT_BYTES // text.PIECE_BYTES + 1
+    assert text.scored_texts(df.limit(0), scorer, ["size", "piece", "left"]).collect() == []
