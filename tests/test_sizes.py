@@ -82,6 +82,42 @@ def test_tasks_are_paired_with_blocks_of_resources(spark):
     assert largest_join(spark, done) < len(expected) // 5
 
 
+def test_pairs_of_many_names_take_few_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(matching, "TILE_RESOURCES", 100, raising=False)
+    k, any_of = F.col("id"), lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
+    left = spark.range(3000).select(k.alias("task_id"), F.when(k % 3 > 0, F.concat(F.lit("a"), k % 3)).alias("architecture_wanted"), (1 + k % 2).alias("requested_cores"), any_of(60_000).alias("requested_memory"), F.lit(1).alias("requested_walltime"))
+    kind = F.when(k % 2 == 0, F.array(F.lit("a1"))).otherwise(F.array(F.lit("a1"), F.lit("a2"))).alias("architecture")
+    name = F.concat(F.lpad(k.cast("string"), 9, "0"), F.repeat(F.lit("x"), F.lit(1200)))  # together more than Parquet's dictionaries hold, 1 MB
+    right = spark.range(1000).select(name.alias("resource"), F.lit(True).alias("enabled"), kind, (1 + k % 4).alias("max_cores_per_job"), any_of(30_000).alias("max_memory_per_core"), (k % 5).alias("max_walltime"))
+    matching.match_resources(left, right).write.parquet(str(tmp_path / "pairs"))
+    n = left.join(right, matching.fits()).count()
+    assert spark.read.parquet(str(tmp_path / "pairs")).count() == n > 500_000
+    assert sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet")) < 2 * n
+
+
+def test_pairs_are_dealt_out_by_tiles(spark, monkeypatch):
+    for name, n in {"TILE_RESOURCES": 40, "TILE_TASKS": 100, "RESOURCE_BLOCK": 4, "TASK_RUN": 8}.items():
+        monkeypatch.setattr(matching, name, n, raising=False)
+    have = [(f"r{k % 290}", True, ["a"], 3, None if k % 50 == 0 else k * 31 % 97 - 9, 5) for k in range(300)]
+    want = [(k % 990, None if k % 3 else "a", (-2, 1, 3, None, 0)[k % 5], None if k % 7 == 0 else k * 13 % 150 - 20, None if k % 11 == 0 else k % 7) for k in range(1000)]
+    left = spark.createDataFrame(want, "task_id long, architecture_wanted string, requested_cores int, requested_memory long, requested_walltime int")
+    right = spark.createDataFrame(have, "resource string, enabled boolean, architecture array<string>, max_cores_per_job int, max_memory_per_core long, max_walltime int")
+    expected = [
+        (t, r) for t, _, cores, memory, wall in want for r, _, _, c, m, w in have
+        if cores is not None and cores <= c and (memory is None or m is not None and memory <= cores * m) and (wall is None or wall <= w)
+    ]
+    got = matching.match_resources(left, right).withColumn("at", F.spark_partition_id()).collect()
+    assert sorted((r["task_id"], r["resource"]) for r in got) == sorted(expected)
+    parts = {r["at"] for r in got}
+    assert len(parts) > 40
+    assert max(len({r["resource"] for r in got if r["at"] == k}) for k in parts) <= 60 and max(len({r["task_id"] for r in got if r["at"] == k}) for k in parts) <= 200
+    monkeypatch.setattr(matching, "checked", lambda df: df)
+    again = matching.match_resources(left, right).collect()
+    assert sorted((r["task_id"], r["resource"]) for r in again) == sorted(expected)
+    for empty in (matching.match_resources(left.limit(0), right), matching.match_resources(left, right.limit(0)), matching.match_resources(left, right.where("not enabled"))):
+        assert empty.collect() == []
+
+
 def test_records_are_dealt_out_to_tasks_for_a_program(spark):
     df = spark.range(200).coalesce(1).withColumn("n", F.col("id").cast("string"))
     done = commands.run_command(df, ["/bin/sh", "-c", 'while read x; do echo "$x $$"; done'], "n", keep=True, parts=8)
